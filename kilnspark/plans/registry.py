@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.operators import drift
+from kilnspark.operators import drift, logs
 from kilnspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,17 @@ def p2_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.path_statistics(table(spark, sf_dir, "result_files"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_logs(logs.log_texts(table(spark, sf_dir, "raw_results"), table(spark, sf_dir, "iteration_log")))
+
+
+def p4_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.level_counts(p4_found(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_levels": p4_levels,
     "p2_found": p2_found,
     "p2_table": p2_table,
     "p2_path_types": p2_path_types,
