@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import encode
+from kilnspark.llm import encode, leak
+from kilnspark.session import spread
 from kilnspark.sources.tables import table
 
 
@@ -14,7 +15,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark_problems"))
+
+
+def p7_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.restated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark_problems"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaked_items(p7_found(spark, sf_dir), table(spark, sf_dir, "benchmark_problems"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_restated": p7_restated,
+    "p7_items": p7_items,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p7_found": leak.P7_SQL, "p7_items": leak.P7_ITEMS_SQL}
