@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import encode, leak
+from kilnspark.llm import encode, leak, neardup
 from kilnspark.session import spread
 from kilnspark.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "raw_modules"))
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_counts(table(spark, sf_dir, "raw_modules"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,8 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_links": p3_links,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_restated": p7_restated,
