@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import encode, leak, neardup
+from kilnspark.llm import encode, leak, neardup, syntax
 from kilnspark.session import spread
 from kilnspark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(spread(table(spark, sf_dir, "raw_modules")))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_rates(spread(table(spark, sf_dir, "raw_modules")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "raw_modules"))
 
@@ -36,6 +44,8 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
     "p3_found": p3_found,
     "p3_links": p3_links,
     "p6_ids": p6_ids,
