@@ -19,8 +19,8 @@ no pair; redelivered rows count once; similarity is compared in integers.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,37 +30,78 @@ from pyspark.sql import functions as F
 
 from kilnspark.session import cut, spread
 
-_WORD = re.compile(r"[a-z0-9_]+")
+CHUNK = 1 << 20  # characters hashed at once
 HEAVY_PER_TASK = 1 << 17  # heavy hitters a task reports
 HEAVY = 1 << 18  # heavy hitters kept for the order
 BLOCK = 1 << 21  # pairs expanded at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_IS_WORD = np.zeros(256, dtype=bool)
+_IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", dtype=np.uint8)] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
-_HASHES = _Hashes()
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, b, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
-def shingles(text: str | None, size: int) -> np.ndarray | None:
-    """Sorted distinct hashes of the text's word shingles; None if it has fewer words."""
-    words = _WORD.findall(text.lower()) if text else ()
-    n = len(words) - size + 1
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray | None]:
+    """For each text the sorted distinct hashes of its word shingles; None if it has fewer words.
+
+    Words are the runs of [a-z0-9_] in the lower-cased text.  All texts of a
+    chunk are cut and hashed together by array operations.
+    """
+    out: list[np.ndarray | None] = [None] * len(texts)
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (chars < CHUNK or end == at):
+            chars += len(texts[end] or "")
+            end += 1
+        _shingle_chunk([t or "" for t in texts[at:end]], size, at, out)
+        at = end
+    return out
+
+
+def _shingle_chunk(texts: list[str], size: int, base: int, out: list[np.ndarray | None]) -> None:
+    parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
+    inside = _IS_WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return
+    # hash of a word: sum of byte * base ** (place in the word), by prefix sums over the chunk
+    power, inverse = _powers(1 << max(CHUNK.bit_length(), int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(data * power[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(29)
+    first = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))  # each text's first word
+    n = len(h) - size + 1
     if n <= 0:
-        return None
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+        return
     acc = h[:n] * _MIX[0]
     for k in range(1, size):
         acc ^= acc >> np.uint64(31)
         acc = (acc + h[k : k + n]) * _MIX[k % 3]
     acc ^= acc >> np.uint64(29)
-    return np.unique(acc)
+    for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if hi - lo >= size:
+            s = np.sort(acc[lo : hi - size + 1])
+            out[base + i] = s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def prefix_size(n, num: int, den: int):
@@ -89,7 +130,7 @@ def heavy_hitters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            sets = [s for s in (shingles(t, size) for t in b["text"]) if s is not None]
+            sets = [s for s in shingle_sets(b["text"].tolist(), size) if s is not None]
             if not sets:
                 continue
             h, c = np.unique(np.concatenate(sets), return_counts=True)
@@ -119,8 +160,7 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
         hh, hc = hot.value
         for b in batches:
             docs, hashes, owners = [], [], []
-            for i, t in zip(b["id"].tolist(), b["text"].tolist(), strict=True):
-                s = shingles(t, size)
+            for i, s in zip(b["id"].tolist(), shingle_sets(b["text"].tolist(), size), strict=True):
                 if s is None:
                     continue
                 n = len(s)
@@ -239,13 +279,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int,
         at, first = None, None
         for b in batches:
             left, right = [], []
-            for i, text, key, part in zip(b["id"].tolist(), b["text"].tolist(), b["key"].tolist(), b["part"].tolist(), strict=True):
+            sets = shingle_sets(b["text"].tolist(), size)
+            for i, s, key, part in zip(b["id"].tolist(), sets, b["key"].tolist(), b["part"].tolist(), strict=True):
                 if (key, part) != at:
-                    at, first = (key, part), shingles(text, size)
+                    at, first = (key, part), s
                     continue
                 if i == key:
                     continue
-                s = shingles(text, size)
                 both = len(np.intersect1d(first, s, assume_unique=True))
                 if den * both >= num * (len(first) + len(s) - both):
                     left.append(key)
