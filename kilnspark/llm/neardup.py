@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 from kilnspark.session import cut, spread
 
 CHUNK = 1 << 20  # characters hashed at once
-HEAVY_PER_TASK = 1 << 17  # heavy hitters a task reports
-HEAVY = 1 << 18  # heavy hitters kept for the order
+HEAVY_PER_TASK = 1 << 16  # heavy hitters a task reports
+HEAVY = 1 << 16  # heavy hitters kept for the order
 BLOCK = 1 << 21  # pairs expanded at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", dtype=np.uint8)] = True
+DOC = np.dtype([("id", "<i8"), ("digest", "<u8"), ("n", "<u4")])
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -152,9 +153,22 @@ def heavy_hitters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def _places(texts: DataFrame, parts: int) -> list[int]:
+    """For each of ``parts`` partitions a number that hash partitioning puts there, so that each region gets a partition of its own."""
+    n = parts * (8 + parts.bit_length() * 4)
+    spark = texts.sparkSession
+    at = spark.range(n).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()
+    found = {r["p"]: r["k"] for r in at}
+    return [found.get(p, p) for p in range(parts)]
+
+
 def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.ndarray, np.ndarray], regions: int) -> DataFrame:
-    """Prefix shingles packed by region: (region, docs, hashes, owners), a row per input batch and region."""
-    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 4 MB
+    """Prefix shingles packed by region: (place, region, docs, hashes, owners), a row per input batch and region.
+
+    Of a shingle 32 bits besides its region travel: what meets by chance only adds to the pairs that are verified.
+    """
+    places = _places(texts, regions)
+    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 1 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hh, hc = hot.value
@@ -170,30 +184,29 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
                     first = s[np.argsort(often, kind="stable")[: prefix_size(n, num, den)]]
                 else:
                     first = s[: prefix_size(n, num, den)]
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 hashes.append(first)
                 owners.append(np.full(len(first), len(docs), dtype=np.uint32))
-                docs.append((i & (1 << 64) - 1, digest >> 64, digest & (1 << 64) - 1, n))
+                docs.append((i, xxhash.xxh3_64_intdigest(s.tobytes()), n))
             if not docs:
                 continue
-            table = np.array(docs, dtype=np.uint64)
+            table = np.array(docs, dtype=DOC)
             h, o = np.concatenate(hashes), np.concatenate(owners)
             region = (h % np.uint64(regions)).astype(np.int64)
             order = np.argsort(region, kind="stable")
-            h, o, region = h[order], o[order], region[order]
+            h, o, region = (h[order] >> np.uint64(32)).astype(np.uint32), o[order], region[order]
             ends = np.searchsorted(region, np.arange(regions + 1))
             out = []
             for r in range(regions):
                 lo, hi = ends[r], ends[r + 1]
                 if lo < hi:
                     used, local = np.unique(o[lo:hi], return_inverse=True)
-                    out.append((r, table[used].tobytes(), h[lo:hi].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["region", "docs", "hashes", "owners"])
+                    out.append((places[r], r, table[used].tobytes(), h[lo:hi].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()))
+            yield pd.DataFrame(out, columns=["place", "region", "docs", "hashes", "owners"])
 
-    return texts.select("id", "text").mapInPandas(run, "region int, docs binary, hashes binary, owners binary")
+    return texts.select("id", "text").mapInPandas(run, "place int, region int, docs binary, hashes binary, owners binary")
 
 
-def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
+def _meetings(postings: DataFrame, num: int, den: int, regions: int) -> DataFrame:
     """(a, b, shared, na, nb): sets that meet in a region, and (a, b, 0, n, n) for a copy b of a."""
 
     def pairs_of(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -223,29 +236,29 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables, hashes, owners, base = [], [], [], 0
         for b in batches:
-            for d, h, o in zip(b["docs"], b["hashes"], b["owners"], strict=True):
-                t, hh = np.frombuffer(d, dtype=np.uint64).reshape(-1, 4), np.frombuffer(h, dtype=np.uint64)
+            for r, d, h, o in zip(b["region"].tolist(), b["docs"], b["hashes"], b["owners"], strict=True):
+                t, hh = np.frombuffer(d, dtype=DOC), np.frombuffer(h, dtype=np.uint32)
                 tables.append(t)
-                hashes.append(hh)
+                hashes.append(hh.astype(np.int64) * regions + r)
                 owners.append(np.frombuffer(o, dtype=np.uint16 if len(o) == 2 * len(hh) else np.uint32).astype(np.int64) + base)
                 base += len(t)
         if not tables:
             return
         docs = np.concatenate(tables)
         # equal sets have equal prefixes, so each region sees all of them and picks the same one, that with the least id
-        ids = docs[:, 0].view(np.int64) if docs.flags.c_contiguous else docs[:, 0].copy().view(np.int64)
-        order = np.lexsort((ids, docs[:, 2], docs[:, 1]))
-        s = docs[order]
-        new = np.concatenate([[True], (s[1:, 1] != s[:-1, 1]) | (s[1:, 2] != s[:-1, 2])])
+        ids, size_of = docs["id"].astype(np.int64), docs["n"].astype(np.int64)
+        order = np.lexsort((ids, size_of, docs["digest"]))
+        digest = docs["digest"][order]
+        new = np.concatenate([[True], (digest[1:] != digest[:-1]) | (size_of[order][1:] != size_of[order][:-1])])
         group = np.cumsum(new) - 1
-        rep_id, size = ids[order][new], s[new, 3].astype(np.int64)
+        rep_id, size = ids[order][new], size_of[order][new]
         group_of = np.empty(len(docs), dtype=np.int64)
         group_of[order] = group
         copies = np.unique(np.stack([rep_id[group], ids[order]], 1)[rep_id[group] != ids[order]], axis=0)
         if len(copies):
             yield pd.DataFrame({"a": copies[:, 0], "b": copies[:, 1], "shared": 0, "na": 0, "nb": 0})
         h, g = np.concatenate(hashes), group_of[np.concatenate(owners)]
-        del hashes, owners, tables, docs, s
+        del hashes, owners, tables, docs
         order = np.lexsort((g, h))
         h, g = h[order], g[order]
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
@@ -301,16 +314,16 @@ def similar_pairs(texts: DataFrame, size: int, num: int, den: int) -> tuple[Data
     ``texts`` has columns id (long) and text.
     """
     texts = spread(texts.filter(F.length("text") > 0))
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * texts.rdd.getNumPartitions())
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     heavy = heavy_hitters(texts, size)
-    postings = _postings(texts, size, num, den, heavy, 4 * parts).repartition(parts, "region")
-    met = _meetings(postings, num, den).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    postings = _postings(texts, size, num, den, heavy, parts).repartition(parts, "place")
+    met = _meetings(postings, num, den, parts).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     n, m = F.col("na"), F.col("nb")
     rest = lambda c: F.floor((num * c + den - 1) / den) - 1  # noqa: E731  n - prefix_size(n)
     need = F.floor((num * (n + m) + num + den - 1) / (num + den)) - F.greatest(rest(n), rest(m))
     met = cut(met.filter((n == 0) | (F.col("shared") >= F.greatest(F.lit(1), need))))
     copies = met.filter("na = 0").select("a", "b")
-    return _verified(met.filter("na > 0").select("a", "b"), texts, size, num, den, parts), copies
+    return cut(_verified(met.filter("na > 0").select("a", "b"), texts, size, num, den, parts)), copies
 
 
 def expanded_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
