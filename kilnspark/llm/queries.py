@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import encode, leak, neardup, syntax
+from kilnspark.llm import encode, leak, neardup, pairs, syntax
 from kilnspark.session import spread
 from kilnspark.sources.tables import table
 
@@ -27,6 +27,14 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_counts(table(spark, sf_dir, "raw_modules"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pair_defects(spread(table(spark, sf_dir, "training_samples")))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defect_rates(spread(table(spark, sf_dir, "training_samples")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_rates": p1_rates,
     "p3_found": p3_found,
     "p3_links": p3_links,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_restated": p7_restated,
