@@ -19,6 +19,7 @@ no pair; redelivered rows count once; similarity is compared in integers.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from kilnspark.session import cut, spread
 
 CHUNK = 1 << 20  # characters hashed at once
-HEAVY_PER_TASK = 1 << 16  # heavy hitters a task reports
-HEAVY = 1 << 16  # heavy hitters kept for the order
+HEAVY_PER_TASK = 1 << 17  # heavy hitters a task reports
+HEAVY = 1 << 18  # heavy hitters kept for the order
 BLOCK = 1 << 21  # pairs expanded at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -168,7 +169,7 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
     Of a shingle 32 bits besides its region travel: what meets by chance only adds to the pairs that are verified.
     """
     places = _places(texts, regions)
-    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 1 MB
+    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 4 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hh, hc = hot.value
@@ -308,6 +309,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int,
     return rows.select("id", "text", "key", "part").mapInPandas(run, "a long, b long").distinct()
 
 
+def _candidates(texts: DataFrame, size: int, num: int, den: int, parts: int) -> DataFrame:
+    """Pairs that share enough of their first shingles, and copies; written once."""
+    heavy = heavy_hitters(texts, size)
+    postings = _postings(texts, size, num, den, heavy, parts).repartition(parts, "place")
+    met = _meetings(postings, num, den, parts).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    n, m = F.col("na"), F.col("nb")
+    rest = lambda c: F.floor((num * c + den - 1) / den) - 1  # noqa: E731  n - prefix_size(n)
+    need = F.floor((num * (n + m) + num + den - 1) / (num + den)) - F.greatest(rest(n), rest(m))
+    return cut(met.filter((n == 0) | (F.col("shared") >= F.greatest(F.lit(1), need))))
+
+
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of frames that are out of use; it does so when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def similar_pairs(texts: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(pairs between distinct sets, copies): pairs (a, b) of similarity >= num/den, and copies (a, b) with b a copy of a.
 
@@ -315,13 +333,8 @@ def similar_pairs(texts: DataFrame, size: int, num: int, den: int) -> tuple[Data
     """
     texts = spread(texts.filter(F.length("text") > 0))
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    heavy = heavy_hitters(texts, size)
-    postings = _postings(texts, size, num, den, heavy, parts).repartition(parts, "place")
-    met = _meetings(postings, num, den, parts).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    n, m = F.col("na"), F.col("nb")
-    rest = lambda c: F.floor((num * c + den - 1) / den) - 1  # noqa: E731  n - prefix_size(n)
-    need = F.floor((num * (n + m) + num + den - 1) / (num + den)) - F.greatest(rest(n), rest(m))
-    met = cut(met.filter((n == 0) | (F.col("shared") >= F.greatest(F.lit(1), need))))
+    met = _candidates(texts, size, num, den, parts)
+    _release(texts)
     copies = met.filter("na = 0").select("a", "b")
     return cut(_verified(met.filter("na > 0").select("a", "b"), texts, size, num, den, parts)), copies
 
