@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import encode, leak, neardup, pairs, syntax
+from kilnspark.llm import encode, leak, neardup, pairs, pii, syntax
 from kilnspark.session import spread
 from kilnspark.sources.tables import table
 
@@ -51,6 +51,14 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(p7_found(spark, sf_dir), table(spark, sf_dir, "benchmark_problems"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_mentions(spread(table(spark, sf_dir, "documents")))
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask_documents(spread(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
@@ -62,5 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_restated": p7_restated,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_masked": p8_masked,
 }
 SQL: dict[str, str] = {"p7_found": leak.P7_SQL, "p7_items": leak.P7_ITEMS_SQL}
