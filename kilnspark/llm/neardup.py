@@ -34,6 +34,7 @@ from kilnspark.session import cut, spread
 CHUNK = 1 << 20  # characters hashed at once
 HEAVY_PER_TASK = 1 << 17  # heavy hitters a task reports
 HEAVY = 1 << 18  # heavy hitters kept for the order
+REGIONS = 16  # regions at least, however small the input
 BLOCK = 1 << 21  # pairs expanded at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -332,7 +333,7 @@ def similar_pairs(texts: DataFrame, size: int, num: int, den: int) -> tuple[Data
     ``texts`` has columns id (long) and text.
     """
     texts = spread(texts.filter(F.length("text") > 0))
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    parts = max(REGIONS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     met = _candidates(texts, size, num, den, parts)
     _release(texts)
     copies = met.filter("na = 0").select("a", "b")
