@@ -35,6 +35,7 @@ CHUNK = 1 << 20  # characters hashed at once
 HEAVY_PER_TASK = 1 << 17  # heavy hitters a task reports
 HEAVY = 1 << 18  # heavy hitters kept for the order
 REGIONS = 16  # regions at least, however small the input
+GROUP = 64  # pairs that meet in one place of a split family
 BLOCK = 1 << 21  # pairs expanded at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -279,35 +280,57 @@ def _meetings(postings: DataFrame, num: int, den: int, regions: int) -> DataFram
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int, parts: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough.
 
-    Texts come together at the pair's first id; one with very many partners is
-    split into groups of some 64, each with the first text in it.
+    The texts of a pair come together at a meeting place.  That is the least
+    partner both have, so that a family of texts meets in one place and each
+    text travels once; pairs without such a partner meet at their first id, and
+    so do those of a large family, there split into groups of some ``GROUP`` pairs.
     """
-    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    groups = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64)).cast("int"))
-    wanted = groups.select(F.col("b").alias("id"), F.col("a").alias("key"), "part").unionByName(
-        groups.select(F.col("a").alias("id"), F.col("a").alias("key"), "part").distinct()
+    lead = pairs.groupBy("b").agg(F.min("a").alias("lead"))
+    named = (
+        pairs.join(lead, "b")
+        .join(lead.select(F.col("b").alias("a"), F.col("lead").alias("lead_a")), "a", "left")
+        .select("a", "b", F.when(F.coalesce("lead_a", "a") == F.col("lead"), F.col("lead")).alias("family"))
     )
-    # a redelivered row brings its text a second time; the pair is counted once at the end
-    rows = texts.join(wanted, "id").repartition(parts, "key", "part").sortWithinPartitions("key", "part", F.col("id") != F.col("key"))
+    many = named.groupBy("family").agg(F.count("*").alias("n")).filter((F.col("n") > 32 * GROUP) | F.col("family").isNull())
+    by_a = pairs.groupBy("a").agg(F.count("*").alias("deg"))
+    large = many.select("family", F.lit(True).alias("large"))
+    at = named.join(large, "family", "left").join(by_a, "a")
+    alone = F.col("family").isNull() | F.col("large")
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / GROUP)).cast("int") + 1
+    placed = at.select("a", "b", F.when(alone, F.col("a")).otherwise(F.col("family")).alias("key"), F.when(alone, part).otherwise(F.lit(0)).alias("part"))
+    wanted = placed.select(F.col("a").alias("id"), "key", "part").unionByName(placed.select(F.col("b").alias("id"), "key", "part")).distinct()
+    rows = texts.join(wanted, "id").select("key", "part", F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    both = rows.unionByName(placed.select("key", "part", "a", "b", F.lit(None).cast("string").alias("text")))
+    met = both.repartition(parts, "key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, first = None, None
+        at: tuple | None = None
+        sets: dict[int, np.ndarray] = {}
+        todo: list[tuple[int, int]] = []
+
+        def judged() -> Iterator[tuple[int, int]]:
+            for i, j in todo:
+                x, y = sets[i], sets[j]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if den * both >= num * (len(x) + len(y) - both):
+                    yield i, j
+
         for b in batches:
-            left, right = [], []
-            sets = shingle_sets(b["text"].tolist(), size)
-            for i, s, key, part in zip(b["id"].tolist(), sets, b["key"].tolist(), b["part"].tolist(), strict=True):
+            out: list[tuple[int, int]] = []
+            made = shingle_sets(b["text"].tolist(), size)
+            for key, part, i, j, s in zip(b["key"].tolist(), b["part"].tolist(), b["a"].tolist(), b["b"].tolist(), made, strict=True):
                 if (key, part) != at:
-                    at, first = (key, part), s
-                    continue
-                if i == key:
-                    continue
-                both = len(np.intersect1d(first, s, assume_unique=True))
-                if den * both >= num * (len(first) + len(s) - both):
-                    left.append(key)
-                    right.append(i)
-            yield pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
+                    out += judged()
+                    at, sets, todo = (key, part), {}, []
+                if s is None:
+                    todo.append((i, j))
+                else:
+                    sets[i] = s
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(list(judged()), columns=["a", "b"], dtype=np.int64)
 
-    return rows.select("id", "text", "key", "part").mapInPandas(run, "a long, b long").distinct()
+    # a redelivered row brings its text a second time, which changes nothing
+    return met.mapInPandas(run, "a long, b long")
 
 
 def _candidates(texts: DataFrame, size: int, num: int, den: int, parts: int) -> DataFrame:
