@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from kilnspark.operators import drift, logs
+from kilnspark.plans import q_rows, q_sources, q_tables  # noqa: F401  they register their queries
+from kilnspark.plans.base import QUERIES, SQL, query
 from kilnspark.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["QUERIES", "SQL"]
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def p2_found(spark, sf_dir):
     return drift.schema_changes(table(spark, sf_dir, "result_files"))
 
 
-def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def p2_table(spark, sf_dir):
     return drift.consistent_table(table(spark, sf_dir, "result_files"))
 
 
-def p2_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def p2_path_types(spark, sf_dir):
     return drift.path_statistics(table(spark, sf_dir, "result_files"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def p4_found(spark, sf_dir):
     return logs.parse_logs(logs.log_texts(table(spark, sf_dir, "raw_results"), table(spark, sf_dir, "iteration_log")))
 
 
-def p4_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def p4_levels(spark, sf_dir):
     return logs.level_counts(p4_found(spark, sf_dir))
-
-
-QUERIES: dict[str, Query] = {
-    "p4_found": p4_found,
-    "p4_levels": p4_levels,
-    "p2_found": p2_found,
-    "p2_table": p2_table,
-    "p2_path_types": p2_path_types,
-}
-SQL: dict[str, str] = {}

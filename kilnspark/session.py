@@ -58,3 +58,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, unless they find it on their path anyway."""
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
+    sc = spark.sparkContext
+    if str(root) in known or getattr(sc, "_kiln_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="kilnspark-")) / "kilnspark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "kilnspark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._kiln_shipped = True
