@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from kilnspark.session import cut, spread
 
 CHUNK = 1 << 20  # characters hashed at once
-HEAVY_PER_TASK = 1 << 17  # heavy hitters a task reports
-HEAVY = 1 << 18  # heavy hitters kept for the order
+HEAVY_PER_TASK = 1 << 18  # heavy hitters a task reports
+HEAVY = 1 << 20  # heavy hitters kept for the order
 REGIONS = 16  # regions at least, however small the input
 GROUP = 64  # pairs that meet in one place of a split family
 BLOCK = 1 << 21  # pairs expanded at once
@@ -171,7 +171,7 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
     Of a shingle 32 bits besides its region travel: what meets by chance only adds to the pairs that are verified.
     """
     places = _places(texts, regions)
-    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 4 MB
+    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 16 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hh, hc = hot.value
