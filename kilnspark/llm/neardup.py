@@ -33,7 +33,7 @@ from kilnspark.session import cut, spread
 
 CHUNK = 1 << 20  # characters hashed at once
 HEAVY_PER_TASK = 1 << 18  # heavy hitters a task reports
-HEAVY = 1 << 20  # heavy hitters kept for the order
+HEAVY = 1 << 19  # heavy hitters kept for the order
 REGIONS = 16  # regions at least, however small the input
 GROUP = 64  # pairs that meet in one place of a split family
 BLOCK = 1 << 21  # pairs expanded at once
@@ -150,8 +150,8 @@ def heavy_hitters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         yield pd.DataFrame({"h": held.view(np.int64), "c": counts})
 
     local = texts.select("text").mapInPandas(run, "h long, c long")
-    got = local.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).toPandas()
-    h, c = got["h"].to_numpy(dtype=np.int64).view(np.uint64), got["c"].to_numpy(dtype=np.int64)
+    got = local.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    h, c = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
@@ -171,7 +171,7 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
     Of a shingle 32 bits besides its region travel: what meets by chance only adds to the pairs that are verified.
     """
     places = _places(texts, regions)
-    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 16 MB
+    hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 8 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hh, hc = hot.value
