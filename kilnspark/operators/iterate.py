@@ -61,30 +61,30 @@ def run_rounds(keys: DataFrame, key: str, text: Column, check: Oracle, repair: O
     (null: nothing new) for a state with ``mode`` 'compile', 'repair', 'reset' or
     'fresh'.  A key that makes an oracle fail is the oracle's to report as null.
     """
-    state = cut(start_state(keys, key, text))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = cut(start_state(keys, key, text).repartition(parts, "key"))
     most = max_rounds or policy.compile_rounds + policy.repair_rounds + 1
     for _ in range(most):
         active = state.filter("active")
         if active.isEmpty():
             break
-        checked = check(active)
-        ok = F.coalesce(F.col("ok_compile"), F.lit(False))
-        done = ok & F.coalesce(F.col("ok_test"), F.lit(False))
-        feedback = F.col("message") if policy.refresh_feedback else F.coalesce("feedback", "message")
+        # each verdict is a column of its own, so that no expression is planned twice
+        checked = check(active).withColumn("ok", F.coalesce(F.col("ok_compile"), F.lit(False)))
         again = T.same_cause(F.col("diagnosis"), F.col("cause")) & ~F.col("reset_done") if policy.reset else F.lit(False)
+        if policy.restarts:
+            again = again | (F.col("cause").isNull() & (F.col("restarts") < policy.restarts))
         fresh = F.col("repair_no").isin(*policy.fresh_after) if policy.fresh_after else F.lit(False)
-        restart = (F.col("cause").isNull() & (F.col("restarts") < policy.restarts)) if policy.restarts else F.lit(False)
-        mode = F.when(~ok & (F.col("compile_no") < policy.compile_rounds), "compile").when(again | restart, "reset").when(fresh, "fresh").otherwise("repair")
-        over = done | ((mode != "compile") & (F.col("repair_no") >= policy.repair_rounds)) if policy.compile_rounds else done | (F.col("repair_no") >= policy.repair_rounds)
-        judged = cut(
-            checked.withColumn("best", F.when(ok, F.col("text")).otherwise(F.col("best")))
-            .withColumn("text", F.when(~ok & F.lit(policy.revert) & (F.col("compile_no") >= policy.compile_rounds), F.col("best")).otherwise(F.col("text")))
-            .withColumn("feedback", feedback)
-            .withColumn("mode", mode)
-            .withColumn("compiled", ok)
-            .withColumn("passed", done)
-            .withColumn("active", ~over)
-        )
+        seen = cut(checked.withColumn("again", again).withColumn("done", F.col("ok") & F.coalesce(F.col("ok_test"), F.lit(False))))
+        ok, done = F.col("ok"), F.col("done")
+        compiling = ~ok & (F.col("compile_no") < policy.compile_rounds)
+        mode = F.when(compiling, "compile").when(F.col("again"), "reset").when(fresh, "fresh").otherwise("repair")
+        over = done | (~compiling & (F.col("repair_no") >= policy.repair_rounds))
+        give_way = ~ok & F.lit(policy.revert) & (F.col("compile_no") >= policy.compile_rounds)
+        judged = seen.select(
+            "key", F.when(give_way, F.col("best")).otherwise(F.col("text")).alias("text"), F.when(ok, F.col("text")).otherwise(F.col("best")).alias("best"), ok.alias("compiled"), done.alias("passed"),
+            "compile_no", "repair_no", "diagnosis", "reset_done", "restarts", (F.col("message") if policy.refresh_feedback else F.coalesce("feedback", "message")).alias("feedback"), (~over).alias("active"),
+            "cause", mode.alias("mode"),
+        )
         cols = state.columns
         mended = repair(judged.filter("active"))
         text_now = F.coalesce("new_text", "text")
@@ -94,7 +94,9 @@ def run_rounds(keys: DataFrame, key: str, text: Column, check: Oracle, repair: O
             F.when(F.col("mode") == "reset", F.lit(None).cast("string")).otherwise(F.coalesce("cause", "diagnosis")).alias("diagnosis"),
             (F.col("reset_done") | (F.col("mode") == "reset")).alias("reset_done"), (F.col("restarts") + ((F.col("mode") == "reset") & F.lit(policy.restarts > 0)).cast("int")).alias("restarts"), "feedback", "active",
         )
-        state = cut(state.filter("not active").unionByName(judged.filter("not active").select(*cols)).unionByName(moved.select(*cols)))
+        rest = state.filter("not active").unionByName(judged.filter("not active").select(*cols))
+        # a union adds up partitions, so each round goes back to the same number
+        state = cut(rest.unionByName(moved.select(*cols)).repartition(parts, "key"))
     return state.withColumn("final_text", F.coalesce("best", "text")).drop("active")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kilnspark.functions import text as T
 from kilnspark.operators import filters, iterate, joins, rewards, sampling, windows
 from kilnspark.plans.base import query, rows
+from kilnspark.session import cut
 
 # ------------------------------------------------------------------ joins
 
@@ -157,9 +158,9 @@ def agg_reward_epoch(spark, sf):
     return _rewarded(spark, sf).groupBy("cycle_no").agg(F.round(F.sum("r") / n, 6).alias("mean"), F.round(F.count_if(r >= 1.0) / n, 6).alias("clean"), F.round(F.count_if((r > 0) & (r < 1)) / n, 6).alias("part"))
 
 
-@query(f"SELECT problem_id, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std FROM {_REWARD_SQL} GROUP BY 1")
+@query(f"SELECT problem_id, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS std FROM {_REWARD_SQL} GROUP BY 1")
 def agg_group_stats(spark, sf):
-    return _rewarded(spark, sf).groupBy("problem_id").agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.stddev_pop("r"), 6).alias("std"))
+    return _rewarded(spark, sf).groupBy("problem_id").agg(F.round(F.avg("r"), 9).alias("mean"), F.round(F.stddev_pop("r"), 9).alias("std"))
 
 
 @query("SELECT lang, round(max(max_similarity), 6) AS top FROM documents JOIN (" + _SIM_SQL.replace("@docs@", "true") + ") USING (doc_id) GROUP BY 1")
@@ -252,8 +253,8 @@ _LINES = r"CASE WHEN log = '' THEN [] ELSE regexp_split_to_array(regexp_replace(
 
 @query(
     rf"""WITH l AS (SELECT result_id, {_LINES} AS ls FROM @rr@ WHERE log IS NOT NULL),
-    h AS (SELECT result_id, ls, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'AssertionError') OR (contains(lower(ls[i]), 'assert ') AND contains(ls[i], '=='))) AS at FROM l)
-    SELECT result_id, list_transform(list_slice(at, 1, 4), lambda i: array_to_string(list_slice(ls, greatest(i - 2, 1), i + 2), chr(10))) AS contexts FROM h"""
+    h AS (SELECT result_id, ls, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'AssertionError') OR (contains(lower(ls[i]), 'assert ') AND contains(ls[i], '=='))) AS hits FROM l)
+    SELECT result_id, list_transform(list_slice(hits, 1, 4), lambda i: array_to_string(list_slice(ls, greatest(i - 2, 1), i + 2), chr(10))) AS contexts FROM h"""
 )
 def win_context_lines(spark, sf):
     return rows(spark, sf, "rr").filter("log is not null").select("result_id", T.context_lines(F.col("log")).alias("contexts"))
@@ -265,11 +266,11 @@ def win_best_so_far(spark, sf):
 
 
 @query(
-    """WITH f AS (SELECT problem_id, min(cycle_no) AS c FROM @il@ WHERE action_name = 'saved' AND passed GROUP BY 1), n AS (SELECT i.cycle_no, count(f.problem_id) AS n_new FROM (SELECT DISTINCT cycle_no FROM @il@) i LEFT JOIN f ON i.cycle_no = f.c GROUP BY 1)
+    """WITH f AS (SELECT problem_id, min(cycle_no) AS c FROM @il@ WHERE action_name = 'saved' AND passed AND cycle_no IS NOT NULL GROUP BY 1), n AS (SELECT i.cycle_no, count(f.problem_id) AS n_new FROM (SELECT DISTINCT cycle_no FROM @il@ WHERE cycle_no IS NOT NULL) i LEFT JOIN f ON i.cycle_no = f.c GROUP BY 1)
     SELECT cycle_no, n_new, CAST(sum(n_new) OVER (ORDER BY cycle_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_solved FROM n"""
 )
 def win_first_success(spark, sf):
-    il = rows(spark, sf, "il")
+    il = rows(spark, sf, "il").filter("cycle_no is not null")
     first = windows.first_success(il, "problem_id", "cycle_no", (F.col("action_name") == "saved") & F.col("passed"))
     return windows.cumulative_solved(first, il, "cycle_no")
 
@@ -376,7 +377,7 @@ _P = "(SELECT DISTINCT problem_id FROM @il@ WHERE action_name = 'saved' AND pass
 def set_changes(spark, sf):
     ok = rows(spark, sf, "il").filter("action_name = 'saved' and passed")
     old, new = ok.filter("cycle_no <= 5").select("problem_id"), ok.filter("cycle_no > 5").select("problem_id")
-    return new.exceptAll(new.limit(0)).distinct().join(old, "problem_id", "left_anti").withColumn("change", F.lit("newly_solved")).unionByName(old.distinct().join(new, "problem_id", "left_anti").withColumn("change", F.lit("regressed")))
+    return new.distinct().join(old, "problem_id", "left_anti").withColumn("change", F.lit("newly_solved")).unionByName(old.distinct().join(new, "problem_id", "left_anti").withColumn("change", F.lit("regressed")))
 
 
 @query("SELECT row_id, list_filter(failed_tests, lambda v, i: list_position(failed_tests, v) = i) AS tests FROM @il@ WHERE failed_tests IS NOT NULL")
@@ -398,7 +399,7 @@ def _oracles(spark, sf):
     w = Window.partitionBy("problem_id").orderBy("ts_text", "row_id")
     reps = rows(spark, sf, "il").filter("action_name = 'cocotb_repair'").select("problem_id", "diagnosis", "iverilog_pass", "row_id", (F.row_number().over(w) - 1).alias("n"))
     solved = rows(spark, sf, "rr").filter("test_result = 0").groupBy("problem_id").agg(F.count("*").alias("wins"))
-    rec = reps.join(solved, "problem_id", "left").select(F.col("problem_id").alias("key"), "n", F.col("iverilog_pass").alias("ok_compile"), (F.coalesce("wins", F.lit(0)) > 3 + F.col("n") * 0).alias("easy"), F.col("diagnosis").alias("cause"))
+    rec = cut(reps.join(solved, "problem_id", "left").select(F.col("problem_id").alias("key"), "n", F.col("iverilog_pass").alias("ok_compile"), (F.coalesce("wins", F.lit(0)) > 3 + F.col("n") * 0).alias("easy"), F.col("diagnosis").alias("cause")))
 
     def check(state):
         s = state.withColumn("n", F.col("compile_no") + F.col("repair_no"))
