@@ -14,9 +14,10 @@ def read_log(spark: SparkSession, folder: str, schema: str = LOG_SCHEMA) -> Data
     return raw.withColumn("iteration_no", F.col("iteration").try_cast("int"))
 
 
-def windowed_actions(rows: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Actions per window of event time; rows later than the watermark are left out."""
-    return rows.withWatermark("ts", late).groupBy(F.window("ts", size), "action_name").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+def windowed_actions(rows: DataFrame, late: str | None = "10 minutes", size: str = "1 hour") -> DataFrame:
+    """Actions per window of event time; rows later than the watermark are left out.  ``late`` is None for rows that have a watermark."""
+    marked = rows.withWatermark("ts", late) if late else rows
+    return marked.groupBy(F.window("ts", size), "action_name").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
 
 
 def once_only(rows: DataFrame, late: str = "1 day") -> DataFrame:
