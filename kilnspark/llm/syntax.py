@@ -385,7 +385,9 @@ class _Python:
                 yield "?"
                 return
             yield c
-        if not new_line and depth == 0:
+        if depth:
+            return  # a bracket is open, so the last line has not ended
+        if not new_line:
             yield "NEWLINE"
         for _ in levels[1:]:
             yield "DEDENT"
