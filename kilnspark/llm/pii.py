@@ -416,7 +416,8 @@ def find_mentions(docs: DataFrame) -> DataFrame:
         field = Field(*model.value)
         for b in batches:
             rows = [(i, c.start, c.kind) for i, cs in zip(b["doc_id"].tolist(), infer(b["text"].tolist(), field), strict=True) for c in cs]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "pii_type"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "pii_type"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, start_pos long, pii_type string")
 
