@@ -130,7 +130,8 @@ def flatten_records(files: DataFrame) -> DataFrame:
                 for n, (key, rec) in enumerate(records(body)):
                     fs = [{"path": k, "kind": raw_type(v), "value": _text(v)} for k, v in rec.items()]
                     rows.append((fid, n, key, fs))
-            yield pd.DataFrame(rows, columns=["file_id", "record_no", "record_key", "fields"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_id", "record_no", "record_key", "fields"])
 
     return files.select("file_id", "body").mapInPandas(run, schema)
 
@@ -279,7 +280,8 @@ def _walk(seg: DataFrame, schema: str, emit) -> DataFrame:
                     cur, state = runner, None
                 state, changes = step(state, fields)
                 rows += emit(fid, state, changes)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return seg.select("file_id", "runner", "part", "fields").mapInPandas(run, schema)
 
