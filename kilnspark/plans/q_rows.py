@@ -417,7 +417,7 @@ def rx_score(spark, sf):
     return rows(spark, sf, "docs").filter("text is not null").select("doc_id", T.score_of(F.col("text")).alias("score"))
 
 
-@query("SELECT doc_id, left(text, 80) AS head, right(text, 80) AS tail FROM documents WHERE text IS NOT NULL", name="str_left/right")
+@query("SELECT doc_id, left(text, 80) AS head, right(text, 80) AS tail FROM documents WHERE text IS NOT NULL", name="str_left_right")
 def str_left_right(spark, sf):
     return rows(spark, sf, "docs").filter("text is not null").select("doc_id", F.left("text", F.lit(80)).alias("head"), F.right("text", F.lit(80)).alias("tail"))
 

@@ -354,7 +354,7 @@ def set_union_all(spark, sf):
 _TOKD = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 
 
-@query(f"SELECT row_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS n_both, CAST(len(list_distinct(list_concat(a, b))) AS BIGINT) AS n_any FROM (SELECT row_id, {_TOKD.format('diagnosis')} AS a, {_TOKD.format('fix_instruction')} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)", name="set_token_intersect/union")
+@query(f"SELECT row_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS n_both, CAST(len(list_distinct(list_concat(a, b))) AS BIGINT) AS n_any FROM (SELECT row_id, {_TOKD.format('diagnosis')} AS a, {_TOKD.format('fix_instruction')} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)", name="set_token_intersect_union")
 def set_tokens(spark, sf):
     d = rows(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
     a, b = T.tokens(F.col("diagnosis")), T.tokens(F.col("fix_instruction"))
@@ -372,7 +372,7 @@ _P = "(SELECT DISTINCT problem_id FROM @il@ WHERE action_name = 'saved' AND pass
 @query(
     f"""SELECT problem_id, 'newly_solved' AS change FROM (SELECT * FROM {_P.format('> 5')} EXCEPT SELECT * FROM {_P.format('<= 5')}) UNION ALL
     SELECT problem_id, 'regressed' FROM (SELECT * FROM {_P.format('<= 5')} EXCEPT SELECT * FROM {_P.format('> 5')})""",
-    name="set_newly_solved/regressed",
+    name="set_newly_solved_regressed",
 )
 def set_changes(spark, sf):
     ok = rows(spark, sf, "il").filter("action_name = 'saved' and passed")
