@@ -161,8 +161,6 @@ _FENCE_ONLY = re.compile(r"^[ \t]*(?:```+|~~~+)[^\n`]*$", re.M)
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 400:
-        return False
     return not any(unicodedata.category(c)[0] in "LN" for c in _FENCE_ONLY.sub("", text))
 
 

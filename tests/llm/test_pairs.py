@@ -34,6 +34,11 @@ def test_defects(answer, want):
     assert defect_of(Q, answer) == want
 
 
+@pytest.mark.parametrize("answer", [" " * 401, "\u200b" * 401, "." * 500, "```verilog\n```\n" * 50, " \n" * 5000 + "?!"])
+def test_long_empty(answer):
+    assert defect_of(Q, answer) == "empty"
+
+
 def test_null_question():
     assert defect_of(None, CODE) is None and defect_of(None, "") == "empty"
 
