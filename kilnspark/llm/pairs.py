@@ -189,9 +189,9 @@ _REFUSAL = re.compile("|".join(_REFUSALS))
 
 
 def is_refusal(prose: str) -> bool:
-    """A short prose answer in which the writer declines."""
+    """A prose answer of any length in which the writer declines."""
     low = " ".join(prose.lower().replace("’", "'").split())
-    return len(low) < 600 and _REFUSAL.search(low) is not None
+    return _REFUSAL.search(low) is not None
 
 
 # ------------------------------------------------------------------ copy

@@ -39,6 +39,27 @@ def test_long_empty(answer):
     assert defect_of(Q, answer) == "empty"
 
 
+REASONS = "The request names a protected interface whose terms forbid a copy. The vendor publishes a data sheet that lists every port. " * 8
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "I'm sorry, but I can't write this design.\n\n" + REASONS,
+        REASONS + "\n\nFor these reasons I must decline.",
+        REASONS + "\n\nTherefore I will not provide the module.\n\n" + REASONS,
+        "Lo siento, no puedo ayudar con esta petición. " + "El fabricante publica una hoja de datos con todos los puertos. " * 12,
+    ],
+)
+def test_long_refusal(answer):
+    assert len(answer) > 600 and defect_of(Q, answer) == "refusal"
+
+
+@pytest.mark.parametrize("answer", [REASONS, REASONS + "\n\n" + CODE, "The output can't change while the block is unable to accept data. " * 12])
+def test_long_answer_is_no_refusal(answer):
+    assert defect_of(Q, answer) is None
+
+
 def test_null_question():
     assert defect_of(None, CODE) is None and defect_of(None, "") == "empty"
 
