@@ -2,9 +2,10 @@
 
 A pushdown parser walks the answer: fences, comments, strings, brackets and the
 block words of the hardware language are pushed and popped, conditional
-branches start from the same stack, and what is still open at the end tells
-that the code breaks off; prose must end its last sentence.  Copies are found by
-greedy string tiling against the parts of the question, refusals by a grammar
+branches start from the same stack, and what is still open at the end of a
+block tells that the code breaks off; prose must end its last sentence or list
+item and close its brackets, quotations, bold and tags.  Copies are found by
+tiling the answer with whole parts of the question, refusals by a grammar
 of first-person inability in several languages, the language of the prose by
 script and by function words.
 
@@ -122,35 +123,75 @@ def _complete_fragment(code: str) -> bool:
 _SENTENCE_END = re.compile(r"[.!?…。！？।؟։፡](?:[\"'»”’)\]*_`」』\s]|</\w+>)*$|[.!?][\"'»”’)\]]+$")
 
 
+_LIST_MARK = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)]|\(?[a-zA-Z][.)])[ \t]*$")
+_MARKUP = re.compile(
+    r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)|(?<!\w)[:;]-?[()\[\]](?=\s|$)|</?(?:b|i|em|strong|code|a|pre|kbd|sub|sup|s|u|ul|ol|table|details|summary|div|span|blockquote)\b[^<>\n]*>"
+    r'|\*\*|^[ \t]*(?:\d{1,3}|[a-zA-Z])\)|["“”„«»‘’「」『』()\[\]{}]',
+    re.M,
+)
+_QUOTES = {"“": "”", "„": "“", "«": "»", "‘": "’", "「": "」", "『": "』"}
+_ENDS = frozenset(_QUOTES.values())
+
+
+def prose_left_open(prose: str) -> bool:
+    """Whether a bracket, quotation, bold or tag of the prose is still open at its end: one stack over all of it.  Code spans are skipped, any bracket closes any other."""
+    stack: list[str] = []
+
+    def close(want: str) -> bool:
+        if want not in stack:
+            return False
+        while stack.pop() != want:
+            pass
+        return True
+
+    for m in _MARKUP.finditer(prose):
+        t = m[0]
+        before, after = prose[m.start() - 1 : m.start()], prose[m.end() : m.end() + 1]
+        if t == "**":
+            if not (before.strip() and close(t)) and after.strip() and not before.isalnum():
+                stack.append(t)
+        elif t == '"':
+            if not close(t) and after.strip() and (not before.strip() or before in "([{“„«‘*_/=:,—–-"):
+                stack.append(t)
+        elif t in ("(", "[", "{"):
+            stack.append("bracket")
+        elif t in (")", "]", "}"):
+            close("bracket")
+        elif t[0] == "<":
+            tag = re.match(r"</?(\w+)", t)[1]
+            if t[1] == "/":
+                close(tag)
+            elif not t.endswith("/>"):
+                stack.append(tag)
+        elif t in _QUOTES or t in _ENDS:
+            if t in _ENDS and close(t):
+                continue
+            if t == "»":  # »quoted« as well as «quoted»
+                stack.append("«")
+            elif t == "«" and close("«"):
+                continue
+            elif t in _QUOTES and not (_QUOTES[t] in stack and before in ("", "\n")):  # a further paragraph of a quotation opens it again
+                stack.append(_QUOTES[t])
+    return bool(stack)
+
+
 def prose_breaks_off(prose: str) -> bool:
-    """Whether the last sentence of the prose, a bracket, quotation or markup in it is left open."""
+    """Whether the last sentence or list item of the prose, a bracket, quotation or markup in it is left open."""
     p = prose.rstrip(" \t\r\n​﻿")
     if not p:
         return False
     last = p.rsplit("\n", 1)[-1]
     if re.match(r"\s*(?:#+ |\|.*\|$)", last):  # a heading or a table row is no sentence
-        return last.lstrip().startswith("#")
-    return not _SENTENCE_END.search(p) or last.count("**") % 2 == 1 or _open_pairs(last)
-
-
-def _open_pairs(line: str) -> bool:
-    depth = 0
-    for c in line:
-        if c in "([":
-            depth += 1
-        elif c in ")]":
-            depth = max(0, depth - 1)
-    return depth > 0
+        return last.lstrip().startswith("#") or prose_left_open(p)
+    return not _SENTENCE_END.search(p) or _LIST_MARK.match(last) is not None or prose_left_open(p)
 
 
 def truncated(text: str, parts: tuple[str, list[tuple[str, bool]], bool]) -> bool:
     prose, blocks, ends_in_code = parts
-    if blocks:
-        code, closed = blocks[-1]
-        if ends_in_code:
-            return not closed or left_open(code)
-        return (bool(_CODE_WORD.search(code)) and left_open(code)) or prose_breaks_off(prose)
-    return prose_breaks_off(prose)
+    if not ends_in_code:
+        return any(_CODE_WORD.search(code) and left_open(code) for code, _ in blocks) or prose_breaks_off(prose)
+    code, closed = blocks[-1]
+    return not closed or left_open(code) or any(_CODE_WORD.search(c) and left_open(c) for c, _ in blocks[:-1]) or prose_left_open(prose)
 
 
 # ------------------------------------------------------------------ empty
@@ -220,47 +261,36 @@ def question_parts(question: str) -> list[list[str]]:
     return [t for t in map(tokens_of, texts) if len(t) >= 4]
 
 
-def longest_tile(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """(length, start in a, start in b) of the longest run the two lists share: the first tile of greedy string tiling."""
-    best, seed = (0, 0, 0), 8 if min(len(a), len(b)) >= 16 else min(4, len(a), len(b))
-    if not seed:
-        return best
-    at: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(b) - seed + 1):
-        at.setdefault(tuple(b[j : j + seed]), []).append(j)
-    i = 0
-    while i <= len(a) - seed:
-        for j in at.get(tuple(a[i : i + seed]), ()):
-            if i + best[0] < len(a) and j + best[0] < len(b) and a[i + best[0]] != b[j + best[0]]:
-                continue
-            n = seed
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            if n > best[0]:
-                best = (n, i, j)
-        i += 1
-        if best[0] >= len(a) - i:
-            break
-    return best
+def tiled(given: list[str], parts: list[list[str]]) -> bool:
+    """Whether the tokens are a greeting at most and then tiles that are each a whole part, with at most 4 tokens after the last."""
+    by_first: dict[str, list[list[str]]] = {}
+    for part in parts:
+        by_first.setdefault(part[0], []).append(part)
+    reached, ends = set(range(GREETING + 1)), set()
+    for i in range(len(given)):
+        if i not in reached:
+            continue
+        for part in by_first.get(given[i], ()):
+            end = i + len(part)
+            if end not in ends and given[i:end] == part:
+                if len(given) - end <= 4:
+                    return True
+                ends.add(end)
+        reached |= ends
+    return False
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Whether the answer is a greeting at most and then a whole part of the question."""
+    """Whether the answer is a greeting at most and then whole parts of the question."""
     if not question:
         return False
     given = tokens_of(answer)
-    if len(given) < 4 or len(given) > len(question) + GREETING:
+    if len(given) < 4:
         return False
     known = set(tokens_of(question))
-    if sum(t not in known for t in given) > GREETING:
+    if sum(t not in known for t in given) > GREETING + 4:
         return False
-    for part in question_parts(question):
-        if not len(part) <= len(given) <= len(part) + GREETING + 4:
-            continue
-        n, i, _ = longest_tile(given, part)
-        if n == len(part) and i <= GREETING and len(given) - n - i <= 4:
-            return True
-    return False
+    return tiled(given, question_parts(question))
 
 
 # ------------------------------------------------------------------ language

@@ -60,6 +60,45 @@ def test_long_answer_is_no_refusal(answer):
     assert defect_of(Q, answer) is None
 
 
+BROKEN = CODE.replace(" end\nendmodule", "")
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "The counter does this:\n1. It is cleared.\n2. It wraps.\n3.",
+        "The note says “the counter wraps at nine. It is cleared.",
+        'The note says "the counter wraps at nine. It is cleared.',
+        "The counter wraps (see the note\non the reset. It is cleared.",
+        "The counter **wraps at\nnine. It is cleared.",
+        "The counter <b>wraps at nine. It is cleared.",
+        BROKEN + "\n\nThat was the first part, and this is the second.\n\n" + CODE,
+        BROKEN + "\n\nThat was the first part, and this is the second.\n\n" + CODE + "\n\nBoth are whole.",
+    ],
+)
+def test_left_open_early(answer):
+    assert defect_of(Q, answer) == "truncated"
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "The counter (see [1, 8) and\nthe note) wraps. It's cleared :)\n\na) It wraps.\nb) It holds 2**3 beats.",
+        'The note says "the counter wraps", “it is cleared” and „it holds“. Its bus is 5" long.',
+        "The counter **wraps** and `count[3:` is cut in <b>bold</b>. It is cleared.",
+        CODE + "\n\nThis is the second part.\n\n" + CODE,
+    ],
+)
+def test_closed(answer):
+    assert defect_of(Q, answer) is None
+
+
+def test_copy_of_two_parts():
+    q = "Extend the module please, it must wrap at nine.\n\n## Specification\nThe counter is cleared by the reset and wraps at nine.\n\n## Code so far\n" + CODE
+    assert defect_of(q, "Sure!\n\n" + CODE + "\n\nThe counter is cleared by the reset and wraps at nine.") == "copy"
+    assert defect_of(q, "Sure!\n\n" + CODE + "\n\nThe counter is cleared by the reset and wraps at ten, as the new text says.") is None
+
+
 def test_null_question():
     assert defect_of(None, CODE) is None and defect_of(None, "") == "empty"
 
