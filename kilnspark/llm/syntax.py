@@ -6,10 +6,10 @@ Each text becomes a stream of token classes, and the language of the grammar
 token; one that does not hold the empty word at the end marks a truncated file.
 
 Conditional compilation is followed for every setting of the file's macros at
-once: configurations that are in the same state walk as one and are told apart
-only by macros that are still tested further on.  Beyond ``CONFIGS`` of them the
-macros count as independent of each other.  A macro that the file does not
-define may stand for a name or for nothing.
+once: configurations that are in the same state walk as one, and the settings
+that lead there, of macros that are still tested further on, are a decision
+diagram, exact for any number of macros.  A macro that the file does not define
+may stand for a name or for nothing.
 
 Defined results: null and blank texts and other extensions get the status
 'none' and are no cases; redelivered rows count once; a null repo is a group of
@@ -34,7 +34,6 @@ from kilnspark.llm import grammars as G
 from kilnspark.llm.derivative import Parser, State, parse_grammar
 
 LANGUAGES = {".v": "verilog", ".vh": "verilog", ".sv": "systemverilog", ".svh": "systemverilog", ".py": "python", ".json": "json"}
-CONFIGS = 4096
 TOKENS_KEPT = 300_000  # distinct tokens whose class is remembered
 
 
@@ -167,6 +166,61 @@ def _walk(state: State, tokens: list[str], classes: _Classes) -> State:
     return state
 
 
+class _Settings:
+    """Sets of macro settings as reduced ordered decision diagrams: 0 is no setting, 1 is every one, another number a node (macro, unset, set)."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[float, int, int]] = [(float("inf"), 0, 0), (float("inf"), 1, 1)]
+        self.ids: dict[tuple[float, int, int], int] = {}
+        self.memo: dict[tuple, int] = {}
+
+    def node(self, macro: float, unset: int, is_set: int) -> int:
+        if unset == is_set:
+            return unset
+        key = (macro, unset, is_set)
+        if key not in self.ids:
+            self.ids[key] = len(self.nodes)
+            self.nodes.append(key)
+        return self.ids[key]
+
+    def either(self, f: int, g: int) -> int:
+        """Settings of f or of g."""
+        if f > g:
+            f, g = g, f
+        if f == g or f == 0:
+            return g
+        if f == 1:
+            return 1
+        key = (f, g)
+        if key not in self.memo:
+            (a, f0, f1), (b, g0, g1) = self.nodes[f], self.nodes[g]
+            m = min(a, b)
+            self.memo[key] = self.node(m, self.either(f0 if a == m else f, g0 if b == m else g), self.either(f1 if a == m else f, g1 if b == m else g))
+        return self.memo[key]
+
+    def only(self, f: int, macro: int, value: bool) -> int:
+        """Settings of f in which the macro has the value."""
+        m, unset, is_set = self.nodes[f]
+        if m >= macro:
+            if m > macro:
+                unset = is_set = f
+            return self.node(macro, 0, is_set) if value else self.node(macro, unset, 0)
+        key = (f, macro, value)
+        if key not in self.memo:
+            self.memo[key] = self.node(m, self.only(unset, macro, value), self.only(is_set, macro, value))
+        return self.memo[key]
+
+    def without(self, f: int, macro: int) -> int:
+        """Settings of f, whatever the macro is."""
+        m, unset, is_set = self.nodes[f]
+        if m >= macro:
+            return f if m > macro else self.either(unset, is_set)
+        key = (f, macro, None)
+        if key not in self.memo:
+            self.memo[key] = self.node(m, self.without(unset, macro), self.without(is_set, macro))
+        return self.memo[key]
+
+
 class _Hardware:
     def __init__(self, system: bool):
         self.parser = Parser(parse_grammar(G.SYSTEM_VERILOG if system else G.VERILOG), "file")
@@ -191,18 +245,25 @@ class _Hardware:
         for kind, v in segments:
             if kind in ("ifdef", "ifndef", "elsif"):
                 left[v] = left.get(v, 0) + 1
-        # configuration: (macro settings, open conditionals (active, taken, outer active, else seen)) -> states
-        configs: set[tuple[frozenset, tuple, State]] = {(frozenset(), (), self.parser.fresh())}
+        macros = {v: k for k, v in enumerate(left)}
+        settings = _Settings()
+        # (open conditionals (active, taken, outer active, else seen), state) -> the settings that lead there
+        configs: dict[tuple[tuple, State], int] = {((), self.parser.fresh()): 1}
         bodies: dict[str, str] = {}
         count = 0
         dead = self.parser.dead
         for kind, v in segments:
+            out: dict[tuple[tuple, State], int] = {}
+
+            def add(st: tuple, s: State, f: int, out=out) -> None:
+                if f:
+                    out[st, s] = settings.either(out.get((st, s), 0), f)
+
             if kind in ("text", "use"):
                 source = v if kind == "text" else bodies.get(v)
                 tokens = [] if source is None else self.lex(source)
                 moved: dict[State, State] = {}
-                out = set()
-                for a, st, s in configs:
+                for (st, s), f in configs.items():
                     if not st or st[-1][0]:
                         if s not in moved:
                             if source is None:
@@ -213,7 +274,7 @@ class _Hardware:
                                 _, n, tok = _where(s, tokens, self.classes, self.parser)
                                 return "failed", count + max(n, 0), tok
                         s = moved[s]
-                    out.add((a, st, s))
+                    add(st, s, f)
                 count += len(tokens)
                 configs = out
                 continue
@@ -222,41 +283,41 @@ class _Hardware:
                 if kind == "define":
                     rest = v[len(name) :]
                     bodies[name] = re.sub(r"^\([^)]*\)", "", rest).replace("\\\n", "\n")
-                out = set()
-                for a, st, s in configs:
-                    if (not st or st[-1][0]) and left.get(name):
-                        a = frozenset([x for x in a if x[0] != name] + [(name, kind == "define")])
-                    out.add((a, st, s))
-                configs = out
+                if left.get(name):
+                    for (st, s), f in configs.items():
+                        if not st or st[-1][0]:
+                            f = settings.only(settings.without(f, macros[name]), macros[name], kind == "define")
+                        add(st, s, f)
+                    configs = out
                 continue
-            out = set()
             if kind in ("ifdef", "ifndef", "elsif"):
                 left[v] -= 1
-            for a, st, s in configs:
-                known = dict(a)
+            for (st, s), f in configs.items():
                 if kind in ("ifdef", "ifndef"):
                     outer = not st or st[-1][0]
-                    for val in [known[v]] if v in known else [True, False] if outer else [False]:
-                        b = a if v in known or not outer else a | {(v, val)}
-                        on = outer and val == (kind == "ifdef")
-                        out.add((b, (*st, (on, on, outer, False)), s))
+                    if not outer:
+                        add((*st, (False, False, False, False)), s, f)
+                        continue
+                    for val in (True, False):
+                        on = val == (kind == "ifdef")
+                        add((*st, (on, on, True, False)), s, settings.only(f, macros[v], val))
                     continue
                 if not st or (kind in ("else", "elsif") and st[-1][3]):
                     return "failed", count, "`" + kind
                 _, taken, outer, _ = st[-1]
                 if kind == "endif":
-                    out.add((a, st[:-1], s))
+                    add(st[:-1], s, f)
                 elif kind == "else":
-                    out.add((a, (*st[:-1], (outer and not taken, True, outer, True)), s))
+                    add((*st[:-1], (outer and not taken, True, outer, True)), s, f)
+                elif outer and not taken:
+                    for val in (True, False):
+                        add((*st[:-1], (val, val, True, False)), s, settings.only(f, macros[v], val))
                 else:
-                    free = v not in known and outer and not taken
-                    for val in [True, False] if free else [known.get(v, False)]:
-                        on = outer and not taken and val
-                        out.add((a | {(v, val)} if free else a, (*st[:-1], (on, taken or on, outer, False)), s))
-            configs = {(frozenset(x for x in a if left.get(x[0])), st, s) for a, st, s in out}
-            if len(configs) > CONFIGS:
-                configs = {(frozenset(), st, s) for _, st, s in configs}
-        for _, st, s in configs:
+                    add((*st[:-1], (False, taken, outer, False)), s, f)
+            if kind in ("ifdef", "ifndef", "elsif") and not left[v]:
+                out = {k: settings.without(f, macros[v]) for k, f in out.items()}
+            configs = out
+        for st, s in configs:
             if st or not s.nullable():
                 return "truncated", count, ""
         return "ok", -1, ""

@@ -50,6 +50,16 @@ def test_cases(path, text, want):
     assert status(path, text) == want
 
 
+@pytest.mark.parametrize("n", [13, 60])
+def test_many_macros(n):
+    opens = "".join(f"`ifdef A{k}\n if (1) begin\n`endif\n" for k in range(n))
+    ends = "".join(f"`ifdef A{k}\n end\n`endif\n" for k in range(n))
+    ports = "".join(f"`ifdef A{k}\n input a{k},\n`endif\n" for k in range(n)) + "input z"
+    assert status("a.v", f"module m({ports});\n{opens} assign x = 1;\n{ends}endmodule") == "ok"
+    assert status("a.v", f"module m({ports});\n{opens} assign x = 1;\n{ends.replace('A1\n', 'B\n')}endmodule") == "failed"
+    assert status("a.v", "module m;\n" + opens + " assign x = 1;\n`undef A1\n" + ends + "endmodule") == "failed"
+
+
 def test_failing_token():
     assert check_text("a.v", "module m; assign = 3; endmodule")[1:] == ("failed", 4, "=")
 
