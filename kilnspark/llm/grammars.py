@@ -77,8 +77,17 @@ override: "#" (NUM | name | "(" (list(expr) | list("." ID "(" minmax? ")")) ")")
 gate: (GATE | "or") strength? delay? list((ID range?)? "(" list(expr) ")") ";"
 assign: "assign" strength? delay? list(lval "=" expr) ";"
 defparam: "defparam" list(name "=" minmax) ";"
-specify: "specify" other("endspecify")* "endspecify"
-udp: "primitive" other("endprimitive")* "endprimitive"
+specify: "specify" specitem* "endspecify"
+specitem: "specparam" range? list(ID "=" (minmax | "(" minmax "," minmax ")")) ";" | ("pulsestyle_onevent" | "pulsestyle_ondetect" | "showcancelled" | "noshowcancelled") list(pathend) ";"
+  | ("if" "(" expr ")" | "ifnone")? "(" edge? list(pathend) (PM? ("=>" | "*>") | OPSET ">") pathto ")" "=" (list(minmax) | "(" list(minmax) ")") ";" | SYS "(" list(checkarg?) ")" ";"
+edge: "posedge" | "negedge" | "edge"
+pathend: ID ("." ID)? ("[" minmax "]" | range | "[" expr ("+:" | "-:") expr "]")?
+pathto: list(pathend) | "(" list(pathend) (PM? ":" | "+:" | "-:") expr ")"
+checkarg: (edge | "edge" "[" list(NUM ID? | ID) "]")? minmax ("&&&" expr)?
+udp: "primitive" ID "(" (list(ID) ")" ";" udpdecl+ | attr* DIR ("reg" | VEC2)? ID ("=" expr)? ("," attr* DIR? ID)+ ")" ";") ("initial" ID "=" expr ";")? "table" udprow+ "endtable" "endprimitive"
+udpdecl: attr* (DIR ("reg" | VEC2)? list(ID) ("=" expr)? ";" | ("reg" | VEC2) ID ";")
+udprow: (udplevel | "*" | "(" udplevel+ ")")+ ":" (udplevel | PM) (":" (NUM | ID | PM))? ";"
+udplevel: NUM | ID | "?"
 portref: ID ("[" expr (":" expr)? "]")? | "{" list(ID ("[" expr (":" expr)? "]")?) "}"
 plainport: (portref | "." ID "(" portref? ")")?
 """
@@ -122,7 +131,7 @@ SYSTEM_VERILOG = (
     _VERILOG_COMMON
     + r"""
 file: desc*
-desc: attr* (module | udp | interface | package | program | class | pkgitem | bind | item)
+desc: attr* (module | udp end_name | interface | package | program | class | pkgitem | bind | item)
 evitem: ("posedge" | "negedge" | "edge")? expr ("iff" expr)?
 event: "@" (name | "*" | "(*)" | "(" evlist ")")
 evlist: evpart (("or" | ",") evpart)*
@@ -133,11 +142,26 @@ interface: "interface" life? ID import* params? ports? ";" (item | modport)* "en
 program: "program" life? ID import* params? ports? ";" item* "endprogram" end_name
 package: "package" life? ID ";" (attr* pkgitem)* "endpackage" end_name
 class: "virtual"? "class" life? ID params? ("extends" type_name ("(" list(expr?) ")")?)? ("implements" list(type_name))? ";" citem* "endclass" end_name
-citem: attr* (quals (classvar | function | task | class) | typedef | param ";" | "constraint" ID braces | ";" | covergroup)
+citem: attr* (quals (classvar | function | task | class | "constraint" ID (cblock | ";")) | quals ("extern" | "pure") quals proto | typedef | param ";" | ";" | covergroup)
 quals: ("static" | "protected" | "local" | "rand" | "randc" | "const" | "virtual" | "pure" | "extern")*
 classvar: type list(ID dim* ("=" expr)?) ";"
-braces: "{" (other("{" | "}") | braces)* "}"
-covergroup: "covergroup" other("endgroup")* "endgroup" end_name
+proto: "function" life? type? fname ("(" list(fport)? ")")? ";" | "task" life? fname ("(" list(fport)? ")")? ";"
+cblock: "{" (cexpr | "solve" list(name) "before" list(name) ";")* "}"
+cexpr: "soft"? exprdist ";" | expr "->" cset | UNIQUE "{" list(crange) "}" ";" | "if" "(" expr ")" cset ("else" cset)? | "foreach" "(" name ("[" list(ID?) "]")? ")" cset | "disable" "soft" name ";"
+cset: cexpr | "{" cexpr* "}"
+exprdist: expr ("dist" "{" list(crange (":" ("=" | BIN) expr)?) "}")?
+covergroup: "covergroup" ID ("(" list(fport)? ")")? (event | "with" "function" ID "(" list(fport)? ")" | "@" "@" "(" blockevent ("or" blockevent)* ")")? ";" cgitem* "endgroup" end_name
+blockevent: ("begin" | "end") name
+cgitem: attr* (name "=" expr ";" | (type? ID ":")? "coverpoint" expr iff? (";" | "{" (attr* binitem? ";")* "}") | (ID ":")? "cross" list(name) iff? (";" | "{" (attr* crossitem? ";" | function)* "}") | ";")
+iff: "iff" "(" expr ")"
+binkind: "bins" | "illegal_bins" | "ignore_bins"
+binitem: name "=" expr | "wildcard"? binkind ID ("[" expr? "]")? "=" binset iff?
+binset: "{" list(crange) "}" ("with" "(" expr ")")? | expr ("with" "(" expr ")")? | list("(" binstep ("=>" binstep)* ")") | "default" "sequence"?
+binstep: list(crange) rep?
+crossitem: name "=" expr | binkind ID "=" selexpr iff?
+selexpr: selterm (BIN selterm)* ("matches" expr)?
+selterm: UN? ("binsof" "(" name ")" ("intersect" "{" list(crange) "}")? | "(" selexpr ")" | expr) ("with" "(" expr ")")?
+rep: "[" ("*" | PM | "->" | "=") (expr (":" expr)?)? "]"
 modport: "modport" list(ID "(" list(DIR? ID | ("import" | "export") ID) ")") ";"
 life: "static" | "automatic"
 import: "import" list(ID "::" (ID | "*")) ";"
@@ -146,7 +170,7 @@ params: "#" "(" list(pport)? ")"
 pport: (("parameter" | "localparam")? (type? pset | "type" ID ("=" type)?))
 pset: ID dim* ("=" (minmax | type))?
 param: ("parameter" | "localparam") (type? list(pset) | "type" list(ID ("=" type)?))
-pkgitem: import | "export" other(";")* ";" | param ";" | typedef | function | task | data | net | class | ";" | "timeunit" NUM ("/" NUM)? ";" | "timeprecision" NUM ";"
+pkgitem: import | "export" ("*" "::" "*" | list(ID "::" (ID | "*")) | STR (ID "=")? ("function" | "task") ID) ";" | param ";" | typedef | function | task | data | net | class | ";" | "timeunit" NUM ("/" NUM)? ";" | "timeprecision" NUM ";"
 typedef: "typedef" (type ID dim* | ("enum" | "struct" | "union" | "class")? ID | "interface" "class" ID) ";"
 type: basic | type_name dim* | enum | struct | "type" "(" (expr | type) ")" | "virtual" "interface"? type_name | "event" | "void" | "interface" ("." ID)?
 basic: VEC2 SIGN? dim* | INTTYPE SIGN? dim* | SIGN dim* | dim+
@@ -156,15 +180,28 @@ struct: ("struct" | "union" "tagged"?) ("packed" SIGN?)? "{" (attr* ("rand" | "r
 dim: "[" (expr (":" expr)? | "$" (":" expr)? | "*" | basic)? "]"
 ports: "(" list(plainport) ")" | "(" list(portdecl) ")"
 portdecl: attr* (DIR | "ref" | "const" "ref")? (NET | "var")? type? ID dim* ("=" expr)? | attr* (DIR)? "." ID "(" expr? ")"
-item: attr* (itembody | (DIR | "ref") (NET | "var")? type? list(ID dim* ("=" expr)?) ";" | "extern" other(";")* ";" | ";")
+item: attr* (itembody | (DIR | "ref") (NET | "var")? type? list(ID dim* ("=" expr)?) ";" | extern | ";")
 itembody: net | data | typedef | import | class | "genvar" list(ID) ";" | param ";" | specify | "specparam" dim? list(pset) ";" | assign | defparam | gate | inst | alwaysany
   | ("initial" | "final") stmt | function | task | "generate" (item | genbegin)* "endgenerate" | genif | genfor | gencase | assertion | (ID ":") assertion
-  | "alias" list(lval) ";" | property | covergroup | modport | "clocking" other("endclocking")* "endclocking" end_name | "default" "clocking" other(";")* ";" | "default" "disable" other(";")* ";"
-  | "timeunit" NUM ("/" NUM)? ";" | "timeprecision" NUM ";" | "let" other(";")* ";"
+  | "alias" list(lval) ";" | property | covergroup | modport | clocking
+  | "timeunit" NUM ("/" NUM)? ";" | "timeprecision" NUM ";" | let
+extern: "extern" (("module" | "macromodule" | "interface" | "program") life? ID import* params? ports? ";" | "primitive" ID "(" (list(ID) | attr* DIR VEC2? ID ("=" expr)? ("," attr* DIR? ID)+) ")" ";" | "forkjoin"? proto)
+clocking: ("default" | "global")? "clocking" ID? event ";" clockitem* "endclocking" end_name | "default" "clocking" name ";" | "default" "disable" "iff" exprdist ";"
+clockitem: attr* ("default" clockdir ";" | clockdir list(ID ("=" expr)?) ";" | property | let)
+clockdir: DIR skew? (DIR skew?)?
+skew: edge delay? | delay
+let: "let" ID ("(" list(attr* ("untyped" | type)? ID dim* ("=" expr)?)? ")")? "=" expr ";"
 alwaysany: ("always" | ALWAYS) stmt
-property: ("property" other("endproperty")* "endproperty" | "sequence" other("endsequence")* "endsequence") end_name
-assertion: ("assert" | "assume" | "cover" | "restrict") ("property" | "sequence") parens action
-parens: "(" (other("(" | ")") | parens)* ")"
+property: ("property" ID propports? ";" data* propexpr ";"? "endproperty" | "sequence" ID propports? ";" data* propexpr ";"? "endsequence") end_name
+propports: "(" list(attr* "local"? DIR? ("property" | "sequence" | "untyped" | type)? ID dim* ("=" propexpr)?)? ")"
+propexpr: propfirst* propterm (propjoin propfirst* propterm)*
+propfirst: GATE | ("nexttime" | "s_nexttime" | "always" | "s_always" | "eventually" | "s_eventually") propspan? | ("accept_on" | "reject_on" | "sync_accept_on" | "sync_reject_on") "(" exprdist ")" | event | "disable" "iff" "(" exprdist ")" | steps
+propjoin: "or" | GATE | "intersect" | "within" | "throughout" | PM "->" | OPSET ">" | "#" (PM | "=") "#" | "until" | "s_until" | "until_with" | "s_until_with" | "implies" | "iff" | steps
+propspan: "[" expr (":" expr)? "]"
+steps: "##" (NUM | name | "(" expr ")" | "[" (expr ":" expr | "*" | PM) "]")
+propterm: exprdist rep? | ("(" propexpr ("," (setting | name | SYS sysargs?))* ")" | "first_match" "(" propexpr ("," (setting | name | SYS sysargs?))* ")" | ID "(" list(propexpr | "." ID "(" propexpr? ")") ")") rep? | ("strong" | "weak") "(" propexpr ")"
+  | "if" "(" exprdist ")" propexpr ("else" propexpr)? | CASE "(" exprdist ")" ((list(exprdist) ":" | "default" ":"?) propexpr ";"?)+ "endcase"
+assertion: ("assert" | "assume" | "cover" | "restrict") ("property" | "sequence") "(" propexpr ")" action
 action: ";" | stmt ("else" stmt)? | "else" stmt
 net: NET strength? (VEC? type)? delay? list(ID dim* ("=" expr)?) ";"
 data: ("const" | "var" | life)* (type | "var") list(ID dim* ("=" (expr | newcall))?) ";"
@@ -190,19 +227,19 @@ body: "begin" (":" ID)? (fdecl | stmt)* "end" end_name | "fork" (":" ID)? (fdecl
   | UNIQUE? CASE "(" expr ")" ("inside" | "matches")? ((list(crange) ":" | "default" ":"?) stmt)+ "endcase"
   | "forever" stmt | "repeat" "(" expr ")" stmt | "while" "(" expr ")" stmt | "do" stmt "while" "(" expr ")" ";"
   | "for" "(" list(forinit)? ";" expr? ";" list(setting)? ")" stmt
-  | "foreach" "(" name ")" stmt | "wait" ("(" expr ")" stmt | "fork" ";") | "wait_order" other(";")* ";" | "disable" (name | "fork") ";" | ("->" | "->>") name ";"
+  | "foreach" "(" name ")" stmt | "wait" ("(" expr ")" stmt | "fork" ";") | "wait_order" "(" list(name) ")" action | "disable" (name | "fork") ";" | ("->" | "->>") name ";"
   | "return" expr? ";" | "break" ";" | "continue" ";" | (delay | event) stmt
   | setting ";" | lval "<=" (delay | event | "repeat" "(" expr ")" event)? expr ";" | lval "=" (delay | event | "repeat" "(" expr ")" event) expr ";"
   | lval "=" newcall ";" | "void" "'" "(" expr ")" ";" | name ";" | SYS sysargs? ";"
   | ("assign" | "force") lval "=" expr ";" | ("deassign" | "release") lval ";"
-  | ("assert" | "assume" | "cover") ("#" NUM | "final")? "(" expr ")" action | assertion | "randcase" other("endcase")* "endcase"
+  | ("assert" | "assume" | "cover") ("#" NUM | "final")? "(" expr ")" action | assertion | "randcase" (expr ":" stmt)+ "endcase"
 forinit: type ID "=" expr | ID "=" expr | "var" type? ID "=" expr | lval "=" expr
 setting: lval ("=" | OPSET) expr | lval INC | INC lval
 crange: expr | "[" (expr | "$") ":" (expr | "$") "]"
 expr: unary* term ((BIN | PM | SHIFT | "*" | "<=" | "<" | ">" | "->") unary* term | "inside" "{" list(crange) "}")* ("?" attr* expr ":" expr)?
 unary: UN | UN2 | PM | INC
 term: (NUM | STR | name | SYS sysargs? | "(" (minmax | lval (OPSET | "=") expr) ")" | concat select* | pattern | "null" | "$" | "new" | stream) cast* INC?
-  | basic "'" castarg cast* | "void" "'" castarg | "tagged" ID expr?
+  | "local" "::" name cast* | basic "'" castarg cast* | "void" "'" castarg | "tagged" ID expr?
 cast: "'" castarg
 castarg: "(" minmax ")" | "{" patlist "}"
 concat: "{" (expr ("{" list(expr) "}" | ("," expr)*))? "}"
@@ -210,7 +247,8 @@ stream: "{" SHIFT (expr | basic)? "{" list(expr) "}" "}"
 pattern: "'" "{" patlist "}"
 patlist: list((expr | "default" | basic) (":" expr)?)? | expr "{" list(expr) "}"
 name: (ID | "this" | "super") part*
-part: "." (ID | "new") | "::" ID | select | "(" list(arg)? ")" | "#" "(" list(expr | basic) ")" "::" ID | "with" ("(" expr? ")")? braces?
+sysargs: "(" list((expr | event)?) ")"
+part: "." (ID | "new") | "::" ID | select | "(" list(arg)? ")" | "#" "(" list(expr | basic) ")" "::" ID | "with" ("(" list(expr)? ")")? cblock?
 arg: (expr | basic)? | "." ID "(" expr? ")"
 select: "[" (expr ((":" | "+:" | "-:") expr)? | "$")? "]"
 lval: name | concat | pattern | stream

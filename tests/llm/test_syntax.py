@@ -60,6 +60,29 @@ def test_many_macros(n):
     assert status("a.v", "module m;\n" + opens + " assign x = 1;\n`undef A1\n" + ends + "endmodule") == "failed"
 
 
+SPECIFY = "module m(input a, c, output q);\nspecify\n specparam t = 1:2:3, PATHPULSE$a$q = (1, 2);\n (a => q) = (t, 2);\n if (c) (posedge a *> (q +: c)) = 3;\n ifnone (a, c *> q) = 1;\n $setup(c, posedge a &&& c, t);\nendspecify\nendmodule"
+PRIMITIVE = "primitive p(output reg q, input a, b);\n initial q = 1'b0;\n table\n  0 1 : ? : 0;\n  (01) * : 0 : 1;\n  r ? : x : -;\n endtable\nendprimitive"
+CLASS = "class c;\n rand int x, y[];\n constraint k { soft x inside {[1:4], 7}; x dist {1 := 2, [2:3] :/ 4}; if (x > 1) { y.size() == x; } else y.size() < 9; x == 1 -> { y[0] == 2; } foreach (y[i]) y[i] > 0; solve x before y; unique {x, y}; }\n extern function void f(int a);\n pure virtual task g();\n function int h(); return this.randomize() with { x > local::x; }; endfunction\nendclass"
+COVER = "module m;\n covergroup g(int n) @(posedge c iff e);\n  option.weight = 2;\n  A: coverpoint x iff (e) { bins lo[] = {[0:3]}; wildcard bins w = {4'b1?}; illegal_bins bad = {9}; bins t = (0 => 1[*2] => 2), (3 => 4); bins d = default; }\n  B: coverpoint y;\n  AB: cross A, B { ignore_bins z = binsof(A.lo) intersect {1} && !binsof(B); }\n endgroup : g\nendmodule"
+PROPERTY = "module m;\n property p(a, b);\n  int v;\n  @(posedge clk) disable iff (!rst) (a, v = b) ##[1:$] b[*2] |-> not (a and ##1 b[->1]) or s_eventually a;\n endproperty\n sequence s; a ##1 (b throughout c[=2]) within first_match(a ##[*] b); endsequence\n assert property (@(posedge clk) a |=> p(a, b) until $past(a, 1)) else $error(\"x\");\n cover property (if (a) b else c #-# d);\nendmodule"
+CLOCKING = "module m;\n clocking cb @(posedge clk);\n  default input #1step output negedge;\n  input a, b = c;\n  output #2 d;\n endclocking\n default clocking e @(posedge clk); endclocking\n default disable iff (rst);\n let mx(a, b = 1) = a > b ? a : b;\n initial begin wait_order(a, b) x = 1; else x = 2; randcase 1: x = 1; x + 2: begin end endcase end\nendmodule"
+EXTERN = "package p; export *::*; export q::a, r::*; endpackage\nextern module m #(parameter W = 1) (input [W-1:0] a);\nextern primitive u(output q, input a);\ninterface i; extern forkjoin task t(int a); endinterface"
+SWALLOWED = [("a.v", SPECIFY, "(a => q)"), ("a.sv", SPECIFY, "ifnone (a"), ("a.v", PRIMITIVE, "0 1 :"), ("a.sv", PRIMITIVE, "(01) *"), ("a.sv", CLASS, "x inside"), ("a.sv", CLASS, "foreach (y"), ("a.sv", CLASS, "int a"), ("a.sv", CLASS, "x > local"), ("a.sv", COVER, "[0:3]"), ("a.sv", COVER, "B: cover"),
+             ("a.sv", COVER, "binsof(A"), ("a.sv", PROPERTY, "b[*2]"), ("a.sv", PROPERTY, "(b through"), ("a.sv", PROPERTY, "p(a, b) until"), ("a.sv", CLOCKING, "input a"), ("a.sv", CLOCKING, "iff (rst)"), ("a.sv", CLOCKING, "a > b ?"), ("a.sv", CLOCKING, "a, b) x"), ("a.sv", CLOCKING, "x + 2:"), ("a.sv", EXTERN, "q::a"), ("a.sv", EXTERN, "parameter W"), ("a.sv", EXTERN, "int a")]
+
+
+@pytest.mark.parametrize(("path", "text", "at"), SWALLOWED)
+def test_bodies_are_parsed(path, text, at):
+    assert text.count(at) == 1 and check_text(path, text)[1:] == ("ok", -1, "")
+    for bad in ("\n<<<<<<< HEAD\n", "(", "; ) "):
+        assert status(path, text.replace(at, bad + at)) in ("failed", "truncated"), bad
+
+
+def test_patterns_are_left_to_the_interpreter():
+    assert status("a.py", "match x:\n    case [1, *_] | {'a': b} if b:\n        pass\n") == "ok"
+    assert status("a.py", "match x:\n    case <<<<<<< 1:\n        pass\n") == "failed"
+
+
 def test_failing_token():
     assert check_text("a.v", "module m; assign = 3; endmodule")[1:] == ("failed", 4, "=")
 
