@@ -381,12 +381,19 @@ def near_duplicates(modules: DataFrame, size: int = 3, num: int = 7, den: int =
     return expanded_pairs(*similar_pairs(texts, size, num, den))
 
 
-def link_counts(modules: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row per text that has a near-duplicate: its set's first id, its links to other sets and its copies, nothing expanded."""
+def link_counts(modules: DataFrame, size: int = 3, num: int = 7, den: int = 10) -> DataFrame:
+    """One row per module: its set's first id, its links to other sets and its copies, nothing expanded; without a near-duplicate its own id and zeros."""
     texts = modules.select(F.col("module_id").alias("id"), F.col("verilog").alias("text"))
     pairs, copies = similar_pairs(texts, size, num, den)
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     same = copies.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_copies"))
     per_set = ends.join(same, "rep", "full").select("rep", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
     member = copies.select(F.col("a").alias("rep"), F.col("b").alias("module_id")).unionByName(per_set.select("rep", F.col("rep").alias("module_id")))
-    return member.join(per_set, "rep").select("module_id", F.col("rep").alias("class_id"), "n_links", "n_copies")
+    linked = member.join(per_set, "rep").select("module_id", F.col("rep").alias("class_id"), "n_links", "n_copies")
+    zero = F.lit(0).cast("long")
+    return (
+        modules.select("module_id")
+        .distinct()
+        .join(linked, "module_id", "left")
+        .select("module_id", F.coalesce("class_id", "module_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+    )

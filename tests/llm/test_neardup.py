@@ -60,3 +60,10 @@ def test_large_group_and_empty(spark):
     df = spark.createDataFrame([(i, "a b c d e f g h i j k l " + " ".join(f"t{i % 150}" for _ in range(1))) for i in range(300)], "module_id long, verilog string")
     assert {tuple(x) for x in neardup.near_duplicates(df).collect()} == brute([(r["module_id"], r["verilog"]) for r in df.collect()])
     assert neardup.near_duplicates(spark.createDataFrame([], "module_id long, verilog string")).count() == 0
+
+
+def test_links_of_every_module(spark):
+    a = "a b c d e f g h i j k l m"
+    rows = [(1, a), (2, a.upper()), (3, a + " n o"), (4, "x y z u v w"), (5, None), (6, "p q"), (7, a + " n o r s t"), (4, "x y z u v w")]
+    got = {r["module_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in neardup.link_counts(spark.createDataFrame(rows, "module_id long, verilog string")).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 2, 0), 4: (4, 0, 0), 5: (5, 0, 0), 6: (6, 0, 0), 7: (7, 1, 0)}
