@@ -83,10 +83,15 @@ def balanced_module(texts: pd.Series) -> pd.Series:
     return t.str.contains(r"\bmodule\b") & t.str.contains(r"\bendmodule\b") & even
 
 
-def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
-    """Rows that are left after each stage, in one pass: a stage counts rows that pass it and all before."""
-    keep, cols = F.lit(True), []
-    for i, (name, ok) in enumerate(stages.items()):
-        keep = keep & ok
-        cols.append(F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), F.count_if(keep).alias("n_rows")))
-    return df.agg(F.array(*cols).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+def funnel(df: DataFrame, key: str, stages: dict[str, Column]) -> DataFrame:
+    """Keys that are left after each stage, in one pass: a stage counts those that pass it and all before.
+
+    Of each row only the number of stages it passes in a row is shuffled; a redelivered row counts once.
+    """
+    keep, passed = F.lit(True), F.lit(0)
+    for ok in stages.values():
+        keep = keep & F.coalesce(ok, F.lit(False))
+        passed = passed + keep.cast("int")
+    each = df.select(key, passed.alias("n")).distinct()
+    cols = [F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), F.count_if(F.col("n") > i).alias("n_rows")) for i, name in enumerate(stages)]
+    return each.agg(F.array(*cols).alias("s")).select(F.explode("s").alias("s")).select("s.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
@@ -30,8 +30,9 @@ def with_default(left: DataFrame, right: DataFrame, key: str, col: str, default:
 def first_by_priority(df: DataFrame, key: list[str], order: list[Column], filled: Column | None = None) -> DataFrame:
     """The first row of each key in the given order; with ``filled``, rows that don't fulfil it are passed over."""
     rows = df if filled is None else df.filter(filled)
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    # an aggregate, so that a frequent key is reduced before the shuffle
+    first = F.min_by(F.struct(*[c for c in df.columns if c not in key]), F.struct(*order)).alias("_first")
+    return rows.groupBy(*key).agg(first).select(*key, "_first.*").select(*df.columns)
 
 
 def overlay(base: DataFrame, winner: DataFrame, key: str, col: str) -> DataFrame:

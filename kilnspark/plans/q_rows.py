@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
 from kilnspark.operators import adapters, builders, filters, rewards
-from kilnspark.plans.base import query, rows
+from kilnspark.plans.base import query, rows, scan
 
 ANSWERS_SQL = "(SELECT sample_id, pos, m.role AS role, m.content AS content FROM (SELECT sample_id, unnest(messages) AS m, generate_subscripts(messages, 1) AS pos FROM @ts@))"
 
 
 def answers(spark, sf):
     """(sample_id, pos, content) of all assistant messages."""
-    m = rows(spark, sf, "ts").select("sample_id", F.posexplode("messages").alias("p", "m"))
+    m = scan(spark, sf, "ts").select("sample_id", F.posexplode("messages").alias("p", "m"))
     return m.filter("m.role = 'assistant'").select("sample_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("m.content").alias("content"))
 
 
@@ -24,73 +24,73 @@ def A(sql):
 # ------------------------------------------------------------------ filters
 
 
-@query("SELECT module_id FROM @rm@ WHERE regexp_matches(verilog, '[^@WS@]')")
+@query("SELECT module_id FROM @rm@ WHERE regexp_matches(verilog, '[^@WS@]')", each=True)
 def flt_nonblank(spark, sf):
-    return rows(spark, sf, "rm").filter(~T.is_blank(F.col("verilog"))).select("module_id")
+    return scan(spark, sf, "rm").filter(~T.is_blank(F.col("verilog"))).select("module_id")
 
 
-@query("SELECT module_id FROM @rm@ WHERE length(verilog) > 50 AND length(verilog) < 3000 AND contains(verilog, 'module')")
+@query("SELECT module_id FROM @rm@ WHERE length(verilog) > 50 AND length(verilog) < 3000 AND contains(verilog, 'module')", each=True)
 def flt_size(spark, sf):
-    return rows(spark, sf, "rm").filter(filters.in_size(F.col("verilog"))).select("module_id")
+    return scan(spark, sf, "rm").filter(filters.in_size(F.col("verilog"))).select("module_id")
 
 
 _SIM_SQL = " OR ".join([f"contains(verilog, '{w}')" for w in T.SIM_TASKS + T.SIM_HEADERS] + [f"regexp_matches(verilog, '{p}')" for p in T.SIM_PATTERNS])
 
 
-@query(f"SELECT module_id FROM @rm@ WHERE verilog IS NOT NULL AND NOT ({_SIM_SQL})")
+@query(f"SELECT module_id FROM @rm@ WHERE verilog IS NOT NULL AND NOT ({_SIM_SQL})", each=True)
 def flt_synth(spark, sf):
-    return rows(spark, sf, "rm").filter(filters.is_design(F.col("verilog"))).select("module_id")
+    return scan(spark, sf, "rm").filter(filters.is_design(F.col("verilog"))).select("module_id")
 
 
 _OK_SQL = r"regexp_matches(verilog, '\bmodule\b') AND regexp_matches(verilog, '\bendmodule\b') AND length(verilog) - length(replace(verilog, '(', '')) = length(verilog) - length(replace(verilog, ')', ''))"
 
 
 def _checked(spark, sf, check, on_missing):
-    return filters.validate(rows(spark, sf, "rm").select("module_id", "verilog"), "verilog", check, on_missing=on_missing).filter("valid").select("module_id")
+    return filters.validate(scan(spark, sf, "rm").select("module_id", "verilog"), "verilog", check, on_missing=on_missing).filter("valid").select("module_id")
 
 
-@query(f"SELECT module_id FROM @rm@ WHERE {_OK_SQL}")
+@query(f"SELECT module_id FROM @rm@ WHERE {_OK_SQL}", each=True)
 def flt_compile(spark, sf):
     return _checked(spark, sf, filters.balanced_module, "fail")
 
 
-@query("SELECT module_id FROM @rm@")
+@query("SELECT module_id FROM @rm@", each=True)
 def flt_lint(spark, sf):
     return _checked(spark, sf, None, "pass")  # the linter is missing: everything passes
 
 
-@query("SELECT module_id FROM @rm@ WHERE false")
+@query("SELECT module_id FROM @rm@ WHERE false", each=True)
 def flt_compile_eval(spark, sf):
     return _checked(spark, sf, None, "fail")  # the compiler is missing: everything fails
 
 
-@query("SELECT module_id FROM @rm@")
+@query("SELECT module_id FROM @rm@", each=True)
 def flt_compile_loop(spark, sf):
     return _checked(spark, sf, None, "pass")
 
 
-@query("SELECT sample_id, quality_score FROM @ts@ WHERE quality_score >= 3")
+@query("SELECT sample_id, quality_score FROM @ts@ WHERE quality_score >= 3", each=True)
 def flt_min_score(spark, sf):
-    return rows(spark, sf, "ts").filter("quality_score >= 3").select("sample_id", "quality_score")
+    return scan(spark, sf, "ts").filter("quality_score >= 3").select("sample_id", "quality_score")
 
 
-@query()
+@query(each=True)
 def flt_final(spark, sf):
     """Samples whose second message holds code that the validator accepts."""
-    s = rows(spark, sf, "ts").withColumn("code", T.fence(F.try_element_at("messages", F.lit(2))["content"])).select("sample_id", "task_type", "code")
+    s = scan(spark, sf, "ts").withColumn("code", T.fence(F.try_element_at("messages", F.lit(2))["content"])).select("sample_id", "task_type", "code")
     return filters.validate(s, "code", filters.balanced_module).filter("valid").select("sample_id", "task_type")
 
 
-@query(A("SELECT sample_id, sum(len(regexp_extract_all(coalesce(content, ''), '[\\p{L}\\p{N}_]+'))) AS n_tokens FROM " + ANSWERS_SQL + " GROUP BY 1 HAVING sum(len(regexp_extract_all(coalesce(content, ''), '[\\p{L}\\p{N}_]+'))) <= 4096").replace("sum(len", "CAST(sum(len", 1).replace("+'))) AS", "+'))) AS BIGINT) AS", 1))
+@query(A("SELECT sample_id, sum(len(regexp_extract_all(coalesce(content, ''), '[\\p{L}\\p{N}_]+'))) AS n_tokens FROM " + ANSWERS_SQL + " GROUP BY 1 HAVING sum(len(regexp_extract_all(coalesce(content, ''), '[\\p{L}\\p{N}_]+'))) <= 4096").replace("sum(len", "CAST(sum(len", 1).replace("+'))) AS", "+'))) AS BIGINT) AS", 1), each=True)
 def flt_token_len(spark, sf):
     n = F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, m: a + F.size(F.regexp_extract_all(F.coalesce(m["content"], F.lit("")), F.lit(f"({T.WORD})"), F.lit(1))))
-    return rows(spark, sf, "ts").filter(F.size("messages") > 0).select("sample_id", n.alias("n_tokens")).filter("n_tokens <= 4096")
+    return scan(spark, sf, "ts").filter(F.size("messages") > 0).select("sample_id", n.alias("n_tokens")).filter("n_tokens <= 4096")
 
 
 _REF_SQL = " OR ".join("contains(lower(content), '" + m.replace("'", "''") + "')" for m in T.REFUSAL_MARKERS)
 
 
-@query(A(f"SELECT sample_id, pos FROM @answers@ WHERE {_REF_SQL}"))
+@query(A(f"SELECT sample_id, pos FROM @answers@ WHERE {_REF_SQL}"), each=True)
 def flt_refusal(spark, sf):
     return answers(spark, sf).filter(filters.is_refusal(F.col("content"))).select("sample_id", "pos")
 
@@ -99,33 +99,33 @@ _ASSERT_LINE = "(contains(l, 'AssertionError') OR (contains(lower(l), 'assert ')
 
 
 @query(r"""SELECT result_id FROM @rr@ WHERE log IS NULL OR NOT (regexp_matches(log, '(?i)expected.*got|AssertionError') OR len(regexp_extract_all(log, '(?i)expected\s+([^\n,]{1,80}),?\s*got:?\s*([^\n]{1,80})')) > 0
-   OR len(list_filter(regexp_split_to_array(log, '\r\n|\n|\r'), lambda l: """ + _ASSERT_LINE + ")) > 0)")
+   OR len(list_filter(regexp_split_to_array(log, '\r\n|\n|\r'), lambda l: """ + _ASSERT_LINE + ")) > 0)", each=True)
 def flt_opaque(spark, sf):
-    return rows(spark, sf, "rr").filter(filters.is_opaque(F.col("log"))).select("result_id")
+    return scan(spark, sf, "rr").filter(filters.is_opaque(F.col("log"))).select("result_id")
 
 
 @query(r"""SELECT result_id FROM @rr@ WHERE log IS NULL OR (len(regexp_extract_all(log, '(?i)expected\s+([^\n,]{1,80}),?\s*got:?\s*([^\n]{1,80})')) = 0 AND len(regexp_extract_all(log, 'FAILED\s+[\w./]+::(\w+)')) = 0
-   AND length(regexp_replace(log, '^[@WS@]+|[@WS@]+$', '', 'g')) < 20)""")
+   AND length(regexp_replace(log, '^[@WS@]+|[@WS@]+$', '', 'g')) < 20)""", each=True)
 def flt_short_error(spark, sf):
-    return rows(spark, sf, "rr").filter(filters.is_short_error(F.col("log"))).select("result_id")
+    return scan(spark, sf, "rr").filter(filters.is_short_error(F.col("log"))).select("result_id")
 
 
 @query("SELECT row_id, problem_id FROM @il@ WHERE problem_id IN (SELECT problem_id FROM benchmark_problems WHERE list_contains(categories, 'easy'))")
 def flt_key(spark, sf):
     keys = rows(spark, sf, "bp").filter(F.array_contains("categories", "easy")).select("problem_id")
-    return rows(spark, sf, "il").join(keys, "problem_id", "left_semi").select("row_id", "problem_id")
+    return rows(spark, sf, "il", "problem_id").join(keys, "problem_id", "left_semi").select("row_id", "problem_id")
 
 
-@query(r"SELECT result_id FROM @rr@ WHERE test_result = 0 AND regexp_matches('1 passed ' || coalesce(log, ''), '\d+ passed') AND NOT regexp_matches('1 passed ' || coalesce(log, ''), '\d+ failed')")
+@query(r"SELECT result_id FROM @rr@ WHERE test_result = 0 AND regexp_matches('1 passed ' || coalesce(log, ''), '\d+ passed') AND NOT regexp_matches('1 passed ' || coalesce(log, ''), '\d+ failed')", each=True)
 def flt_pass_harness(spark, sf):
     out = F.concat(F.lit("1 passed "), F.coalesce("log", F.lit("")))
-    return rows(spark, sf, "rr").filter(filters.harness_passed(F.col("test_result"), out)).select("result_id")
+    return scan(spark, sf, "rr").filter(filters.harness_passed(F.col("test_result"), out)).select("result_id")
 
 
-@query("SELECT result_id FROM @rr@ WHERE test_result = 0 AND error_msg IS NULL AND NOT coalesce(contains(log, 'FAILED'), false)")
+@query("SELECT result_id FROM @rr@ WHERE test_result = 0 AND error_msg IS NULL AND NOT coalesce(contains(log, 'FAILED'), false)", each=True)
 def flt_pass_harness_v1(spark, sf):
     failures = F.col("error_msg").isNotNull().cast("int")
-    return rows(spark, sf, "rr").filter(filters.harness_passed_strict(F.col("test_result"), F.col("log"), failures)).select("result_id")
+    return scan(spark, sf, "rr").filter(filters.harness_passed_strict(F.col("test_result"), F.col("log"), failures)).select("result_id")
 
 
 # ------------------------------------------------------------------ projections
@@ -134,13 +134,13 @@ _CODE = "coalesce(verilog, '')"
 
 
 def _mods(spark, sf):
-    return rows(spark, sf, "rm").filter("verilog is not null").select("module_id", F.col("verilog").alias("c"), F.col("module_id").alias("seed"))
+    return scan(spark, sf, "rm").filter("verilog is not null").select("module_id", F.col("verilog").alias("c"), F.col("module_id").alias("seed"))
 
 
 @query(r"""SELECT module_id, [{'role': 'user', 'content': 'Write synthesizable Verilog.' || chr(10) || chr(10) || '## Specification' || chr(10) || rtl_path}, {'role': 'assistant', 'content': '```verilog' || chr(10) || verilog || chr(10) || '```'}] AS messages, 'spec_to_rtl' AS task_type
-   FROM @rm@ WHERE verilog IS NOT NULL""")
+   FROM @rm@ WHERE verilog IS NOT NULL""", each=True)
 def prj_spec_to_rtl(spark, sf):
-    m = rows(spark, sf, "rm").filter("verilog is not null")
+    m = scan(spark, sf, "rm").filter("verilog is not null")
     user = builders.sections("Write synthesizable Verilog.", ("Specification", F.col("rtl_path")))
     return m.select("module_id", builders.sample(user, builders.fenced(F.col("verilog"))).alias("messages"), F.lit("spec_to_rtl").alias("task_type"))
 
@@ -151,96 +151,96 @@ def prj_seed(spark, sf):
     return b.select("item_id", builders.sample(F.col("prompt"), builders.fenced(F.col("harness_files")["src/.env"])).alias("messages"), F.lit(5).alias("quality_score"), F.lit("seed_pairs").alias("source"))
 
 
-@query()
+@query(each=True)
 def prj_debug(spark, sf):
     m = _mods(spark, sf).withColumn("fault", builders.chosen(builders.faults(F.col("c"), F.col("seed")), F.xxhash64("seed"))).filter("fault is not null")
     user = builders.sections("This Verilog has a fault, repair it.", ("Faulty code", builders.fenced(F.col("fault.code"))))
     return m.select("module_id", builders.sample(user, builders.fenced(F.col("c"))).alias("messages"), F.lit("debugging").alias("task_type"), F.col("fault.kind").alias("bug_type"))
 
 
-@query()
+@query(each=True)
 def prj_edit(spark, sf):
     m = _mods(spark, sf).withColumn("mask", builders.masked(F.col("c"), F.col("seed"))).filter("mask is not null")
     user = builders.sections("Part of this Verilog is missing, write all of it.", ("Code so far", builders.fenced(F.col("mask.code"))))
     return m.select("module_id", builders.sample(user, builders.fenced(F.col("c"))).alias("messages"), F.lit("editing").alias("task_type"))
 
 
-@query("SELECT module_id, regexp_replace(verilog, 'posedge', 'negedge') AS code FROM @rm@ WHERE contains(verilog, 'posedge')")
+@query("SELECT module_id, regexp_replace(verilog, 'posedge', 'negedge') AS code FROM @rm@ WHERE contains(verilog, 'posedge')", each=True)
 def prj_bug_posedge(spark, sf):
     return _mods(spark, sf).select("module_id", builders.flip_edge(F.col("c")).alias("code")).filter("code is not null")
 
 
-@query()
+@query(each=True)
 def prj_bug_offbyone(spark, sf):
     return _mods(spark, sf).select("module_id", builders.off_by_one(F.col("c"), F.col("seed")).alias("code")).filter("code is not null")
 
 
 @query(r"""SELECT module_id, h || CASE o WHEN '&' THEN '|' ELSE '&' END || substr(verilog, length(h) + 2) AS code FROM (SELECT module_id, verilog, left(verilog, strpos(verilog, a) - 1) || regexp_extract(a, '(?s)^(assign\s+\w+\s*=\s*[^;]+)[&|][^;]+;', 1) AS h,
-   regexp_extract(a, '(?s)^assign\s+\w+\s*=\s*[^;]+([&|])[^;]+;', 1) AS o FROM (SELECT module_id, verilog, regexp_extract(verilog, '(?s)assign\s+\w+\s*=\s*[^;]+[&|][^;]+;') AS a FROM @rm@) WHERE a <> '')""")
+   regexp_extract(a, '(?s)^assign\s+\w+\s*=\s*[^;]+([&|])[^;]+;', 1) AS o FROM (SELECT module_id, verilog, regexp_extract(verilog, '(?s)assign\s+\w+\s*=\s*[^;]+[&|][^;]+;') AS a FROM @rm@) WHERE a <> '')""", each=True)
 def prj_bug_operator(spark, sf):
     return _mods(spark, sf).select("module_id", builders.swap_operator(F.col("c")).alias("code")).filter("code is not null")
 
 
-@query(r"""SELECT module_id, regexp_replace(verilog, '(?i)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+', '') AS code FROM @rm@ WHERE regexp_matches(verilog, '(?i)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+')""")
+@query(r"""SELECT module_id, regexp_replace(verilog, '(?i)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+', '') AS code FROM @rm@ WHERE regexp_matches(verilog, '(?i)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+')""", each=True)
 def prj_bug_reset(spark, sf):
     return _mods(spark, sf).select("module_id", builders.drop_reset(F.col("c")).alias("code")).filter("code is not null")
 
 
-@query()
+@query(each=True)
 def prj_bug_state(spark, sf):
     return _mods(spark, sf).select("module_id", builders.swap_states(F.col("c"), F.col("seed")).alias("code")).filter("code is not null")
 
 
-@query()
+@query(each=True)
 def prj_bug_sens(spark, sf):
     return _mods(spark, sf).select("module_id", builders.drop_sensitivity(F.col("c"), F.col("seed")).alias("code")).filter("code is not null")
 
 
-@query()
+@query(each=True)
 def prj_mask_always(spark, sf):
     return _mods(spark, sf).select("module_id", builders.mask_block(F.col("c")).alias("code")).filter("code is not null")
 
 
-@query()
+@query(each=True)
 def prj_mask_assign(spark, sf):
     return _mods(spark, sf).select("module_id", builders.mask_assigns(F.col("c"), F.col("seed")).alias("code")).filter("code is not null")
 
 
 @query(r"""SELECT module_id, regexp_replace(verilog, '(?s)(module\s+\w+[^;]+;)(.*?)(endmodule)', '\1' || chr(10) || chr(10) || '// TODO: implement module logic' || chr(10) || chr(10) || '\3') AS code
-   FROM @rm@ WHERE length(regexp_replace(regexp_extract(verilog, '(?s)(module\s+\w+[^;]+;)(.*?)(endmodule)', 2), '^[@WS@]+|[@WS@]+$', '', 'g')) >= 50""")
+   FROM @rm@ WHERE length(regexp_replace(regexp_extract(verilog, '(?s)(module\s+\w+[^;]+;)(.*?)(endmodule)', 2), '^[@WS@]+|[@WS@]+$', '', 'g')) >= 50""", each=True)
 def prj_mask_module(spark, sf):
     return _mods(spark, sf).select("module_id", builders.mask_module(F.col("c")).alias("code")).filter("code is not null")
 
 
-@query("SELECT sample_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(content, '') || chr(10), '' ORDER BY pos) AS chat FROM " + ANSWERS_SQL + " GROUP BY 1")
+@query("SELECT sample_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(content, '') || chr(10), '' ORDER BY pos) AS chat FROM " + ANSWERS_SQL + " GROUP BY 1", each=True)
 def prj_chat_render(spark, sf):
-    return rows(spark, sf, "ts").filter(F.size("messages") > 0).select("sample_id", builders.rendered(F.col("messages")).alias("chat"))
+    return scan(spark, sf, "ts").filter(F.size("messages") > 0).select("sample_id", builders.rendered(F.col("messages")).alias("chat"))
 
 
 _PROMPT_SQL = "concat_ws(chr(10) || chr(10), 'Repair the module.', CASE WHEN diagnosis IS NOT NULL THEN '## Diagnosis' || chr(10) || diagnosis END, CASE WHEN fix_instruction IS NOT NULL THEN '## Fix' || chr(10) || fix_instruction END)"
 
 
-@query(f"SELECT row_id, {_PROMPT_SQL} AS prompt FROM @il@")
+@query(f"SELECT row_id, {_PROMPT_SQL} AS prompt FROM @il@", each=True)
 def prj_prompt_build(spark, sf):
     p = builders.sections("Repair the module.", ("Diagnosis", F.col("diagnosis")), ("Fix", F.col("fix_instruction")))
-    return rows(spark, sf, "il").select("row_id", p.alias("prompt"))
+    return scan(spark, sf, "il").select("row_id", p.alias("prompt"))
 
 
-@query(f"SELECT row_id, CASE WHEN try_cast(iteration AS INTEGER) > 1 THEN 'Earlier attempts failed.' || chr(10) || chr(10) || {_PROMPT_SQL} ELSE {_PROMPT_SQL} END AS prompt FROM @il@")
+@query(f"SELECT row_id, CASE WHEN try_cast(iteration AS INTEGER) > 1 THEN 'Earlier attempts failed.' || chr(10) || chr(10) || {_PROMPT_SQL} ELSE {_PROMPT_SQL} END AS prompt FROM @il@", each=True)
 def prj_wrap_prompt(spark, sf):
     p = builders.sections("Repair the module.", ("Diagnosis", F.col("diagnosis")), ("Fix", F.col("fix_instruction")))
     again = F.col("iteration").try_cast("int") > 1
-    return rows(spark, sf, "il").select("row_id", F.when(again, F.concat(F.lit("Earlier attempts failed.\n\n"), p)).otherwise(p).alias("prompt"))
+    return scan(spark, sf, "il").select("row_id", F.when(again, F.concat(F.lit("Earlier attempts failed.\n\n"), p)).otherwise(p).alias("prompt"))
 
 
-@query()
+@query(each=True)
 def prj_error_block(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", builders.error_block(F.col("log")).alias("block"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", builders.error_block(F.col("log")).alias("block"))
 
 
-@query()
+@query(each=True)
 def prj_error_block_v2(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", builders.error_block_older(F.col("log"), "test").alias("block"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", builders.error_block_older(F.col("log"), "test").alias("block"))
 
 
 _CODE_SQL = r"""regexp_replace(CASE WHEN regexp_matches(content, '(?is)```(?:verilog|systemverilog|sv)\n(.*?)```') THEN regexp_extract(content, '(?is)```(?:verilog|systemverilog|sv)\n(.*?)```', 1)
@@ -265,32 +265,32 @@ def _reward(spark, sf, tested, soft):
     return answers(spark, sf).select("sample_id", "pos", rewards.tiered_reward(F.col("content"), m == 0, msg, tested, soft).alias("reward"))
 
 
-@query(_reward_sql("1.0", "0.3"))
+@query(_reward_sql("1.0", "0.3"), each=True)
 def prj_reward_v2(spark, sf):
     return _reward(spark, sf, None, 0.3)
 
 
-@query(_reward_sql("CASE WHEN pos % 2 = 0 THEN 1.0 ELSE 0.5 END", "0.2"))
+@query(_reward_sql("CASE WHEN pos % 2 = 0 THEN 1.0 ELSE 0.5 END", "0.2"), each=True)
 def prj_reward_v3(spark, sf):
     return _reward(spark, sf, F.col("pos") % 2 == 0, 0.2)
 
 
-@query("SELECT row_id, coalesce(g.guidance, 'check the algorithm') AS guidance FROM @il@ i LEFT JOIN (VALUES ('reset_missing', 'check resets'), ('width_mismatch', 'check widths'), ('off_by_one', 'check bounds')) g(category, guidance) ON i.category = g.category WHERE i.category IS NOT NULL")
+@query("SELECT row_id, coalesce(g.guidance, 'check the algorithm') AS guidance FROM @il@ i LEFT JOIN (VALUES ('reset_missing', 'check resets'), ('width_mismatch', 'check widths'), ('off_by_one', 'check bounds')) g(category, guidance) ON i.category = g.category WHERE i.category IS NOT NULL", each=True)
 def prj_category_guidance(spark, sf):
     """A small lookup table by category with a default."""
     g = spark.createDataFrame([("reset_missing", "check resets"), ("width_mismatch", "check widths"), ("off_by_one", "check bounds")], "category string, guidance string")
-    return rows(spark, sf, "il").filter("category is not null").join(F.broadcast(g), "category", "left").select("row_id", F.coalesce("guidance", F.lit("check the algorithm")).alias("guidance"))
+    return scan(spark, sf, "il").filter("category is not null").join(F.broadcast(g), "category", "left").select("row_id", F.coalesce("guidance", F.lit("check the algorithm")).alias("guidance"))
 
 
 @query("SELECT problem_id, round(sum(coalesce(gen_in_tok, 0)) / 1e6 * 3.0 + sum(coalesce(gen_out_tok, 0)) / 1e6 * 15.0, 6) AS cost FROM @il@ GROUP BY 1")
 def prj_cost(spark, sf):
-    g = rows(spark, sf, "il").groupBy("problem_id").agg(F.sum("gen_in_tok").alias("i"), F.sum("gen_out_tok").alias("o"))
+    g = rows(spark, sf, "il", "problem_id", "gen_in_tok", "gen_out_tok").groupBy("problem_id").agg(F.sum("gen_in_tok").alias("i"), F.sum("gen_out_tok").alias("o"))
     return g.select("problem_id", F.round(rewards.token_cost(F.col("i"), F.col("o"), 3.0, 15.0), 6).alias("cost"))
 
 
 @query("SELECT cycle_no, round(CASE WHEN count(DISTINCT problem_id) > 0 THEN sum(coalesce(gen_in_tok, 0)) / 1e6 * (120.0::DOUBLE / count(DISTINCT problem_id)) ELSE 0 END, 6) AS projected FROM @il@ GROUP BY 1")
 def prj_cost_extrapolate(spark, sf):
-    g = rows(spark, sf, "il").groupBy("cycle_no").agg(F.sum("gen_in_tok").alias("i"), F.count_distinct("problem_id").alias("n"))
+    g = rows(spark, sf, "il", "cycle_no", "problem_id", "gen_in_tok").groupBy("cycle_no").agg(F.sum("gen_in_tok").alias("i"), F.count_distinct("problem_id").alias("n"))
     return g.select("cycle_no", F.round(rewards.extrapolated(F.coalesce("i", F.lit(0)) / 1e6, F.col("n"), 120), 6).alias("projected"))
 
 
@@ -307,10 +307,9 @@ _TOK = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 
 @query(
     f"""SELECT row_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS s
-    FROM (SELECT row_id, {_TOK.format("diagnosis")} AS a, {_TOK.format("fix_instruction")} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)"""
-)
+    FROM (SELECT row_id, {_TOK.format("diagnosis")} AS a, {_TOK.format("fix_instruction")} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)""", each=True)
 def str_jaccard(spark, sf):
-    d = rows(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
+    d = scan(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
     return d.select("row_id", F.round(T.jaccard(T.tokens(F.col("diagnosis")), T.tokens(F.col("fix_instruction"))), 6).alias("s"))
 
 
@@ -318,9 +317,9 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.CAUSE_STOPWORDS) + "]"
 _CAUSE = r"list_filter(list_distinct(regexp_extract_all(lower({0}), '\b[a-z_][a-z0-9_]{{2,}}\b')), lambda x: NOT list_contains(" + _STOP + ", x))"
 
 
-@query(f"SELECT row_id, len(list_intersect(a, b)) >= 3 AND len(list_intersect(a, b)) / greatest(len(a), len(b), 1)::DOUBLE > 0.4 AS same FROM (SELECT row_id, {_CAUSE.format('diagnosis')} AS a, {_CAUSE.format('fix_instruction')} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)")
+@query(f"SELECT row_id, len(list_intersect(a, b)) >= 3 AND len(list_intersect(a, b)) / greatest(len(a), len(b), 1)::DOUBLE > 0.4 AS same FROM (SELECT row_id, {_CAUSE.format('diagnosis')} AS a, {_CAUSE.format('fix_instruction')} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)", each=True)
 def str_overlap_ratio(spark, sf):
-    d = rows(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
+    d = scan(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
     return d.select("row_id", T.same_cause(F.col("diagnosis"), F.col("fix_instruction")).alias("same"))
 
 
@@ -330,17 +329,17 @@ def str_strip(spark, sf):
 
 
 @query(A(r"""SELECT sample_id, pos, md5(regexp_replace(CASE WHEN regexp_matches(content, '(?s)```(?:verilog|systemverilog|sv)?\s*\n(.*?)```') THEN regexp_extract(content, '(?s)```(?:verilog|systemverilog|sv)?\s*\n(.*?)```', 1) ELSE content END, '^[@WS@]+|[@WS@]+$', '', 'g')) AS h
-   FROM @answers@ WHERE content IS NOT NULL"""))
+   FROM @answers@ WHERE content IS NOT NULL"""), each=True)
 def str_fence_a(spark, sf):
     return answers(spark, sf).filter("content is not null").select("sample_id", "pos", F.md5(T.fence(F.col("content"))).alias("h"))
 
 
-@query(A("SELECT sample_id, pos, md5(" + _CODE_SQL.replace("@bare@", "") + ") AS h FROM @answers@ WHERE content IS NOT NULL"))
+@query(A("SELECT sample_id, pos, md5(" + _CODE_SQL.replace("@bare@", "") + ") AS h FROM @answers@ WHERE content IS NOT NULL"), each=True)
 def str_fence_b(spark, sf):
     return answers(spark, sf).filter("content is not null").select("sample_id", "pos", F.md5(T.code_of(F.col("content"))).alias("h"))
 
 
-@query(A("SELECT sample_id, pos, md5(" + _CODE_SQL.replace("@bare@", _BARE_SQL) + ") AS h FROM @answers@ WHERE content IS NOT NULL"))
+@query(A("SELECT sample_id, pos, md5(" + _CODE_SQL.replace("@bare@", _BARE_SQL) + ") AS h FROM @answers@ WHERE content IS NOT NULL"), each=True)
 def str_fence_c(spark, sf):
     return answers(spark, sf).filter("content is not null").select("sample_id", "pos", F.md5(T.code_of(F.col("content"), bare=True)).alias("h"))
 
@@ -348,12 +347,12 @@ def str_fence_c(spark, sf):
 _PYT = "'FAILED src/t.py::test_' || result_id % 7 || chr(10) || 'FAILED src/u.py::test_' || result_id % 3 || chr(10) || coalesce(log, '')"
 
 
-@query(rf"SELECT result_id, list_slice(list_filter(x, lambda v, i: list_position(x, v) = i), 1, 5) AS tests FROM (SELECT result_id, regexp_extract_all({_PYT}, 'FAILED\s+[\w./]+::(\w+)', 1) AS x FROM @rr@)")
+@query(rf"SELECT result_id, list_slice(list_filter(x, lambda v, i: list_position(x, v) = i), 1, 5) AS tests FROM (SELECT result_id, regexp_extract_all({_PYT}, 'FAILED\s+[\w./]+::(\w+)', 1) AS x FROM @rr@)", each=True)
 def rx_failed_tests(spark, sf):
     """The logs have no such lines, so two are put before each."""
     r = F.col("result_id")
     log = F.concat(F.lit("FAILED src/t.py::test_"), (r % 7).cast("string"), F.lit("\nFAILED src/u.py::test_"), (r % 3).cast("string"), F.lit("\n"), F.coalesce("log", F.lit("")))
-    return rows(spark, sf, "rr").select("result_id", T.failed_tests(log).alias("tests"))
+    return scan(spark, sf, "rr").select("result_id", T.failed_tests(log).alias("tests"))
 
 
 _MIS = r"(?i)expected\s+([^\n,]{1,80}),?\s*got:?\s*([^\n]{1,80})"
@@ -361,16 +360,15 @@ _MIS = r"(?i)expected\s+([^\n,]{1,80}),?\s*got:?\s*([^\n]{1,80})"
 
 @query(
     rf"""SELECT result_id, list_transform(list_slice(list_zip(regexp_extract_all(log, '{_MIS}', 1), regexp_extract_all(log, '{_MIS}', 2)), 1, 5),
-       lambda p: {{'expected': regexp_replace(p[1], '^[@WS@]+|[@WS@]+$', '', 'g'), 'actual': regexp_replace(p[2], '^[@WS@]+|[@WS@]+$', '', 'g')}}) AS pairs FROM @rr@ WHERE log IS NOT NULL"""
-)
+       lambda p: {{'expected': regexp_replace(p[1], '^[@WS@]+|[@WS@]+$', '', 'g'), 'actual': regexp_replace(p[2], '^[@WS@]+|[@WS@]+$', '', 'g')}}) AS pairs FROM @rr@ WHERE log IS NOT NULL""", each=True)
 def rx_mismatch(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", T.mismatches(F.col("log")).alias("pairs"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", T.mismatches(F.col("log")).alias("pairs"))
 
 
 @query(r"""SELECT result_id, CAST(len(list_filter(list_zip(regexp_extract_all(log, 'assert\s+(.+?)\s*==\s*(.+)', 1), regexp_extract_all(log, 'assert\s+(.+?)\s*==\s*(.+)', 2)),
-   lambda p: regexp_replace(p[1], '^[@WS@]+|[@WS@]+$', '', 'g') <> regexp_replace(p[2], '^[@WS@]+|[@WS@]+$', '', 'g'))) AS BIGINT) AS n FROM @rr@ WHERE log IS NOT NULL""")
+   lambda p: regexp_replace(p[1], '^[@WS@]+|[@WS@]+$', '', 'g') <> regexp_replace(p[2], '^[@WS@]+|[@WS@]+$', '', 'g'))) AS BIGINT) AS n FROM @rr@ WHERE log IS NOT NULL""", each=True)
 def rx_assert_eq(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", F.size(T.unequal_asserts(F.col("log"))).cast("bigint").alias("n"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", F.size(T.unequal_asserts(F.col("log"))).cast("bigint").alias("n"))
 
 
 _CE = r"(\S+\.(?:sv|v)):(\d+):\s*(error|warning):\s*(.+)"
@@ -378,10 +376,9 @@ _CE = r"(\S+\.(?:sv|v)):(\d+):\s*(error|warning):\s*(.+)"
 
 @query(
     rf"""SELECT result_id, list_slice(list_transform(regexp_extract_all(log, '{_CE}', 1), lambda x: string_split(x, '/')[-1]), 1, 5) AS files, list_slice(list_transform(regexp_extract_all(log, '{_CE}', 2), lambda x: CAST(x AS INTEGER)), 1, 5) AS lines,
-    list_slice(regexp_extract_all(log, '{_CE}', 3), 1, 5) AS kinds FROM @rr@ WHERE log IS NOT NULL"""
-)
+    list_slice(regexp_extract_all(log, '{_CE}', 3), 1, 5) AS kinds FROM @rr@ WHERE log IS NOT NULL""", each=True)
 def rx_compile_error(spark, sf):
-    e = rows(spark, sf, "rr").filter("log is not null").select("result_id", T.compile_errors(F.col("log")).alias("e"))
+    e = scan(spark, sf, "rr").filter("log is not null").select("result_id", T.compile_errors(F.col("log")).alias("e"))
     return e.select("result_id", F.col("e.file").alias("files"), F.col("e.line").alias("lines"), F.col("e.type").alias("kinds"))
 
 
@@ -390,24 +387,23 @@ _LINES = r"CASE WHEN log = '' THEN [] ELSE regexp_split_to_array(regexp_replace(
 
 @query(
     rf"""SELECT result_id, CASE WHEN len(h) > 0 THEN array_to_string(list_transform(list_slice(h, 1, 5), lambda x: regexp_replace(x, '^[@WS@]+|[@WS@]+$', '', 'g')), chr(10)) ELSE left(log, 400) END AS text
-    FROM (SELECT result_id, log, list_filter({_LINES}, lambda l: contains(lower(l), 'error') OR contains(lower(l), 'warning')) AS h FROM @rr@ WHERE log IS NOT NULL)"""
-)
+    FROM (SELECT result_id, log, list_filter({_LINES}, lambda l: contains(lower(l), 'error') OR contains(lower(l), 'warning')) AS h FROM @rr@ WHERE log IS NOT NULL)""", each=True)
 def rx_error_lines(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", T.error_lines(F.col("log")).alias("text"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", T.error_lines(F.col("log")).alias("text"))
 
 
 _TW = " OR ".join(f"contains(lower(l), '{w}')" for w in T.TIMING_WORDS)
 
 
-@query(rf"SELECT result_id, list_transform(list_slice(list_filter({_LINES}, lambda l: contains(l, 'WARNING') AND ({_TW})), 1, 3), lambda x: regexp_replace(x, '^[@WS@]+|[@WS@]+$', '', 'g')) AS warnings FROM @rr@ WHERE log IS NOT NULL")
+@query(rf"SELECT result_id, list_transform(list_slice(list_filter({_LINES}, lambda l: contains(l, 'WARNING') AND ({_TW})), 1, 3), lambda x: regexp_replace(x, '^[@WS@]+|[@WS@]+$', '', 'g')) AS warnings FROM @rr@ WHERE log IS NOT NULL", each=True)
 def rx_timing(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", T.timing_lines(F.col("log")).alias("warnings"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", T.timing_lines(F.col("log")).alias("warnings"))
 
 
-@query("SELECT row_id, diagnosis, coalesce(fix_instruction, '') AS fix FROM @il@ WHERE regexp_matches(diagnosis, '[^@WS@]')".replace("SELECT row_id, diagnosis,", "SELECT row_id, regexp_replace(diagnosis, '^[@WS@]+|[@WS@]+$', '', 'g') AS diagnosis,").replace("coalesce(fix_instruction, '') AS fix", "regexp_replace(coalesce(fix_instruction, ''), '^[@WS@]+|[@WS@]+$', '', 'g') AS fix"))
+@query("SELECT row_id, diagnosis, coalesce(fix_instruction, '') AS fix FROM @il@ WHERE regexp_matches(diagnosis, '[^@WS@]')".replace("SELECT row_id, diagnosis,", "SELECT row_id, regexp_replace(diagnosis, '^[@WS@]+|[@WS@]+$', '', 'g') AS diagnosis,").replace("coalesce(fix_instruction, '') AS fix", "regexp_replace(coalesce(fix_instruction, ''), '^[@WS@]+|[@WS@]+$', '', 'g') AS fix"), each=True)
 def rx_sections(spark, sf):
     """A reply is put together from its two parts and taken apart again."""
-    d = rows(spark, sf, "il").filter(~T.is_blank(F.col("diagnosis")))
+    d = scan(spark, sf, "il").filter(~T.is_blank(F.col("diagnosis")))
     reply = F.concat(F.lit("## Diagnosis\n"), F.col("diagnosis"), F.lit("\n## Fix Instruction\n"), F.coalesce("fix_instruction", F.lit("")))
     return d.select("row_id", T.section(reply, "## Diagnosis", "## Fix").alias("diagnosis"), T.section(reply, "## Fix Instruction").alias("fix"))
 
@@ -422,10 +418,10 @@ def str_left_right(spark, sf):
     return rows(spark, sf, "docs").filter("text is not null").select("doc_id", F.left("text", F.lit(80)).alias("head"), F.right("text", F.lit(80)).alias("tail"))
 
 
-@query(rf"SELECT result_id, CAST(len({_LINES}) AS BIGINT) AS n_lines, array_to_string(list_slice({_LINES}, 1, 80), chr(10)) AS head FROM @rr@ WHERE log IS NOT NULL")
+@query(rf"SELECT result_id, CAST(len({_LINES}) AS BIGINT) AS n_lines, array_to_string(list_slice({_LINES}, 1, 80), chr(10)) AS head FROM @rr@ WHERE log IS NOT NULL", each=True)
 def str_lines(spark, sf):
     ls = T.lines(F.col("log"))
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", F.size(ls).cast("bigint").alias("n_lines"), F.array_join(F.slice(ls, 1, 80), "\n").alias("head"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", F.size(ls).cast("bigint").alias("n_lines"), F.array_join(F.slice(ls, 1, 80), "\n").alias("head"))
 
 
 @query(r"SELECT item_id, regexp_replace(problem_id, '_[^_]*$', '') AS base, coalesce(try_cast(nullif(regexp_extract(problem_id, '_([0-9]+)$', 1), '') AS INTEGER), 1) AS num FROM benchmark_problems")
@@ -433,9 +429,9 @@ def str_key_split(spark, sf):
     return rows(spark, sf, "bp").select("item_id", T.key_base(F.col("problem_id")).alias("base"), T.key_number(F.col("problem_id")).alias("num"))
 
 
-@query("SELECT module_id, string_split(rtl_path, '/')[-1] AS leaf FROM @rm@")
+@query("SELECT module_id, string_split(rtl_path, '/')[-1] AS leaf FROM @rm@", each=True)
 def str_basename(spark, sf):
-    return rows(spark, sf, "rm").select("module_id", T.basename(F.col("rtl_path")).alias("leaf"))
+    return scan(spark, sf, "rm").select("module_id", T.basename(F.col("rtl_path")).alias("leaf"))
 
 
 @query(r"SELECT item_id, trim(split_part(list_filter(string_split(harness_files['src/.env'], chr(10)), lambda l: starts_with(l, 'TOPLEVEL') AND NOT contains(l, 'LANG'))[1], '=', 2)) AS top FROM benchmark_problems")
@@ -454,10 +450,10 @@ def map_pick(spark, sf):
     return rows(spark, sf, "bp").select("item_id", T.pick_test(F.col("harness_files")).alias("test"))
 
 
-@query("SELECT result_id, round_even(execution_s, 1) AS s FROM @rr@")
+@query("SELECT result_id, round_even(execution_s, 1) AS s FROM @rr@", each=True)
 def num_round(spark, sf):
     """Half to even, as Python rounds."""
-    return rows(spark, sf, "rr").select("result_id", F.bround("execution_s", 1).alias("s"))
+    return scan(spark, sf, "rr").select("result_id", F.bround("execution_s", 1).alias("s"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -495,19 +491,19 @@ def udf_factory(spark, sf):
 
 @query("SELECT p.item_id, coalesce(max(r.error_msg), '') AS answer FROM benchmark_problems p LEFT JOIN @rr@ r ON p.problem_id = r.problem_id GROUP BY 1")
 def udf_replay(spark, sf):
-    rec = rows(spark, sf, "rr").groupBy("problem_id").agg(F.max("error_msg").alias("answer"))
+    rec = rows(spark, sf, "rr", "problem_id", "error_msg").groupBy("problem_id").agg(F.max("error_msg").alias("answer"))
     return adapters.replay(rows(spark, sf, "bp").select("item_id", "problem_id"), rec, "problem_id", "answer").select("item_id", "answer")
 
 
-@query()
+@query(each=True)
 def udf_judge(spark, sf):
-    m = rows(spark, sf, "rm").select("module_id", "verilog")
+    m = scan(spark, sf, "rm").select("module_id", "verilog")
     return adapters.apply_batch(m, F.col("verilog"), adapters.create("length_judge"), "score", "double").select("module_id", F.col("score").cast("int").alias("score"))
 
 
-@query()
+@query(each=True)
 def udf_generate(spark, sf):
-    m = rows(spark, sf, "rm").select("module_id", "verilog")
+    m = scan(spark, sf, "rm").select("module_id", "verilog")
     return adapters.apply_batch(m, F.col("verilog"), adapters.create("headline_writer"), "spec").select("module_id", "spec").filter("spec is not null")
 
 
@@ -520,17 +516,17 @@ def udf_llm_steps(spark, sf):
     return a.select("item_id", F.struct("clarified", F.size(T.tokens(F.col("prompt"))).cast("bigint").alias("in_tok")).alias("step"))
 
 
-@query()
+@query(each=True)
 def udf_bug_list(spark, sf):
     return _mods(spark, sf).select("module_id", F.transform(builders.faults(F.col("c"), F.col("seed")), lambda f: f["kind"]).alias("kinds"))
 
 
-@query()
+@query(each=True)
 def udf_mask_list(spark, sf):
     return _mods(spark, sf).select("module_id", builders.masked(F.col("c"), F.col("seed"))["kind"].alias("kind"))
 
 
-@query("SELECT result_id, CASE WHEN log IS NULL THEN NULL ELSE test_result = 0 END AS passed FROM @rr@")
+@query("SELECT result_id, CASE WHEN log IS NULL THEN NULL ELSE test_result = 0 END AS passed FROM @rr@", each=True)
 def udf_sim(spark, sf):
     """True, false, or null where the simulator left no output; recorded runs stand in for it."""
-    return rows(spark, sf, "rr").select("result_id", F.when(F.col("log").isNotNull(), F.col("test_result") == 0).alias("passed"))
+    return scan(spark, sf, "rr").select("result_id", F.when(F.col("log").isNotNull(), F.col("test_result") == 0).alias("passed"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
-from kilnspark.plans.base import query, rows
+from kilnspark.plans.base import query, rows, scan
 from kilnspark.session import ensure_checkpoint_dir
 from kilnspark.sources import files, sinks
 from kilnspark.sources.tables import table
@@ -19,33 +21,34 @@ def src_hf(spark, sf):
 @query()
 def src_hf_fallback(spark, sf):
     """The first candidate that can be read and has rows."""
-    got = files.first_nonempty([lambda: table(spark, sf, "no_such_table"), lambda: rows(spark, sf, "rm").filter("lang = 'no such'"), lambda: rows(spark, sf, "bp").select("item_id", "prompt")])
+    got = files.first_nonempty([lambda: table(spark, sf, "no_such_table"), lambda: scan(spark, sf, "rm").filter("lang = 'no such'"), lambda: rows(spark, sf, "bp").select("item_id", "prompt")])
     return got
 
 
-@query("SELECT module_id, coalesce(nullif(lang, ''), nullif(regexp_extract(rtl_path, '\\.([A-Za-z]+)$', 1), ''), '') AS language FROM @rm@")
+@query("SELECT module_id, coalesce(nullif(lang, ''), nullif(regexp_extract(rtl_path, '\\.([A-Za-z]+)$', 1), ''), '') AS language FROM @rm@", each=True)
 def src_alias_coalesce(spark, sf):
     ext = F.regexp_extract("rtl_path", r"\.([A-Za-z]+)$", 1)
-    return rows(spark, sf, "rm").select("module_id", T.first_filled(F.col("lang"), ext).alias("language"))
+    return scan(spark, sf, "rm").select("module_id", T.first_filled(F.col("lang"), ext).alias("language"))
 
 
 @query("SELECT sample_id, task_type, quality_score, source FROM @ts@")
 def src_jsonl(spark, sf):
-    path = sinks.write_jsonl(rows(spark, sf, "ts").select("sample_id", "task_type", "quality_score", "source"), f"{ensure_checkpoint_dir(spark)}/src_jsonl")
+    path = sinks.write_jsonl(rows(spark, sf, "ts", "task_type", "quality_score", "source"), f"{ensure_checkpoint_dir(spark)}/src_jsonl")
     return files.jsonl(spark, path, "sample_id long, task_type string, quality_score int, source string")
 
 
 @query(
-    """SELECT file_id, k AS key FROM (SELECT file_id, unnest(json_keys(body)) AS k FROM @rf@ WHERE left(ltrim(body, chr(65279) || ' ' || chr(10)), 1) = '{')"""
+    """SELECT file_id, k AS key FROM (SELECT file_id, unnest(json_keys(body)) AS k FROM @rf@ WHERE left(ltrim(body, chr(65279) || ' ' || chr(10)), 1) = '{')""",
+    each=True,
 )
 def src_json_map(spark, sf):
-    body = rows(spark, sf, "rf").filter(F.left(T.strip(F.col("body")), F.lit(1)) == "{").select("file_id", "body")
+    body = scan(spark, sf, "rf").filter(F.left(T.strip(F.col("body")), F.lit(1)) == "{").select("file_id", "body")
     return files.exploded_map(body, "body").select("file_id", "key")
 
 
 @query("SELECT runner, file_name, file_id FROM @rf@ QUALIFY row_number() OVER (PARTITION BY runner ORDER BY file_name, file_id) = 1")
 def src_glob_merge(spark, sf):
-    return files.merge_first(rows(spark, sf, "rf").select("runner", "file_name", "file_id"), "runner", "file_name", "file_id")
+    return files.merge_first(scan(spark, sf, "rf").select("runner", "file_name", "file_id"), "runner", "file_name", "file_id")
 
 
 @query()
@@ -60,7 +63,7 @@ def src_search_path(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY s, path) = 1"""
 )
 def src_file_by_key(spark, sf):
-    return files.text_by_key(rows(spark, sf, "rm"), "rtl_path", "verilog", [".sv", ".v"])
+    return files.text_by_key(scan(spark, sf, "rm"), "rtl_path", "verilog", [".sv", ".v"])
 
 
 @query(
@@ -72,13 +75,13 @@ def src_envfile(spark, sf):
     return rows(spark, sf, "bp").select("problem_id", F.explode(env).alias("key", "value"))
 
 
-@query("SELECT result_id, error_msg AS message FROM @rr@ WHERE error_msg IS NOT NULL")
+@query("SELECT result_id, error_msg AS message FROM @rr@ WHERE error_msg IS NOT NULL", each=True)
 def src_xml(spark, sf):
     esc = F.col("error_msg")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;")):
         esc = F.replace(esc, F.lit(a), F.lit(b))
     xml = F.concat(F.lit('<testsuite><testcase name="t"><failure error_msg="'), esc, F.lit('"/></testcase></testsuite>'))
-    return rows(spark, sf, "rr").filter("error_msg is not null").select("result_id", F.explode(T.xml_messages(xml)).alias("message"))
+    return scan(spark, sf, "rr").filter("error_msg is not null").select("result_id", F.explode(T.xml_messages(xml)).alias("message"))
 
 
 _PAIRS_SQL = r"""
@@ -108,12 +111,12 @@ def join_file_pair(spark, sf):
 @query(r"SELECT r.result_id, p.item_id FROM @rr@ r JOIN (SELECT regexp_replace(problem_id, '_\d{4}$', '') AS k, min(item_id) AS item_id FROM benchmark_problems GROUP BY 1) p ON regexp_replace(r.problem_id, '_\d{4}$', '') = p.k")
 def src_dirscan(spark, sf):
     dirs = rows(spark, sf, "bp").groupBy(files.folder_key(F.col("problem_id")).alias("k")).agg(F.min("item_id").alias("item_id"))
-    return rows(spark, sf, "rr").withColumn("k", files.folder_key(F.col("problem_id"))).join(dirs, "k").select("result_id", "item_id")
+    return rows(spark, sf, "rr", "problem_id").withColumn("k", files.folder_key(F.col("problem_id"))).join(dirs, "k").select("result_id", "item_id")
 
 
 @query("SELECT runner, max(file_name) AS file_name FROM @rf@ GROUP BY 1")
 def src_latest(spark, sf):
-    return files.latest(rows(spark, sf, "rf"), "runner", "file_name")
+    return files.latest(scan(spark, sf, "rf"), "runner", "file_name")
 
 
 def _at(spark, name):
@@ -122,14 +125,14 @@ def _at(spark, name):
 
 @query("SELECT sample_id, to_json(messages) IS NOT NULL AS has_messages, task_type FROM @ts@")
 def snk_jsonl(spark, sf):
-    path = sinks.write_jsonl(rows(spark, sf, "ts").select("sample_id", "messages", "task_type"), _at(spark, "snk_jsonl"))
+    path = sinks.write_jsonl(rows(spark, sf, "ts", "messages", "task_type"), _at(spark, "snk_jsonl"))
     back = files.jsonl(spark, path, "sample_id long, messages array<struct<role:string,content:string>>, task_type string")
     return back.select("sample_id", F.col("messages").isNotNull().alias("has_messages"), "task_type")
 
 
 @query("SELECT action_name, count(*) AS n FROM @il@ GROUP BY 1")
 def snk_jsonl_append(spark, sf):
-    df, path = rows(spark, sf, "il").select("row_id", "action_name"), _at(spark, "snk_append")
+    df, path = rows(spark, sf, "il", "action_name"), _at(spark, "snk_append")
     sinks.write_jsonl(df.filter("row_id % 2 = 0"), path)
     sinks.append_safely(df.filter("row_id % 2 = 1"), path)
     return files.jsonl(spark, path, "row_id long, action_name string").groupBy("action_name").agg(F.count("*").alias("n"))
@@ -138,21 +141,21 @@ def snk_jsonl_append(spark, sf):
 @query("SELECT DISTINCT problem_id FROM @rr@ WHERE problem_id NOT IN (SELECT problem_id FROM @rr@ WHERE test_result = 0)")
 def snk_json_checkpoint(spark, sf):
     """What a restarted run has left, after the passed problems were recorded."""
-    r, path = rows(spark, sf, "rr"), _at(spark, "snk_results")
+    r, path = scan(spark, sf, "rr"), _at(spark, "snk_results")
     r.filter("test_result = 0").select("problem_id").distinct().write.mode("overwrite").parquet(path)
     return sinks.remaining(r.select("problem_id").distinct(), path, "problem_id")
 
 
 @query("SELECT lower(regexp_extract(rtl_path, '[^.]*$')) AS ext, count(*) AS n FROM @rm@ GROUP BY 1")
 def snk_cache(spark, sf):
-    df = rows(spark, sf, "rm")
-    made = sinks.stage_cache("ext_counts", lambda: df.groupBy(F.lower(F.regexp_extract("rtl_path", r"[^.]*$", 0)).alias("ext")).agg(F.count("*").alias("n")), df, str(abs(hash(sf))))
+    df = rows(spark, sf, "rm", "rtl_path")
+    made = sinks.stage_cache("ext_counts", lambda: df.groupBy(F.lower(F.regexp_extract("rtl_path", r"[^.]*$", 0)).alias("ext")).agg(F.count("*").alias("n")), df, hashlib.sha1(f"{sf}|{df.schema.simpleString()}".encode()).hexdigest()[:16])
     return made
 
 
 @query()
 def snk_text_report(spark, sf):
-    agg = rows(spark, sf, "rr").groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("test_result") == 0).alias("passed")).orderBy("category")
+    agg = rows(spark, sf, "rr", "category", "test_result").groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("test_result") == 0).alias("passed")).orderBy("category")
     text = sinks.summary_text([r.asDict() for r in agg.collect()], "Tests by category")  # a row per category
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line_no int, line string")
 
@@ -178,7 +181,7 @@ def snk_object_store(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("""SELECT row_id, 'data: {"type":"status","row":' || row_id || '}' || chr(10) || chr(10) AS frame FROM @il@""")
+@query("""SELECT row_id, 'data: {"type":"status","row":' || row_id || '}' || chr(10) || chr(10) AS frame FROM @il@""", each=True)
 def snk_sse(spark, sf):
     frame = sinks.event_frame(F.struct(F.lit("status").alias("type"), F.col("row_id").alias("row")))
-    return rows(spark, sf, "il").select("row_id", frame.alias("frame"))
+    return scan(spark, sf, "il").select("row_id", frame.alias("frame"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
 from kilnspark.operators import filters, iterate, joins, rewards, sampling, windows
-from kilnspark.plans.base import query, rows
+from kilnspark.plans.base import query, rows, scan
 from kilnspark.session import cut
 
 # ------------------------------------------------------------------ joins
@@ -15,7 +15,7 @@ from kilnspark.session import cut
 
 @query("SELECT i.row_id, b.item_id FROM @il@ i JOIN benchmark_problems b USING (problem_id)")
 def join_inner_lookup(spark, sf):
-    return joins.lookup(rows(spark, sf, "il").select("row_id", "problem_id"), rows(spark, sf, "bp").select("problem_id", "item_id"), "problem_id").select("row_id", "item_id")
+    return joins.lookup(rows(spark, sf, "il", "problem_id"), rows(spark, sf, "bp").select("problem_id", "item_id"), "problem_id").select("row_id", "item_id")
 
 
 _BEST = "(SELECT problem_id, max(difficulty) AS difficulty FROM @rr@ GROUP BY 1)"
@@ -23,30 +23,27 @@ _BEST = "(SELECT problem_id, max(difficulty) AS difficulty FROM @rr@ GROUP BY 1)
 
 @query(f"SELECT b.item_id, c.difficulty FROM benchmark_problems b JOIN {_BEST} c USING (problem_id)")
 def join_semi(spark, sf):
-    cache = rows(spark, sf, "rr").groupBy("problem_id").agg(F.max("difficulty").alias("difficulty"))
+    cache = scan(spark, sf, "rr").groupBy("problem_id").agg(F.max("difficulty").alias("difficulty"))  # a repeated row changes no maximum
     cur = rows(spark, sf, "bp").select("problem_id", "item_id", F.lit("unknown").alias("difficulty"))
     return joins.cached_override(cur, cache, "problem_id", ["difficulty"]).select("item_id", "difficulty")
 
 
 @query("SELECT item_id FROM benchmark_problems WHERE problem_id NOT IN (SELECT problem_id FROM @il@ WHERE action_name = 'saved' AND passed)")
 def join_anti(spark, sf):
-    done = rows(spark, sf, "il").filter("action_name = 'saved' and passed")
+    done = scan(spark, sf, "il").filter("action_name = 'saved' and passed").select("problem_id").distinct()
     return joins.not_done(rows(spark, sf, "bp").select("problem_id", "item_id"), done, "problem_id").select("item_id")
 
 
 @query("SELECT b.item_id, coalesce(e.m, '') AS error_msg FROM benchmark_problems b LEFT JOIN (SELECT problem_id, max(error_msg) AS m FROM @rr@ GROUP BY 1) e USING (problem_id)")
 def join_left_default(spark, sf):
-    e = rows(spark, sf, "rr").groupBy("problem_id").agg(F.max("error_msg").alias("error_msg"))
+    e = scan(spark, sf, "rr").groupBy("problem_id").agg(F.max("error_msg").alias("error_msg"))
     return joins.with_default(rows(spark, sf, "bp").select("problem_id", "item_id"), e, "problem_id", "error_msg", F.lit("")).select("item_id", "error_msg")
 
 
-@query("SELECT module_id, coalesce(nullif(repo, ''), nullif(split_part(rtl_path, '/', 1), ''), '') AS place FROM @rm@")
+@query("SELECT module_id, coalesce(nullif(repo, ''), nullif(split_part(rtl_path, '/', 1), ''), '') AS place FROM @rm@", each=True)
 def join_coalesce(spark, sf):
-    """Per key the first filled value in the order of two sources."""
-    m = rows(spark, sf, "rm").select("module_id", "repo", F.element_at(F.split("rtl_path", "/"), 1).alias("top"))
-    tall = m.select("module_id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("repo").alias("place")), F.struct(F.lit(1).alias("rank"), F.col("top").alias("place")))).alias("s")).select("module_id", "s.*")
-    best = joins.first_by_priority(tall, ["module_id"], [F.col("rank")], F.length("place") > 0)
-    return joins.with_default(m.select("module_id"), best, "module_id", "place", F.lit("")).select("module_id", "place")
+    """Per row the first filled value in the order of two sources."""
+    return scan(spark, sf, "rm").select("module_id", T.first_filled(F.col("repo"), F.element_at(F.split("rtl_path", "/"), 1)).alias("place"))
 
 
 _SIM_SQL = r"""
@@ -87,13 +84,13 @@ def join_exact_then_substring(spark, sf):
 
 @query("SELECT b.item_id, coalesce(w.c, 'none') AS category FROM benchmark_problems b LEFT JOIN (SELECT problem_id, max(category) AS c FROM @rr@ WHERE test_result = 0 GROUP BY 1) w USING (problem_id)")
 def join_overlay(spark, sf):
-    w = rows(spark, sf, "rr").filter("test_result = 0").groupBy("problem_id").agg(F.max("category").alias("category"))
+    w = scan(spark, sf, "rr").filter("test_result = 0").groupBy("problem_id").agg(F.max("category").alias("category"))
     return joins.overlay(rows(spark, sf, "bp").select("problem_id", "item_id", F.lit("none").alias("category")), w, "problem_id", "category").select("item_id", "category")
 
 
 @query("SELECT item_id, problem_id IN (SELECT problem_id FROM @il@ WHERE action_name = 'saved' AND passed) AS verify_only FROM benchmark_problems")
 def join_pre_solved(spark, sf):
-    done = rows(spark, sf, "il").filter("action_name = 'saved' and passed").select("problem_id").distinct()
+    done = scan(spark, sf, "il").filter("action_name = 'saved' and passed").select("problem_id").distinct()
     b = rows(spark, sf, "bp").select("problem_id", "item_id")
     solved = b.join(done, "problem_id", "left_semi").withColumn("verify_only", F.lit(True))
     return solved.unionByName(joins.not_done(b, done, "problem_id").withColumn("verify_only", F.lit(False))).select("item_id", "verify_only")
@@ -105,29 +102,29 @@ def join_pre_solved(spark, sf):
 @query("SELECT run_name, count(*) AS n, count(*) FILTER (test_result = 0) AS passed, round(100.0 * count(*) FILTER (test_result = 0) / count(*), 6)::DOUBLE AS pct FROM @rr@ GROUP BY 1")
 def agg_pass_rate(spark, sf):
     ok = F.count_if(F.col("test_result") == 0)
-    return rows(spark, sf, "rr").groupBy("run_name").agg(F.count("*").alias("n"), ok.alias("passed"), F.round(100.0 * ok / F.count("*"), 6).alias("pct"))
+    return rows(spark, sf, "rr", "run_name", "test_result").groupBy("run_name").agg(F.count("*").alias("n"), ok.alias("passed"), F.round(100.0 * ok / F.count("*"), 6).alias("pct"))
 
 
 @query("SELECT c AS category, count(*) AS n, count(*) FILTER (passed) AS passed FROM (SELECT r.test_result = 0 AS passed, unnest(b.categories) AS c FROM @rr@ r JOIN benchmark_problems b USING (problem_id)) GROUP BY 1")
 def agg_by_category(spark, sf):
-    j = rows(spark, sf, "rr").join(rows(spark, sf, "bp").select("problem_id", "categories"), "problem_id")
+    j = rows(spark, sf, "rr", "problem_id", "test_result").join(rows(spark, sf, "bp").select("problem_id", "categories"), "problem_id")
     return j.select(F.explode("categories").alias("category"), (F.col("test_result") == 0).alias("p")).groupBy("category").agg(F.count("*").alias("n"), F.count_if("p").alias("passed"))
 
 
 @query("SELECT problem_id, CASE WHEN count(*) = 0 THEN 0 ELSE CAST(floor(100 * count(*) FILTER (test_result = 0) / count(*)) AS BIGINT) END AS pct FROM @rr@ GROUP BY 1")
 def agg_floor_pct(spark, sf):
     ok = F.count_if(F.col("test_result") == 0)
-    return rows(spark, sf, "rr").groupBy("problem_id").agg(F.when(F.count("*") > 0, F.floor(100 * ok / F.count("*"))).otherwise(0).cast("bigint").alias("pct"))
+    return rows(spark, sf, "rr", "problem_id", "test_result").groupBy("problem_id").agg(F.when(F.count("*") > 0, F.floor(100 * ok / F.count("*"))).otherwise(0).cast("bigint").alias("pct"))
 
 
 @query("SELECT task_type, count(*) AS n FROM @ts@ GROUP BY 1")
 def agg_count_by_type(spark, sf):
-    return rows(spark, sf, "ts").groupBy("task_type").agg(F.count("*").alias("n"))
+    return rows(spark, sf, "ts", "task_type").groupBy("task_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT task_type, round(coalesce(avg(quality_score), 0), 6) AS mean FROM @ts@ GROUP BY 1")
 def agg_avg_nullable(spark, sf):
-    return rows(spark, sf, "ts").groupBy("task_type").agg(F.round(F.coalesce(F.avg("quality_score"), F.lit(0.0)), 6).alias("mean"))
+    return rows(spark, sf, "ts", "task_type", "quality_score").groupBy("task_type").agg(F.round(F.coalesce(F.avg("quality_score"), F.lit(0.0)), 6).alias("mean"))
 
 
 _TOKS = ["ref_in_tok", "ref_out_tok", "gen_in_tok", "gen_out_tok"]
@@ -135,12 +132,17 @@ _TOKS = ["ref_in_tok", "ref_out_tok", "gen_in_tok", "gen_out_tok"]
 
 @query("SELECT problem_id, " + ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in _TOKS) + " FROM @il@ GROUP BY 1")
 def agg_sum_tokens(spark, sf):
-    return rows(spark, sf, "il").groupBy("problem_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in _TOKS])
+    return rows(spark, sf, "il", "problem_id", *_TOKS).groupBy("problem_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in _TOKS])
 
 
-@query("SELECT category, round(sum(coalesce(execution_s, 0)) / count(*), 6) AS mean_s FROM @rr@ GROUP BY 1")
+# Sums of fractions are taken as decimals, so that they don't depend on the order of the rows.
+_DEC = "decimal(28,9)"
+
+
+@query(f"SELECT category, floor(CAST(sum(CAST(coalesce(execution_s, 0) AS {_DEC})) AS DOUBLE) / count(*) * 1e6 + 0.5) / 1e6 AS mean_s FROM @rr@ GROUP BY 1")
 def agg_avg_elapsed(spark, sf):
-    return rows(spark, sf, "rr").groupBy("category").agg(F.round(F.sum(F.coalesce("execution_s", F.lit(0.0))) / F.count("*"), 6).alias("mean_s"))
+    total = F.sum(F.coalesce("execution_s", F.lit(0.0)).cast(_DEC)).cast("double")
+    return rows(spark, sf, "rr", "category", "execution_s").groupBy("category").agg((F.floor(total / F.count("*") * 1e6 + 0.5) / 1e6).alias("mean_s"))
 
 
 _REWARD_SQL = "(SELECT problem_id, cycle_no, row_id, CASE WHEN passed THEN 1.0 WHEN iverilog_pass THEN 0.3 ELSE 0.0 END::DOUBLE AS r FROM @il@)"
@@ -148,14 +150,14 @@ _REWARD_SQL = "(SELECT problem_id, cycle_no, row_id, CASE WHEN passed THEN 1.0 W
 
 def _rewarded(spark, sf):
     r = F.when(F.col("passed"), 1.0).when(F.col("iverilog_pass"), 0.3).otherwise(0.0)
-    return rows(spark, sf, "il").select("problem_id", "cycle_no", "row_id", r.alias("r"))
+    return rows(spark, sf, "il", "problem_id", "cycle_no", r.alias("r"))
 
 
-@query(f"SELECT cycle_no, round(sum(r) / greatest(count(*), 1), 6) AS mean, round(count(*) FILTER (r >= 1.0) / greatest(count(*), 1)::DOUBLE, 6) AS clean, round(count(*) FILTER (r > 0 AND r < 1) / greatest(count(*), 1)::DOUBLE, 6) AS part FROM {_REWARD_SQL} GROUP BY 1")
+@query(f"SELECT cycle_no, floor(CAST(sum(CAST(r AS {_DEC})) AS DOUBLE) / greatest(count(*), 1) * 1e6 + 0.5) / 1e6 AS mean, round(count(*) FILTER (r >= 1.0) / greatest(count(*), 1)::DOUBLE, 6) AS clean, round(count(*) FILTER (r > 0 AND r < 1) / greatest(count(*), 1)::DOUBLE, 6) AS part FROM {_REWARD_SQL} GROUP BY 1")
 def agg_reward_epoch(spark, sf):
     n = F.greatest(F.count("*"), F.lit(1))
     r = F.col("r")
-    return _rewarded(spark, sf).groupBy("cycle_no").agg(F.round(F.sum("r") / n, 6).alias("mean"), F.round(F.count_if(r >= 1.0) / n, 6).alias("clean"), F.round(F.count_if((r > 0) & (r < 1)) / n, 6).alias("part"))
+    return _rewarded(spark, sf).groupBy("cycle_no").agg((F.floor(F.sum(r.cast(_DEC)).cast("double") / n * 1e6 + 0.5) / 1e6).alias("mean"), F.round(F.count_if(r >= 1.0) / n, 6).alias("clean"), F.round(F.count_if((r > 0) & (r < 1)) / n, 6).alias("part"))
 
 
 @query(f"SELECT problem_id, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS std FROM {_REWARD_SQL} GROUP BY 1")
@@ -174,7 +176,7 @@ def agg_max_sim(spark, sf):
 def agg_collect_pass_fail(spark, sf):
     """Lists of problem ids: as long as the benchmark, however many rows."""
     ok = F.col("test_result") == 0
-    return rows(spark, sf, "rr").groupBy("run_name").agg(F.sort_array(F.collect_set(F.when(ok, F.col("problem_id")))).alias("passing"), F.sort_array(F.collect_set(F.when(~ok, F.col("problem_id")))).alias("failing"))
+    return scan(spark, sf, "rr").groupBy("run_name").agg(F.sort_array(F.collect_set(F.when(ok, F.col("problem_id")))).alias("passing"), F.sort_array(F.collect_set(F.when(~ok, F.col("problem_id")))).alias("failing"))
 
 
 _LEVELS = ["easy", "medium", "hard"]
@@ -187,7 +189,7 @@ _LEVELS = ["easy", "medium", "hard"]
 )
 def agg_report(spark, sf):
     """Every category has every difficulty, with zeros where nothing was tested."""
-    r = rows(spark, sf, "rr")
+    r = rows(spark, sf, "rr", "category", "difficulty", "test_result", "problem_id")
     spine = r.select("category").distinct().withColumn("difficulty", F.explode(F.array(*[F.lit(x) for x in _LEVELS])))
     t = r.groupBy("category", "difficulty").agg(F.count("*").alias("total"), F.count_if(F.col("test_result") == 0).alias("passed"), F.count_distinct("problem_id").alias("problems"))
     j = spine.join(t, ["category", "difficulty"], "left").fillna(0, ["total", "passed", "problems"])
@@ -204,7 +206,7 @@ _F3 = "NOT (" + " OR ".join([f"contains(verilog, '{w}')" for w in T.SIM_TASKS +
 )
 def agg_funnel(spark, sf):
     c = F.col("verilog")
-    return filters.funnel(rows(spark, sf, "rm"), {"scanned": F.lit(True), "nonblank": ~T.is_blank(c), "size": filters.in_size(c), "design": filters.is_design(c)})
+    return filters.funnel(scan(spark, sf, "rm"), "module_id", {"scanned": F.lit(True), "nonblank": ~T.is_blank(c), "size": filters.in_size(c), "design": filters.is_design(c)})
 
 
 # ------------------------------------------------------------------ windows
@@ -212,8 +214,8 @@ def agg_funnel(spark, sf):
 _IT = "coalesce(try_cast(iteration AS INTEGER), 1000000)"
 
 
-def _log(spark, sf):
-    return rows(spark, sf, "il").withColumn("it", F.coalesce(F.col("iteration").try_cast("int"), F.lit(1000000)))
+def _log(spark, sf, *cols, where=None):
+    return rows(spark, sf, "il", "problem_id", "cycle_no", *cols, F.coalesce(F.col("iteration").try_cast("int"), F.lit(1000000)).alias("it"), where=where)
 
 
 def _w():
@@ -225,7 +227,7 @@ _W = f"PARTITION BY problem_id, cycle_no ORDER BY {_IT}, row_id"
 
 @query(f"SELECT row_id, coalesce(list(action_name) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS history FROM @il@")
 def win_history_last_k(spark, sf):
-    return _log(spark, sf).select("row_id", windows.last_k(F.col("action_name"), _w()).alias("history"))
+    return _log(spark, sf, "action_name").select("row_id", windows.last_k(F.col("action_name"), _w()).alias("history"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.CAUSE_STOPWORDS) + "]"
@@ -239,7 +241,7 @@ _CAUSE = r"list_filter(list_distinct(regexp_extract_all(lower({0}), '\b[a-z_][a-
     QUALIFY row_number() OVER (PARTITION BY problem_id, cycle_no ORDER BY it, row_id) = 1"""
 )
 def win_oscillation(spark, sf):
-    return windows.first_oscillation(_log(spark, sf).filter("diagnosis is not null"), _w(), "problem_id", "diagnosis").select("problem_id", "cycle_no", "row_id")
+    return windows.first_oscillation(_log(spark, sf, "diagnosis", where="diagnosis is not null"), _w(), "problem_id", "diagnosis").select("problem_id", "cycle_no", "row_id")
 
 
 @query(f"SELECT row_id, round(CASE WHEN stddev_pop(r) OVER w > 1e-6 THEN (r - avg(r) OVER w) / (stddev_pop(r) OVER w + 1e-8) ELSE 0 END, 6) + 0.0 AS advantage FROM {_REWARD_SQL} WINDOW w AS (PARTITION BY problem_id, cycle_no)")
@@ -254,15 +256,16 @@ _LINES = r"CASE WHEN log = '' THEN [] ELSE regexp_split_to_array(regexp_replace(
 @query(
     rf"""WITH l AS (SELECT result_id, {_LINES} AS ls FROM @rr@ WHERE log IS NOT NULL),
     h AS (SELECT result_id, ls, list_filter(range(1, len(ls) + 1), lambda i: contains(ls[i], 'AssertionError') OR (contains(lower(ls[i]), 'assert ') AND contains(ls[i], '=='))) AS hits FROM l)
-    SELECT result_id, list_transform(list_slice(hits, 1, 4), lambda i: array_to_string(list_slice(ls, greatest(i - 2, 1), i + 2), chr(10))) AS contexts FROM h"""
+    SELECT result_id, list_transform(list_slice(hits, 1, 4), lambda i: array_to_string(list_slice(ls, greatest(i - 2, 1), i + 2), chr(10))) AS contexts FROM h""",
+    each=True,
 )
 def win_context_lines(spark, sf):
-    return rows(spark, sf, "rr").filter("log is not null").select("result_id", T.context_lines(F.col("log")).alias("contexts"))
+    return scan(spark, sf, "rr").filter("log is not null").select("result_id", T.context_lines(F.col("log")).alias("contexts"))
 
 
 @query(f"SELECT row_id, last_value(CASE WHEN iverilog_pass THEN row_id END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_row FROM @il@")
 def win_best_so_far(spark, sf):
-    return _log(spark, sf).select("row_id", windows.best_so_far(F.col("row_id"), F.col("iverilog_pass"), _w()).alias("best_row"))
+    return _log(spark, sf, "iverilog_pass").select("row_id", windows.best_so_far(F.col("row_id"), F.col("iverilog_pass"), _w()).alias("best_row"))
 
 
 @query(
@@ -270,25 +273,25 @@ def win_best_so_far(spark, sf):
     SELECT cycle_no, n_new, CAST(sum(n_new) OVER (ORDER BY cycle_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_solved FROM n"""
 )
 def win_first_success(spark, sf):
-    il = rows(spark, sf, "il").filter("cycle_no is not null")
+    il = scan(spark, sf, "il").filter("cycle_no is not null")
     first = windows.first_success(il, "problem_id", "cycle_no", (F.col("action_name") == "saved") & F.col("passed"))
     return windows.cumulative_solved(first, il, "cycle_no")
 
 
 @query("SELECT problem_id, run_name, result_id FROM @rr@ QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY run_name, result_id) = 1")
 def win_first_write(spark, sf):
-    return joins.first_by_priority(rows(spark, sf, "rr"), ["problem_id"], [F.col("run_name"), F.col("result_id")]).select("problem_id", "run_name", "result_id")
+    return joins.first_by_priority(scan(spark, sf, "rr").select("problem_id", "run_name", "result_id"), ["problem_id"], [F.col("run_name"), F.col("result_id")]).select("problem_id", "run_name", "result_id")
 
 
 @query(f"SELECT problem_id, cycle_no, string_agg(action_name, '>' ORDER BY {_IT}, row_id) AS path FROM @il@ GROUP BY 1, 2")
 def win_ordered_concat(spark, sf):
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("it", "row_id", "action_name"))), lambda s: s["action_name"]), ">")
-    return _log(spark, sf).groupBy("problem_id", "cycle_no").agg(path.alias("path"))
+    return _log(spark, sf, "action_name").groupBy("problem_id", "cycle_no").agg(path.alias("path"))
 
 
 @query(f"SELECT row_id, coalesce(last_value(CASE WHEN iverilog_pass THEN verilog_chars END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS kept_chars FROM @il@")
 def win_stagewise_best(spark, sf):
-    return _log(spark, sf).select("row_id", F.coalesce(windows.best_so_far(F.col("verilog_chars"), F.col("iverilog_pass"), _w()), F.lit(0)).alias("kept_chars"))
+    return _log(spark, sf, "iverilog_pass", "verilog_chars").select("row_id", F.coalesce(windows.best_so_far(F.col("verilog_chars"), F.col("iverilog_pass"), _w()), F.lit(0)).alias("kept_chars"))
 
 
 # ------------------------------------------------------------------ sort, limit, sample
@@ -301,12 +304,12 @@ def srt_key(spark, sf):
 
 @query("SELECT sample_id FROM @ts@ ORDER BY sample_id LIMIT 500")
 def lim_head(spark, sf):
-    return rows(spark, sf, "ts").select("sample_id").orderBy("sample_id").limit(500)
+    return scan(spark, sf, "ts").select("sample_id").distinct().orderBy("sample_id").limit(500)
 
 
-@query("SELECT row_id, list_slice(failed_tests, 1, 3) AS tests FROM @il@ WHERE failed_tests IS NOT NULL")
+@query("SELECT row_id, list_slice(failed_tests, 1, 3) AS tests FROM @il@ WHERE failed_tests IS NOT NULL", each=True)
 def lim_array(spark, sf):
-    return rows(spark, sf, "il").filter("failed_tests is not null").select("row_id", F.slice("failed_tests", 1, 3).alias("tests"))
+    return scan(spark, sf, "il").filter("failed_tests is not null").select("row_id", F.slice("failed_tests", 1, 3).alias("tests"))
 
 
 _O = "md5(concat_ws(':', '42', {0}::VARCHAR))"
@@ -319,12 +322,12 @@ def smp_n(spark, sf):
 
 @query(f"SELECT sample_id, row_number() OVER (ORDER BY {_O.format('sample_id')}, sample_id) - 1 AS no FROM @ts@")
 def smp_shuffle(spark, sf):
-    return sampling.shuffled_no(rows(spark, sf, "ts").select("sample_id"), "sample_id").select("sample_id", "no")
+    return sampling.shuffled_no(scan(spark, sf, "ts").select("sample_id").distinct(), "sample_id").select("sample_id", "no")
 
 
 @query(f"SELECT sample_id, no < floor(n * 0.6::DOUBLE) AS in_head, no >= floor(n * 0.4::DOUBLE) AS in_tail FROM (SELECT sample_id, row_number() OVER (ORDER BY {_O.format('sample_id')}, sample_id) - 1 AS no, count(*) OVER () AS n FROM @ts@)")
 def smp_overlap_slices(spark, sf):
-    s = rows(spark, sf, "ts").select("sample_id")
+    s = scan(spark, sf, "ts").select("sample_id").distinct()
     return sampling.overlapping_slices(s, "sample_id", s.count()).select("sample_id", "in_head", "in_tail")
 
 
@@ -334,12 +337,12 @@ _SHARES = {"spec_to_rtl": 0.65, "debugging": 0.175, "editing": 0.175}
 @query(f"SELECT sample_id, task_type FROM @ts@ WHERE task_type IN ('spec_to_rtl', 'debugging', 'editing') QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY {_O.format('sample_id')}, sample_id) <= CASE task_type WHEN 'spec_to_rtl' THEN 260 ELSE 70 END")
 def smp_mix(spark, sf):
     """The caps of a mix of 400 samples."""
-    return sampling.mixed(rows(spark, sf, "ts").select("sample_id", "task_type"), "task_type", "sample_id", 400, _SHARES).select("sample_id", "task_type")
+    return sampling.mixed(rows(spark, sf, "ts", "task_type"), "task_type", "sample_id", 400, _SHARES).select("sample_id", "task_type")
 
 
-@query(f"SELECT sample_id, CASE WHEN CAST('0x' || left({_O.format('sample_id')}, 6) AS BIGINT) % 100 < 5 THEN 'eval' ELSE 'train' END AS part FROM @ts@")
+@query(f"SELECT sample_id, CASE WHEN CAST('0x' || left({_O.format('sample_id')}, 6) AS BIGINT) % 100 < 5 THEN 'eval' ELSE 'train' END AS part FROM @ts@", each=True)
 def smp_split(spark, sf):
-    return rows(spark, sf, "ts").select("sample_id", sampling.split_name(F.col("sample_id")).alias("part"))
+    return scan(spark, sf, "ts").select("sample_id", sampling.split_name(F.col("sample_id")).alias("part"))
 
 
 # ------------------------------------------------------------------ set operations
@@ -348,22 +351,22 @@ def smp_split(spark, sf):
 @query("SELECT sample_id, task_type, bug_type FROM @ts@ UNION ALL SELECT -item_id, 'seed', NULL FROM benchmark_problems")
 def set_union_all(spark, sf):
     seeds = rows(spark, sf, "bp").select((-F.col("item_id")).alias("sample_id"), F.lit("seed").alias("task_type"))
-    return seeds.unionByName(rows(spark, sf, "ts").select("sample_id", "task_type", "bug_type"), allowMissingColumns=True)
+    return seeds.unionByName(rows(spark, sf, "ts", "task_type", "bug_type"), allowMissingColumns=True)
 
 
 _TOKD = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 
 
-@query(f"SELECT row_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS n_both, CAST(len(list_distinct(list_concat(a, b))) AS BIGINT) AS n_any FROM (SELECT row_id, {_TOKD.format('diagnosis')} AS a, {_TOKD.format('fix_instruction')} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)", name="set_token_intersect_union")
+@query(f"SELECT row_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS n_both, CAST(len(list_distinct(list_concat(a, b))) AS BIGINT) AS n_any FROM (SELECT row_id, {_TOKD.format('diagnosis')} AS a, {_TOKD.format('fix_instruction')} AS b FROM @il@ WHERE diagnosis IS NOT NULL AND fix_instruction IS NOT NULL)", name="set_token_intersect_union", each=True)
 def set_tokens(spark, sf):
-    d = rows(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
+    d = scan(spark, sf, "il").filter("diagnosis is not null and fix_instruction is not null")
     a, b = T.tokens(F.col("diagnosis")), T.tokens(F.col("fix_instruction"))
     return d.select("row_id", F.size(F.array_intersect(a, b)).cast("bigint").alias("n_both"), F.size(F.array_union(a, b)).cast("bigint").alias("n_any"))
 
 
-@query(f"SELECT row_id, list_sort({_CAUSE.format('diagnosis')}) AS words FROM @il@ WHERE diagnosis IS NOT NULL")
+@query(f"SELECT row_id, list_sort({_CAUSE.format('diagnosis')}) AS words FROM @il@ WHERE diagnosis IS NOT NULL", each=True)
 def set_stopword_except(spark, sf):
-    return rows(spark, sf, "il").filter("diagnosis is not null").select("row_id", F.array_sort(T.cause_words(F.col("diagnosis"))).alias("words"))
+    return scan(spark, sf, "il").filter("diagnosis is not null").select("row_id", F.array_sort(T.cause_words(F.col("diagnosis"))).alias("words"))
 
 
 _P = "(SELECT DISTINCT problem_id FROM @il@ WHERE action_name = 'saved' AND passed AND cycle_no {0})"
@@ -375,20 +378,20 @@ _P = "(SELECT DISTINCT problem_id FROM @il@ WHERE action_name = 'saved' AND pass
     name="set_newly_solved_regressed",
 )
 def set_changes(spark, sf):
-    ok = rows(spark, sf, "il").filter("action_name = 'saved' and passed")
+    ok = scan(spark, sf, "il").filter("action_name = 'saved' and passed")
     old, new = ok.filter("cycle_no <= 5").select("problem_id"), ok.filter("cycle_no > 5").select("problem_id")
     return new.distinct().join(old, "problem_id", "left_anti").withColumn("change", F.lit("newly_solved")).unionByName(old.distinct().join(new, "problem_id", "left_anti").withColumn("change", F.lit("regressed")))
 
 
-@query("SELECT row_id, list_filter(failed_tests, lambda v, i: list_position(failed_tests, v) = i) AS tests FROM @il@ WHERE failed_tests IS NOT NULL")
+@query("SELECT row_id, list_filter(failed_tests, lambda v, i: list_position(failed_tests, v) = i) AS tests FROM @il@ WHERE failed_tests IS NOT NULL", each=True)
 def set_dedupe_ordered(spark, sf):
-    return rows(spark, sf, "il").filter("failed_tests is not null").select("row_id", F.array_distinct("failed_tests").alias("tests"))
+    return scan(spark, sf, "il").filter("failed_tests is not null").select("row_id", F.array_distinct("failed_tests").alias("tests"))
 
 
 @query("SELECT DISTINCT problem_id FROM @il@ WHERE action_name = 'saved' AND passed UNION SELECT problem_id FROM @rr@ WHERE test_result = 0")
 def set_unique_solved(spark, sf):
-    a = rows(spark, sf, "il").filter("action_name = 'saved' and passed").select("problem_id")
-    return a.union(rows(spark, sf, "rr").filter("test_result = 0").select("problem_id")).distinct()
+    a = scan(spark, sf, "il").filter("action_name = 'saved' and passed").select("problem_id")
+    return a.union(scan(spark, sf, "rr").filter("test_result = 0").select("problem_id")).distinct()
 
 
 # ------------------------------------------------------------------ rounds
@@ -436,20 +439,20 @@ def itr_reset(spark, sf):
     """SELECT problem_id, CASE WHEN count(*) FILTER (test_result = 0) > 0 THEN arg_min(result_id, (finished_at, result_id)) FILTER (test_result = 0) ELSE max(result_id) END AS result_id FROM @rr@ GROUP BY 1"""
 )
 def itr_race(spark, sf):
-    r = rows(spark, sf, "rr").select("problem_id", "result_id", F.struct("finished_at", "result_id").alias("done"), (F.col("test_result") == 0).alias("ok"))
+    r = scan(spark, sf, "rr").select("problem_id", "result_id", F.struct("finished_at", "result_id").alias("done"), (F.col("test_result") == 0).alias("ok"))
     return iterate.race(r, "problem_id", "done", "ok", "result_id", "result_id").select("problem_id", "result_id")
 
 
 @query("SELECT problem_id FROM benchmark_problems WHERE problem_id NOT IN (SELECT problem_id FROM @il@ WHERE action_name = 'saved')")
 def itr_resume(spark, sf):
-    return joins.not_done(rows(spark, sf, "bp").select("problem_id"), rows(spark, sf, "il").filter("action_name = 'saved'"), "problem_id")
+    return joins.not_done(rows(spark, sf, "bp").select("problem_id"), scan(spark, sf, "il").filter("action_name = 'saved'").select("problem_id").distinct(), "problem_id")
 
 
-@query("SELECT b.problem_id, coalesce(bool_or(r.test_result = 0), false) AS passed, round(coalesce(sum(r.execution_s), 0), 6) AS elapsed_s FROM benchmark_problems b LEFT JOIN @rr@ r USING (problem_id) GROUP BY 1")
+@query("SELECT b.problem_id, coalesce(bool_or(r.test_result = 0), false) AS passed, floor(coalesce(CAST(sum(CAST(r.execution_s AS decimal(28,9))) AS DOUBLE), 0) * 1e6 + 0.5) / 1e6 AS elapsed_s FROM benchmark_problems b LEFT JOIN @rr@ r USING (problem_id) GROUP BY 1")
 def itr_crash_row(spark, sf):
     """A problem without a result counts as failed in no time."""
-    r = rows(spark, sf, "rr").groupBy("problem_id").agg(F.bool_or(F.col("test_result") == 0).alias("passed"), F.sum("execution_s").alias("elapsed_s"))
-    return rows(spark, sf, "bp").select("problem_id").join(r, "problem_id", "left").select("problem_id", F.coalesce("passed", F.lit(False)).alias("passed"), F.round(F.coalesce("elapsed_s", F.lit(0.0)), 6).alias("elapsed_s"))
+    r = rows(spark, sf, "rr", "problem_id", "test_result", "execution_s").groupBy("problem_id").agg(F.bool_or(F.col("test_result") == 0).alias("passed"), F.sum(F.col("execution_s").cast(_DEC)).cast("double").alias("elapsed_s"))
+    return rows(spark, sf, "bp").select("problem_id").join(r, "problem_id", "left").select("problem_id", F.coalesce("passed", F.lit(False)).alias("passed"), (F.floor(F.coalesce("elapsed_s", F.lit(0.0)) * 1e6 + 0.5) / 1e6).alias("elapsed_s"))
 
 
 @query("SELECT item_id, CASE WHEN item_id % 3 = 2 THEN NULL ELSE problem_id END AS answer FROM benchmark_problems")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,8 +57,7 @@ def exploded_map(df: DataFrame, body: str, value: str = "string") -> DataFrame:
 
 def merge_first(df: DataFrame, key: str, path: str, pos: str) -> DataFrame:
     """First row of each key by path, then place in the file."""
-    w = Window.partitionBy(key).orderBy(path, pos)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(path, pos)).alias("_first")).select(key, "_first.*").select(*df.columns)
 
 
 def paired_files(spark: SparkSession, folder: str, left: str, right: str) -> DataFrame:
@@ -83,8 +82,7 @@ def text_by_key(df: DataFrame, path: str, text: str, suffixes: list[str], folder
     for i, f in enumerate(folders or []):
         folder = F.when(F.col(path).startswith(f), F.lit(i)).otherwise(folder if i else F.lit(len(folders)))
     rows = df.select(F.col(path).alias("path"), F.col(text).alias("text"), key.alias("key"), folder.alias("_f"), rank.alias("_s")).filter(F.col("key").isNotNull() & ~T.is_blank(F.col("text")))
-    w = Window.partitionBy("key").orderBy("_f", "_s", "path")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("key", "path", "text")
+    return rows.groupBy("key").agg(F.min_by(F.struct("path", "text"), F.struct("_f", "_s", "path")).alias("_first")).select("key", "_first.*")
 
 
 def latest(df: DataFrame, key: str, name: str) -> DataFrame:
