@@ -68,18 +68,21 @@ for _limit in (0.1, 0.2, 0.3, 0.8):
         return joins.decontaminate(rows(spark, sf, "docs"), rows(spark, sf, "bp"), "doc_id", "text", "item_id", "prompt", limit).select("doc_id")
 
 
-_PIECE = "split_part(prompt, '. ', 1)"
+_PIECES = "(SELECT item_id, kt FROM (SELECT item_id, unnest(string_split(replace(prompt, chr(10), ' '), '. ')) AS kt FROM benchmark_problems) WHERE length(kt) > 40 UNION ALL SELECT -doc_id, text FROM documents WHERE lang = 'es' AND length(text) > 200)"
 
 
 @query(
-    f"""WITH k AS (SELECT item_id, {_PIECE} AS kt FROM benchmark_problems WHERE length({_PIECE}) > 20),
+    f"""WITH k AS {_PIECES},
     e AS (SELECT doc_id, min(item_id) AS item_id FROM documents JOIN k ON text = kt GROUP BY 1),
     c AS (SELECT doc_id, min(item_id) AS item_id FROM documents JOIN k ON contains(text, kt) WHERE doc_id NOT IN (SELECT doc_id FROM e) GROUP BY 1)
     SELECT doc_id, item_id, 'exact' AS how FROM e UNION ALL SELECT doc_id, item_id, 'contained' FROM c"""
 )
 def join_exact_then_substring(spark, sf):
-    k = rows(spark, sf, "bp").select("item_id", F.element_at(F.split("prompt", r"\. "), 1).alias("piece")).filter(F.length("piece") > 20)
-    return joins.exact_then_contained(rows(spark, sf, "docs"), k, "doc_id", "text", "item_id", "piece")
+    """Known texts are the sentences of the held-out prompts, and the Spanish documents under negative ids."""
+    k = rows(spark, sf, "bp").select("item_id", F.explode(F.split(F.replace("prompt", F.lit("\n"), F.lit(" ")), r"\. ")).alias("piece")).filter(F.length("piece") > 40)
+    d = rows(spark, sf, "docs")
+    k = k.unionByName(d.filter("lang = 'es' and length(text) > 200").select((-F.col("doc_id")).alias("item_id"), F.col("text").alias("piece")))
+    return joins.exact_then_contained(d, k, "doc_id", "text", "item_id", "piece")
 
 
 @query("SELECT b.item_id, coalesce(w.c, 'none') AS category FROM benchmark_problems b LEFT JOIN (SELECT problem_id, max(category) AS c FROM @rr@ WHERE test_result = 0 GROUP BY 1) w USING (problem_id)")
@@ -168,8 +171,8 @@ def agg_group_stats(spark, sf):
 @query("SELECT lang, round(max(max_similarity), 6) AS top FROM documents JOIN (" + _SIM_SQL.replace("@docs@", "true") + ") USING (doc_id) GROUP BY 1")
 def agg_max_sim(spark, sf):
     d = rows(spark, sf, "docs")
-    s = joins.max_similarity(d, rows(spark, sf, "bp"), "doc_id", "text", "item_id", "prompt")
-    return d.select("doc_id", "lang").join(s, "doc_id").groupBy("lang").agg(F.round(F.max("max_similarity"), 6).alias("top"))
+    s = joins.max_similarity(d, rows(spark, sf, "bp"), "doc_id", "text", "item_id", "prompt", ["lang"])
+    return s.groupBy("lang").agg(F.round(F.max("max_similarity"), 6).alias("top"))
 
 
 @query("SELECT run_name, coalesce(list_sort(list_distinct(list(problem_id) FILTER (test_result = 0))), []) AS passing, coalesce(list_sort(list_distinct(list(problem_id) FILTER (test_result <> 0))), []) AS failing FROM @rr@ GROUP BY 1")
@@ -443,9 +446,10 @@ def itr_race(spark, sf):
     return iterate.race(r, "problem_id", "done", "ok", "result_id", "result_id").select("problem_id", "result_id")
 
 
-@query("SELECT problem_id FROM benchmark_problems WHERE problem_id NOT IN (SELECT problem_id FROM @il@ WHERE action_name = 'saved')")
+@query("SELECT problem_id FROM benchmark_problems WHERE problem_id NOT IN (SELECT problem_id FROM @il@ WHERE action_name = 'saved' AND cycle_no = 11 AND problem_id IS NOT NULL)")
 def itr_resume(spark, sf):
-    return joins.not_done(rows(spark, sf, "bp").select("problem_id"), scan(spark, sf, "il").filter("action_name = 'saved'").select("problem_id").distinct(), "problem_id")
+    """What is left of the last cycle."""
+    return joins.not_done(rows(spark, sf, "bp").select("problem_id"), scan(spark, sf, "il").filter("action_name = 'saved' and cycle_no = 11").select("problem_id").distinct(), "problem_id")
 
 
 @query("SELECT b.problem_id, coalesce(bool_or(r.test_result = 0), false) AS passed, floor(coalesce(CAST(sum(CAST(r.execution_s AS decimal(28,9))) AS DOUBLE), 0) * 1e6 + 0.5) / 1e6 AS elapsed_s FROM benchmark_problems b LEFT JOIN @rr@ r USING (problem_id) GROUP BY 1")
@@ -486,6 +490,6 @@ def itr_retry(spark, sf):
 def corpus_funnel(spark, sf):
     """Flagship: size gate, similarity to the held-out problems, clean share by language."""
     d = rows(spark, sf, "docs").filter(filters.in_size(F.col("text"), word=None))
-    s = joins.max_similarity(d, rows(spark, sf, "bp"), "doc_id", "text", "item_id", "prompt")
+    s = joins.max_similarity(d, rows(spark, sf, "bp"), "doc_id", "text", "item_id", "prompt", ["lang"])
     clean = F.count_if(F.col("max_similarity") < 0.3)
-    return d.select("doc_id", "lang").join(s, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), clean.alias("n_clean"), F.round(100.0 * clean / F.count("*"), 6).alias("pct"))
+    return s.groupBy("lang").agg(F.count("*").alias("n"), clean.alias("n_clean"), F.round(100.0 * clean / F.count("*"), 6).alias("pct"))
