@@ -267,62 +267,84 @@ PYTHON_WORDS = frozenset(
     """False None True and as assert async await break class continue def del elif else except finally for from global if import in is
     lambda nonlocal not or pass raise return try while with yield""".split()
 )
+# Words that are keywords only where a statement or a pattern begins.
+PYTHON_SOFT_WORDS = frozenset("match case type".split())
 PYTHON_CLASSES = {
     **dict.fromkeys("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split(), "OPSET"),
-    **dict.fromkeys("/ // % @ << >> & ^ |".split(), "AR"),
+    **dict.fromkeys("// % << >> & ^".split(), "AR"),
     **dict.fromkeys("+ -".split(), "PM"),
     **dict.fromkeys("< > == >= <= !=".split(), "CMP"),
-    **dict.fromkeys("True False None ...".split(), "CONST"),
+    **dict.fromkeys("True False None".split(), "CONST"),
 }
 
 PYTHON = r"""
 file: (stmt | NEWLINE)*
-field: (stars | yieldexpr) 
+field: exprs | yieldexpr
+name: NAME | "match" | "case" | "type"
 stmt: simples | compound
 simples: simple (";" simple)* ";"? NEWLINE
-simple: exprstmt | "del" list(target) ","? | "pass" | "break" | "continue" | "return" stars? | "raise" (test ("from" test)?)? | ("global" | "nonlocal") list(NAME)
-  | "import" list(dotted ("as" NAME)?) | "from" ("." | CONST)* (dotted | "." | CONST) "import" ("*" | list(NAME ("as" NAME)?) | "(" list(NAME ("as" NAME)?) ","? ")")
-  | "assert" test ("," test)?
-dotted: NAME ("." NAME)*
-exprstmt: stars | target OPSET (stars | yieldexpr) | targets ("=" targets)* "=" (stars | yieldexpr) | yieldexpr | (primtarget | "(" primtarget ")") ":" test ("=" (stars | yieldexpr))?
-targets: starget ("," starget)* ","? 
+simple: exprs | yieldexpr | (targets "=")+ (exprs | yieldexpr) | single OPSET (exprs | yieldexpr) | single ":" test ("=" (exprs | yieldexpr))?
+  | "del" list(target) ","? | "pass" | "break" | "continue" | "return" exprs? | "raise" (test ("from" test)?)? | ("global" | "nonlocal") list(name)
+  | "import" list(dotted ("as" name)?) | "from" (("." | "...")* dotted | ("." | "...")+) "import" ("*" | list(name ("as" name)?) | "(" list(name ("as" name)?) ","? ")")
+  | "assert" test ("," test)? | "type" name tparams? "=" test
+dotted: name ("." name)*
+single: name | place | "(" single ")"
+targets: starget ("," starget)* ","?
 starget: "*"? target
-target: primtarget | "(" targets? ")" | "[" targets? "]"
-primtarget: (atom trailer* | "await" atom trailer*) ("." NAME | "[" subs "]") | NAME
+target: name | place | "(" target ")" | "(" (starget "," targets?)? ")" | "[" targets? "]"
+place: atom trailer* ("." name | "[" subs "]")
+exprs: sexpr ("," sexpr)* ","?
+sexpr: "*" bitor | test
 stars: star ("," star)* ","?
 star: "*" bitor | named
-named: NAME ":=" test | test
-yieldexpr: "yield" ("from" test | stars)?
+named: name ":=" test | test
+yieldexpr: "yield" ("from" test | exprs)?
 test: ortest ("if" ortest "else" test)? | "lambda" lparams ":" test
 ortest: nottest (("or" | "and") nottest)*
 nottest: "not"* compare
 compare: bitor ((CMP | "in" | "not" "in" | "is" "not"?) bitor)*
-bitor: factor ((AR | PM | "*" | "**") factor)*
-factor: (PM | "~")* ("await")? atom trailer*
-atom: NAME | NUM | STR+ | CONST | "(" (yieldexpr | named comp | stars)? ")" | "[" (named comp | stars)? "]"
-  | "{" (("**" bitor | test ":" test) ("," ("**" bitor | test ":" test))* ","? | test ":" test comp | star ("," star)* ","? | named comp)? "}"
-trailer: "(" args? ")" | "[" subs "]" | "." NAME
+bitor: factor ((AR | PM | "/" | "|" | "@" | "*" | "**") factor)*
+factor: (PM | "~")* "await"? atom trailer*
+atom: name | NUM | STR+ | BYTES+ | CONST | "..." | "(" (yieldexpr | named comp | named | star "," stars?)? ")" | "[" (named comp | stars)? "]"
+  | "{" (pair ("," pair)* ","? | test ":" test comp | stars | named comp)? "}"
+pair: "**" bitor | test ":" test
+trailer: "(" args? ")" | "[" subs "]" | "." name
 subs: sub ("," sub)* ","?
-sub: named | test? ":" test? (":" test?)? | "*" bitor
-comp: ("async"? "for" list_targets "in" ortest ("if" (ortest ("if" ortest "else" test)? | "lambda" lparams ":" test | NAME ":=" test))*)+
-list_targets: starget ("," starget)* ","?
-args: (posarg ("," posarg)* ("," kwarg ("," kwarg)*)? | kwarg ("," kwarg)*) ","? | named comp
+sub: named | test? ":" test? (":" test?)? | "*" test
+comp: ("async"? "for" targets "in" ortest ("if" ortest)*)+
+args: (posarg ("," posarg)* ("," kwargs)? | kwargs) ","? | named comp
 posarg: named | "*" test
-kwarg: NAME "=" test | "*" test | "**" test
-compound: ifstmt | "while" named ":" suite ("else" ":" suite)? | "async"? "for" list_targets "in" stars ":" suite ("else" ":" suite)? | trystmt
-  | "async"? "with" (list(withitem) | "(" list(withitem) ","? ")") ":" suite | ("@" named NEWLINE)* ("async"? "def" NAME tparams? "(" params ")" ("-" ">" test | "->" test)? ":" suite | "class" NAME tparams? ("(" args? ")")? ":" suite)
-  | "match" stars ":" NEWLINE INDENT ("case" other(":" | NEWLINE)+ ":" suite)+ DEDENT
-tparams: "[" list("*"? "**"? NAME (":" test)?) ","? "]"
-ifstmt: "if" named ":" suite ("elif" named ":" suite)* ("else" ":" suite)?
-trystmt: "try" ":" suite (("except" "*"? (stars ("as" NAME)?)? ":" suite)+ ("else" ":" suite)? ("finally" ":" suite)? | "finally" ":" suite)
-withitem: test ("as" target)?
+kwargs: list(kwstar) ("," list(kwdict))? | list(kwdict)
+kwstar: name "=" test | "*" test
+kwdict: name "=" test | "**" test
+compound: "if" named ":" suite ("elif" named ":" suite)* ("else" ":" suite)? | "while" named ":" suite ("else" ":" suite)? | "async"? "for" targets "in" exprs ":" suite ("else" ":" suite)? | trystmt
+  | "async"? "with" (list(withitem) | "(" list(withitem) ","? ")") ":" suite
+  | ("@" named NEWLINE)* ("async"? "def" name tparams? "(" params ")" ("->" test)? ":" suite | "class" name tparams? ("(" args? ")")? ":" suite)
+  | "match" (named | star "," stars?) ":" NEWLINE INDENT ("case" patterns ("if" named)? ":" suite)+ DEDENT
+tparams: "[" list(name (":" test)? ("=" test)? | "*" name ("=" sexpr)? | "**" name ("=" test)?) ","? "]"
+trystmt: "try" ":" suite (handled ("else" ":" suite)? ("finally" ":" suite)? | "finally" ":" suite)
+handled: ("except" (test ("as" name)?)? ":" suite)+ | ("except" "*" test ("as" name)? ":" suite)+
+withitem: test ("as" starget)?
 suite: simples | NEWLINE INDENT stmt+ DEDENT
-params: (plist ","?)?
-plist: param ("," param)* ("," "/" ("," param)*)? ("," tail)? | "/" | tail
-tail: "*" (NAME (":" test)?)? ("," param)* ("," "**" NAME (":" test)?)? | "**" NAME (":" test)?
-param: NAME (":" test)? ("=" test)?
-lparams: (lplist ","?)?
-lplist: lparam ("," lparam)* ("," "/" ("," lparam)*)? ("," ltail)? | ltail
-ltail: "*" NAME? ("," lparam)* ("," "**" NAME)? | "**" NAME
-lparam: NAME ("=" test)?
+patterns: pattern | spattern "," seqpattern?
+seqpattern: spattern ("," spattern)* ","?
+spattern: "*" name | pattern
+pattern: closed ("|" closed)* ("as" name)?
+closed: fixed | dotted | dotted "(" (clsargs ","?)? ")" | "(" pattern ")" | "(" (spattern "," seqpattern?)? ")" | "[" seqpattern? "]"
+  | "{" (list((fixed | name ("." name)+) ":" pattern) ("," "**" name)? ","? | "**" name ","?)? "}"
+fixed: PM? NUM (PM NUM)? | STR+ | BYTES+ | CONST
+clsargs: list(pattern) ("," list(name "=" pattern))? | list(name "=" pattern)
+params: ((plain | given | tail) ","?)?
+plain: ann ("," (plain | given | "/" ("," (plainp | givenp | tail))? | tail))?
+given: ann "=" test ("," (given | "/" ("," (givenp | tail))? | tail))?
+plainp: ann ("," (plainp | givenp | tail))?
+givenp: ann "=" test ("," (givenp | tail))?
+tail: "*" name (":" sexpr)? ("," ann ("=" test)?)* ("," "**" ann)? | "*" ("," ann ("=" test)?)+ ("," "**" ann)? | "**" ann
+ann: name (":" test)?
+lparams: ((lplain | lgiven | ltail) ","?)?
+lplain: name ("," (lplain | lgiven | "/" ("," (lplainp | lgivenp | ltail))? | ltail))?
+lgiven: name "=" test ("," (lgiven | "/" ("," (lgivenp | ltail))? | ltail))?
+lplainp: name ("," (lplainp | lgivenp | ltail))?
+lgivenp: name "=" test ("," (lgivenp | ltail))?
+ltail: "*" name ("," name ("=" test)?)* ("," "**" name)? | "*" ("," name ("=" test)?)+ ("," "**" name)? | "**" name
 """

@@ -13,16 +13,14 @@ may stand for a name or for nothing.
 
 Defined results: null and blank texts and other extensions get the status
 'none' and are no cases; redelivered rows count once; a null repo is a group of
-its own.  A Python text that the grammar refuses is checked again by the
-interpreter's own parser, whose syntax also knows quotes nested in f-strings.
+its own.
 """
 
 from __future__ import annotations
 
-import ast
 import re
 import sys
-import warnings
+import unicodedata
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -103,12 +101,15 @@ def _hardware_class(system: bool):
 
 _COMMENT = re.compile(r'("(?:[^"\\\n]|\\[\s\S])*")|//[^\n]*|/\*[\s\S]*?\*/')
 _DIRECTIVE = re.compile(r"`(\w+)")
+NESTED = 100  # expansions within expansions; a macro that holds itself is no macro
 _TIMESCALE = re.compile(r"\s*\d+\s*[munpf]?s\s*/\s*\d+\s*[munpf]?s\s*$")
 # Directives that take the rest of their line and leave no tokens.
 _LINE = frozenset(
     "include default_nettype celldefine endcelldefine resetall line pragma unconnected_drive nounconnected_drive begin_keywords end_keywords default_decay_time default_trireg_strength protect endprotect undefineall".split()
 )
 
+_DIRECTIVES = _LINE | frozenset("ifdef ifndef elsif else endif define undef timescale".split())
+
 
 def _rest_of_line(text: str, at: int) -> int:
     while True:
@@ -121,13 +122,13 @@ def _rest_of_line(text: str, at: int) -> int:
 
 
 def _segments(text: str) -> list[tuple[str, str]] | None:
-    """Text between directives, and the directives; None if a directive is malformed."""
+    """Text between directives, and the directives; uses of macros stay in the text.  None if a directive is malformed."""
     text = _COMMENT.sub(lambda m: m[1] or " ", text)
     out, at = [], 0
     for m in _DIRECTIVE.finditer(text):
-        if m.start() < at:
-            continue
         name = m[1]
+        if m.start() < at or name not in _DIRECTIVES:
+            continue
         if text[m.start() - 1 : m.start()] == "`" or text.count('"', text.rfind("\n", 0, m.start()) + 1, m.start()) % 2:
             continue  # not a directive: a run of backticks, or inside a string
         out.append(("text", text[at : m.start()]))
@@ -152,14 +153,62 @@ def _segments(text: str) -> list[tuple[str, str]] | None:
             if not _TIMESCALE.match(text[at:end]):
                 return None
             at = end
-        elif name in _LINE:
-            at = _rest_of_line(text, at)
         else:
-            out.append(("use", name))
+            at = _rest_of_line(text, at)
     out.append(("text", text[at:]))
     return out
 
 
+def _closing(tokens: list[str], at: int) -> int:
+    """Behind the bracket that closes the one at ``at``; -1 if none does."""
+    depth = 0
+    for k in range(at, len(tokens)):
+        depth += (tokens[k] in ("(", "[", "{")) - (tokens[k] in (")", "]", "}"))
+        if depth == 0:
+            return k + 1
+    return -1
+
+
+def _by_comma(tokens: list[str]) -> list[list[str]]:
+    """Tokens between commas outside brackets."""
+    out, depth = [[]], 0
+    for t in tokens:
+        depth += (t in ("(", "[", "{")) - (t in (")", "]", "}"))
+        if t == "," and depth == 0:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return out
+
+
+class _Macro:
+    """A definition: names and defaults of its arguments (None without brackets) and the tokens of its body."""
+
+    __slots__ = ("args", "body")
+
+    def __init__(self, rest: str, lex):
+        self.args: list[tuple[str, list[str]]] | None = None
+        tokens = lex(rest.replace("\\\r\n", " ").replace("\\\n", " ").replace("``", "").replace('`\\`"', '"').replace('`"', '"'))
+        if rest[:1] == "(":
+            end = _closing(tokens, 0)
+            if end > 0:
+                self.args = [(a[0], a[2:]) for a in _by_comma(tokens[1 : end - 1]) if a]
+                tokens = tokens[end:]
+        self.body = tokens
+
+    def expanded(self, given: list[str] | None) -> list[str] | None:
+        """The body with the given tokens (brackets included) as arguments; None if they don't fit."""
+        if self.args is None:
+            return self.body + (given or [])
+        if given is None:
+            return None
+        values = _by_comma(given[1:-1])
+        if len(values) > max(1, len(self.args)):
+            return None
+        put = {name: (values[k] if k < len(values) and (values[k] or not default) else default) for k, (name, default) in enumerate(self.args)}
+        return [x for t in self.body for x in put.get(t, (t,))]
+
+
 def _walk(state: State, tokens: list[str], classes: _Classes) -> State:
     for c in map(classes.__getitem__, tokens):
         state = state[c]
@@ -246,49 +295,45 @@ class _Hardware:
             if kind in ("ifdef", "ifndef", "elsif"):
                 left[v] = left.get(v, 0) + 1
         macros = {v: k for k, v in enumerate(left)}
-        settings = _Settings()
+        walk = _Expansion(self, segments, len(macros))
+        settings = walk.settings
         # (open conditionals (active, taken, outer active, else seen), state) -> the settings that lead there
-        configs: dict[tuple[tuple, State], int] = {((), self.parser.fresh()): 1}
-        bodies: dict[str, str] = {}
+        configs: dict[tuple[tuple, State], int] = {((), self.parser.fresh()): walk.start}
         count = 0
-        dead = self.parser.dead
-        for kind, v in segments:
+        for at, (kind, v) in enumerate(segments):
             out: dict[tuple[tuple, State], int] = {}
 
             def add(st: tuple, s: State, f: int, out=out) -> None:
                 if f:
                     out[st, s] = settings.either(out.get((st, s), 0), f)
 
-            if kind in ("text", "use"):
-                source = v if kind == "text" else bodies.get(v)
-                tokens = [] if source is None else self.lex(source)
-                moved: dict[State, State] = {}
-                for (st, s), f in configs.items():
-                    if not st or st[-1][0]:
-                        if s not in moved:
-                            if source is None:
-                                moved[s] = self.parser.union([s, s["ID"]])
-                            else:
-                                moved[s] = _walk(s, tokens, self.classes)
-                            if moved[s] is dead:
-                                _, n, tok = _where(s, tokens, self.classes, self.parser)
-                                return "failed", count + max(n, 0), tok
-                        s = moved[s]
-                    add(st, s, f)
-                count += len(tokens)
-                configs = out
+            if kind == "text":
+                tokens = self.lex(v)
+                if tokens:
+                    by_place: dict[tuple, dict[State, int]] = {}
+                    for (st, s), f in configs.items():
+                        if not st or st[-1][0]:
+                            by_place.setdefault(st, {})[s] = f
+                        else:
+                            add(st, s, f)
+                    try:
+                        for st, states in by_place.items():
+                            for s, f in walk.run(states, tokens).items():
+                                add(st, s, f)
+                    except _Dead as e:
+                        return "failed", count + e.args[0], e.args[1]
+                    count += len(tokens)
+                    configs = out
                 continue
             if kind in ("define", "undef"):
                 name = re.match(r"\w+", v)[0]
-                if kind == "define":
-                    rest = v[len(name) :]
-                    bodies[name] = re.sub(r"^\([^)]*\)", "", rest).replace("\\\n", "\n")
-                if left.get(name):
-                    for (st, s), f in configs.items():
-                        if not st or st[-1][0]:
+                for (st, s), f in configs.items():
+                    if not st or st[-1][0]:
+                        f = walk.defined(f, name, at if kind == "define" else None)
+                        if left.get(name):
                             f = settings.only(settings.without(f, macros[name]), macros[name], kind == "define")
-                        add(st, s, f)
-                    configs = out
+                    add(st, s, f)
+                configs = out
                 continue
             if kind in ("ifdef", "ifndef", "elsif"):
                 left[v] -= 1
@@ -323,6 +368,87 @@ class _Hardware:
         return "ok", -1, ""
 
 
+class _Dead(Exception):
+    """No derivative is left: the number of tokens before, and the token."""
+
+
+class _Expansion:
+    """Walks tokens with their macros expanded, each under the settings that lead to its definition.
+
+    Each definition of a macro has a variable in the settings that tells whether
+    it is the one in force, so that bodies belong to configurations.
+    """
+
+    def __init__(self, hardware: _Hardware, segments: list[tuple[str, str]], first: int):
+        self.parser, self.classes, self.settings = hardware.parser, hardware.classes, _Settings()
+        self.bodies: dict[str, list[tuple[int, int, _Macro]]] = {}  # name -> (place, variable, definition)
+        used = {x for kind, v in segments if kind in ("text", "define") for x in _DIRECTIVE.findall(v)}
+        var = first
+        for at, (kind, v) in enumerate(segments):
+            name = re.match(r"\w*", v)[0] if kind == "define" else ""
+            if name in used:
+                self.bodies.setdefault(name, []).append((at, var, _Macro(v[len(name) :], hardware.lex)))
+                var += 1
+        self.start = 1  # nothing is defined
+        for k in range(var - 1, first - 1, -1):
+            self.start = self.settings.node(k, self.start, 0)
+
+    def defined(self, f: int, name: str, at: int | None) -> int:
+        """Settings after the definition at a place, or after none is in force any more."""
+        for place, var, _ in self.bodies.get(name, ()):
+            f = self.settings.only(self.settings.without(f, var), var, place == at)
+        return f
+
+    def run(self, states: dict[State, int], tokens: list[str], depth: int = 0) -> dict[State, int]:
+        at, uses = 0, [k for k, t in enumerate(tokens) if t[0] == "`" and len(t) > 1]
+        for k in [*uses, len(tokens)]:
+            if k < at:
+                continue  # an argument of the use before
+            plain = tokens[at:k]
+            out: dict[State, int] = {}
+            for s, f in states.items():
+                to = _walk(s, plain, self.classes)
+                if to is self.parser.dead:
+                    _, n, token = _where(s, plain, self.classes, self.parser)
+                    raise _Dead(at + n, token)
+                self._add(out, to, f)
+            states = out
+            if k == len(tokens):
+                break
+            at = k + 1
+            known = self.bodies.get(tokens[k][1:], ())
+            given = None
+            if any(m.args is not None for _, _, m in known) and tokens[at : at + 1] == ["("]:
+                end = _closing(tokens, at)
+                if end < 0:
+                    raise _Dead(k, tokens[k])
+                given, at = tokens[at:end], end
+            out = {}
+            for s, f in states.items():
+                for _, var, macro in known:
+                    on = self.settings.only(f, var, True)
+                    f = self.settings.only(f, var, False)
+                    if on:
+                        body = macro.expanded(given) if depth < NESTED else None
+                        if body is None:
+                            raise _Dead(k, tokens[k])
+                        self._expand(out, s, on, body, depth, k)
+                if f:  # not defined here: a name or nothing
+                    self._expand(out, self.parser.union([s, s["ID"]]), f, given or [], depth, k)
+            states = out
+        return states
+
+    def _expand(self, out: dict[State, int], s: State, f: int, tokens: list[str], depth: int, place: int) -> None:
+        try:
+            for to, g in self.run({s: f}, tokens, depth + 1).items():
+                self._add(out, to, g)
+        except _Dead as e:
+            raise _Dead(place, e.args[1]) from None
+
+    def _add(self, out: dict[State, int], s: State, f: int) -> None:
+        out[s] = self.settings.either(out.get(s, 0), f)
+
+
 def _where(state: State, tokens: list[str], classes: _Classes, parser: Parser) -> tuple[str, int, str]:
     """The failing token of a refused stream, or its truncation."""
     for n, t in enumerate(tokens):
@@ -360,36 +486,61 @@ class _Json:
 
 # ------------------------------------------------------------------ Python
 
-_PY_NUMBER = re.compile(
-    r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
+_PY_NUMBER = (
+    r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
+    r"(?=(?:and|else|for|if|in|is|not|or)\b|\W|\Z)"
 )
 _PY_STRING = (
-    r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:"
+    r"(?:[rR][bB]?|[bB][rR]?|[uU])?(?:"
     r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|" + r'"(?:[^"\\\n]|\\[\s\S])*"|' + r"'(?:[^'\\\n]|\\[\s\S])*')"
 )
 _PY_LEX = re.compile(
-    r"[ \t\f]*(?:(#[^\n]*)|(\\\n)|("
+    r"[ \t\f]*(?:(#[^\n]*)|(\\\n)|((?:[fF][rR]?|[rR][fF])(?:" + '"""|' + "'''" + r"""|"|'))|("""
     + _PY_STRING
     + r"|[^\W\d]\w*|"
-    + _PY_NUMBER.pattern
+    + _PY_NUMBER
     + r"|\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%&|^@=!<>:]=|->|\*\*|//|<<|>>|\n|.))"
 )
 _INDENT = re.compile(r"[ \t\f]*")
 _STR_HEAD = re.compile(r"([A-Za-z]*)(\"\"\"|'''|\"|')")
+_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:0010|000[0-9a-fA-F])[0-9a-fA-F]{4}|N\{([^{}]+)\}|([xuUN])|[\s\S])")
+
+
+def _escapes_hold(body: str, in_bytes: bool) -> bool:
+    """Whether the escapes of a string that is not raw are well formed."""
+    for m in _ESCAPE.finditer(body):
+        if m[2] and not (in_bytes and m[2] != "x"):
+            return False
+        if m[1] and not in_bytes:
+            try:
+                unicodedata.lookup(m[1])
+            except KeyError:
+                return False
+    return True
 
 
 def _python_class(t: str) -> str:
     c = t[0]
     if len(t) > 1 and t[-1] in "\"'" and (c in "\"'" or _STR_HEAD.match(t)):
-        return "STR"
+        h = _STR_HEAD.match(t)
+        prefix = h[1].lower()
+        if "b" in prefix and not t.isascii():
+            return "?"
+        if "r" not in prefix and "\\" in t and not _escapes_hold(t[h.end() : -len(h[2])], "b" in prefix):
+            return "?"
+        return "BYTES" if "b" in prefix else "STR"
     if c.isalpha() or c == "_":
-        return G.PYTHON_CLASSES.get(t, t) if t in G.PYTHON_WORDS else "NAME" if t.isidentifier() else "?"
+        if t in G.PYTHON_SOFT_WORDS:
+            return t
+        return G.PYTHON_CLASSES.get(t, t) if t in G.PYTHON_WORDS else "NAME" if unicodedata.normalize("NFKC", t).isidentifier() else "?"
     if c.isdigit() or (c == "." and len(t) > 1 and t != "..."):
-        return "NUM" if not re.match(r"0[\d_]*[1-9][\d_]*$", t) else "?"
+        return "NUM" if t.isascii() and not re.match(r"0[\d_]*[1-9][\d_]*$", t) else "?"
     return G.PYTHON_CLASSES.get(t, t)
 
 
 class _Python:
+    """Python 3.12 and later: strings with fields may hold their own quotes, line ends and comments inside the fields."""
+
     def __init__(self) -> None:
         rules = parse_grammar(G.PYTHON)
         self.parser, self.field = Parser(rules, "file"), Parser(rules, "field")
@@ -429,8 +580,18 @@ class _Python:
             if m is None:  # only blanks are left
                 break
             at = m.end()
-            t = m[3]
+            if m[3]:
+                at = self.fielded(text, at, m[3])
+                if at < 0:
+                    yield "?"
+                    return
+                yield "STR"
+                continue
+            t = m[4]
             if t is None:
+                if m[2] and at >= end:  # nothing follows the backslash
+                    yield "?"
+                    return
                 continue
             if t == "\n":
                 if depth == 0:
@@ -442,9 +603,6 @@ class _Python:
                 depth += 1
             elif c in (")", "]", "}"):
                 depth = max(0, depth - 1)
-            elif c == "STR" and t[0] in "fFrR" and "{" in t and not self.fields_parse(t):
-                yield "?"
-                return
             yield c
         if depth:
             return  # a bracket is open, so the last line has not ended
@@ -453,85 +611,91 @@ class _Python:
         for _ in levels[1:]:
             yield "DEDENT"
 
-    def fields_parse(self, token: str) -> bool:
-        """Whether the replacement fields of an f-string hold expressions."""
-        h = _STR_HEAD.match(token)
-        if "f" not in h[1].lower():
-            return True
-        return self._fields(token[h.end() : -len(h[2])])
-
-    def _fields(self, s: str) -> bool:
-        at = 0
-        while at < len(s):
-            c = s[at]
-            if c in "{}" and s[at : at + 2] == c * 2:
+    def fielded(self, text: str, at: int, opening: str) -> int:
+        """Where a string with fields ends whose opening has been read; -1 if it is broken."""
+        quote = opening.lstrip("fFrR")
+        return self._literal(text, at, quote, "r" in opening.lower(), False)
+
+    def _literal(self, text: str, at: int, quote: str, raw: bool, spec: bool) -> int:
+        """The end of the literal part: behind the closing quote, or (``spec``) at the brace that ends the field."""
+        while at < len(text):
+            c = text[at]
+            if text.startswith(quote, at):
+                return -1 if spec else at + len(quote)
+            if c == "\\":
+                if raw or text[at + 1 : at + 2] in ("{", "}"):
+                    at += 1 if text[at + 1 : at + 2] in ("{", "}") else 2
+                    continue
+                m = _ESCAPE.match(text, at)
+                if m is None or not _escapes_hold(m[0], False):
+                    return -1
+                at = m.end()
+            elif c == "\n" and (len(quote) == 1 or spec and len(quote) == 1):
+                return -1
+            elif c == "{":
+                if not spec and text[at + 1 : at + 2] == "{":
+                    at += 2
+                    continue
+                at = self._field(text, at + 1, quote, raw)
+                if at < 0:
+                    return -1
+            elif c == "}":
+                if spec:
+                    return at
+                if text[at + 1 : at + 2] != "}":
+                    return -1
                 at += 2
+            else:
+                at += 1
+        return -1
+
+    def _field(self, text: str, at: int, quote: str, raw: bool) -> int:
+        """The end of a replacement field whose brace has been read."""
+        state, depth = self.field.fresh(), 0
+        while True:
+            m = _PY_LEX.match(text, at)
+            if m is None:
+                return -1
+            start, at = m.start(m.lastindex), m.end()
+            if m[3]:
+                at = self.fielded(text, at, m[3])
+                if at < 0:
+                    return -1
+                state = state["STR"]
                 continue
-            if c == "}":
-                return False
-            at += 1
-            if c != "{":
+            t = m[4]
+            if t is None or t == "\n":
                 continue
-            start, depth = at, 0
-            while at < len(s) and not (depth == 0 and (s[at] in "}:" or (s[at] == "!" and s[at + 1 : at + 2] != "="))):
-                if s[at] in "([{":
-                    depth += 1
-                elif s[at] in ")]}":
-                    depth -= 1
-                elif s[at] in "\"'":
-                    m = re.compile(_PY_STRING).match(s, at)
-                    if m is None:
-                        return False
-                    at = m.end() - 1
-                at += 1
-            expr = s[start:at].strip().removesuffix("=")
-            if at >= len(s):
-                return False
-            state = self.field.fresh()
-            for m in _PY_LEX.finditer(expr):
-                if m[3] and m[3] != "\n":
-                    state = state[self.classes[m[3]]]
-            if not state.nullable():
-                return False
-            if s[at] == "!":
-                if s[at + 1 : at + 2] not in tuple("rsa"):
-                    return False
-                at += 2
-            if s[at : at + 1] == ":":
-                start, depth = at + 1, 1
-                while at < len(s) and depth:
-                    at += 1
-                    depth += (s[at : at + 1] == "{") - (s[at : at + 1] == "}")
-                if depth or not self._fields(s[start:at]):
-                    return False
-            if s[at : at + 1] != "}":
-                return False
-            at += 1
-        return True
+            if depth == 0 and (t in ("}", "!", ":", ":=") or (t in ("=", "==") and re.match(r"=\s*[!:}]", text[start:]))):
+                at = start
+                break
+            depth += (t in "([{") - (t in ")]}")
+            if depth < 0:
+                return -1
+            state = state[self.classes[t]]
+            if state is self.field.dead:
+                return -1
+        if not state.nullable():
+            return -1
+        m = re.compile(r"(?:=\s*)?(?:!\s*[rsa]\s*)?").match(text, at)
+        at = m.end()
+        if text[at : at + 1] == ":":
+            at = self._literal(text, at + 1, quote, raw, True)
+            if at < 0:
+                return -1
+        return at + 1 if text[at : at + 1] == "}" else -1
 
     def check(self, text: str) -> tuple[str, int, str]:
-        found = self._derive(text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
-        return found if found[0] == "ok" or not _interpreter_parses(text) else ("ok", -1, "")
-
-    def _derive(self, text: str) -> tuple[str, int, str]:
         state, n, c = self.parser.fresh(), -1, ""
-        for n, c in enumerate(self.tokens(text)):
+        for n, c in enumerate(self.tokens(text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))):
             state = state[c]
             if state is self.parser.dead:
                 return "failed", n, c
+        if "\0" in text:
+            return "failed", n, "\0"
         return ("ok", -1, "") if state.nullable() else ("truncated", n + 1, "")
 
 
-def _interpreter_parses(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-
-
 # ------------------------------------------------------------------ operator
 
 

@@ -78,7 +78,7 @@ def test_bodies_are_parsed(path, text, at):
         assert status(path, text.replace(at, bad + at)) in ("failed", "truncated"), bad
 
 
-def test_patterns_are_left_to_the_interpreter():
+def test_patterns():
     assert status("a.py", "match x:\n    case [1, *_] | {'a': b} if b:\n        pass\n") == "ok"
     assert status("a.py", "match x:\n    case <<<<<<< 1:\n        pass\n") == "failed"
 
