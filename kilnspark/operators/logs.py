@@ -1,16 +1,20 @@
 """Semi-structured log text into entries of timestamp, level, component and message.
 
-A deterministic character automaton (:mod:`kilnspark.functions.automaton`),
-built from the head grammars below, runs over all lines of a batch at once: its
-accepting states name the layout of a line that starts an entry, and a line
-that reaches none is a continuation of the entry above it.  The grammar of the
-layout then assigns the fields of the head, quotes and escapes resolved.
+A deterministic character automaton (:mod:`kilnspark.functions.automaton`) cuts
+the heads of all lines of a batch into tokens: times, levels, names, strings in
+quotes, brackets and delimiters.  A second automaton runs over the kinds of the
+tokens; it is built from the grammars of the head layouts, and it looks ahead
+over a line's tokens until no layout is left.  A line in which it accepts starts
+an entry; any other line is a continuation of the entry above it.  The grammar of
+the layout assigns the tokens to fields, escapes are resolved.
 
 Defined results: null and empty texts give no entry; lines above the first
-start belong to none; a head without time has '' as entry_ts, without a logger
-or file '' as component; a JSON line that does not parse or has neither time
-nor level is a continuation.  Redelivered rows count once.  Lines end in LF or
-CRLF only.  A simulation time that is still unset (``-.--``) is no time.
+start belong to none; a head without time has '' as entry_ts, without a level ''
+as level_name, without a logger or file '' as component; a time of day without
+date or year stays as written; a JSON line that does not parse or has neither
+time nor level is a continuation.  Redelivered rows count once.  Lines end in LF
+or CRLF only.  A simulation time that is still unset (``-.--``) is no time.  The
+first line of a tail may be cut, so there a level or time of day alone is no head.
 """
 
 from __future__ import annotations
@@ -26,42 +30,133 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.functions.automaton import PrefixAutomaton
+from kilnspark.functions.automaton import Automaton
 
 LEVELS = {
     "trace": "DEBUG", "debug": "DEBUG", "info": "INFO", "notice": "INFO", "note": "INFO", "warn": "WARNING", "warning": "WARNING",
     "err": "ERROR", "error": "ERROR", "crit": "CRITICAL", "critical": "CRITICAL", "fatal": "CRITICAL", "panic": "CRITICAL", "emerg": "CRITICAL",
 }
-_UP = "|".join(k.upper() for k in LEVELS)
-_LV = "|".join([*LEVELS, *(k.upper() for k in LEVELS), *(k.capitalize() for k in LEVELS)])
-_TS = r"[0-9]{4}-[0-9][0-9]-[0-9][0-9][ T][0-9][0-9]:[0-9][0-9]:[0-9][0-9](?:[.,][0-9]+)?(?: ?Z| ?[+-][0-9][0-9]:?[0-9][0-9])?"
 
-# Layout -> grammar of its head.  What follows the head is the message.
+# Kind of token (a letter) -> pattern; the longest match counts, then the first.
+_CLOCK = r"\d\d:\d\d:\d\d([.,]\d+)?"
+TOKENS = {
+    "T": rf"\d{{4}}-\d\d-\d\d[ T]{_CLOCK}( ?Z| ?[+\-]\d\d:?\d\d)?",
+    "M": rf"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +\d\d? {_CLOCK}",
+    "K": _CLOCK,
+    "Y": r"(-\.--|\d+(\.\d+)?)(fs|ps|ns|us|ms|s)",
+    "U": "|".join(k.upper() for k in LEVELS),
+    "C": "|".join(k.capitalize() for k in LEVELS),
+    "L": "|".join(LEVELS),
+    "R": "%(Error|Warning|Info)(-[A-Z0-9_]+)?: ",  # a level with its rule
+    "W": r"time|ts|level|lvl|component|logger|msg",  # keys that a record of pairs begins with
+    "B": r"[A-Za-z_][\w.]*",
+    "I": r"\d+",
+    "A": r"[A-Za-z][\w.\-]*",
+    "N": "[A-Za-z0-9_./\\-\x80-\xff]+",
+    "D": " - ",
+    "S": " +",
+    "Q": r'"([^"\\]|\\.)*"',
+    "O": r"\[",
+    "X": r"\]",
+    "P": r"\(",
+    "E": r"\)",
+    "J": r"{",
+    ":": ":",
+    "=": "=",
+    "*": r"\*\* ",
+    "Z": r".",
+}
+_LV = "[ULC]"
+_WORD = "[UCLWBIANTY]"  # a name of letters, digits, dots, slashes and dashes
+_PLAIN = "[UCLWBI]"  # of letters, digits and dots
+# Layout -> grammar of its head over kinds of tokens.  What follows the head is the message.
 HEADS = {
-    "dashed": rf"(?P<ts>{_TS}) - (?P<comp>[^ ]+) - (?P<lvl>{_LV}) - ",
-    "bracket_time": rf"\[(?P<ts>{_TS})\] ?\[ *(?P<lvl>{_LV}) *\] (?:(?P<comp>[\w./-]+): )?",
-    "time_bracket": rf"(?P<ts>{_TS}) \[ *(?P<lvl>{_LV}) *\] (?:(?P<comp>[\w./-]+): )?",
-    "plain_time": rf"(?P<ts>{_TS}) +(?P<lvl>{_LV}):? +",
-    "simulator": rf" *(?P<sim>(?:-\.--|[0-9]+(?:\.[0-9]+)?)(?:fs|ps|ns|us|ms|s)) +(?P<lvl>{_UP}) +(?P<comp>[\w.]+)(?: +|$)",
-    "level_file": rf"(?P<lvl>{_UP}) +(?P<comp>[\w./-]+):[\w./-]+:[0-9]+ ",
-    "basic": rf"(?P<lvl>{_UP}):(?P<comp>[\w./-]+):",
-    "lint": r"%(?P<lvl>Error|Warning|Info)(?:-[A-Z0-9_]+)?: (?:(?P<comp>[^ :]+):[0-9]+(?::[0-9]+)?: )?",
-    "compiler": rf"(?P<comp>[^ :]+):[0-9]+(?::[0-9]+)?: (?P<lvl>{_LV}): ",
-    "daemon": rf"(?P<comp>[A-Za-z][\w.-]*)(?:\[[0-9]+\])?: (?P<lvl>{_LV}): ",
-    "pairs": r"(?:time|ts|level|lvl|component|logger|msg)=",
-    "json": r" *\{ *\"",
+    "dashed": rf"(?P<ts>T)D(?P<comp>[^SD]+)D(?P<lvl>{_LV})D",
+    "bracket_time": rf"O(?P<ts>T)XS?OS?(?P<lvl>{_LV})S?XS(?:(?P<comp>{_WORD}):S)?",
+    "time_bracket": rf"(?P<ts>T)SOS?(?P<lvl>{_LV})S?XS(?:(?P<comp>{_WORD}):S)?",
+    "plain_time": rf"(?P<ts>T)S(?P<lvl>{_LV}):?S",
+    "simulator": rf"S?(?P<ts>Y)S(?P<lvl>U)S(?P<comp>{_PLAIN}+)(?:S|$)",
+    "level_file": rf"(?P<lvl>U)S(?P<comp>{_WORD}):{_WORD}:IS",
+    "basic": rf"(?P<lvl>U):(?P<comp>{_WORD}):",
+    "lint": rf"(?P<lvl>R)(?:(?P<comp>[^S:]+):I(?::I)?:S)?",
+    "compiler": rf"(?P<comp>[^S:]+):I(?::I)?:S(?P<lvl>{_LV}):S",
+    "daemon": rf"(?P<comp>[BAWUCL])(?:OIX)?:S(?P<lvl>{_LV}):S",
+    "pairs": r"W=",
+    "json": r"S?JS?Q",
+    # heads of few parts
+    "host": rf"(?P<ts>[MT])S{_WORD}S(?P<comp>{_WORD})(?:OIX)?:S(?:(?P<lvl>{_LV}):S|OS?(?P<lvl2>{_LV})S?XS)?",
+    "clock": rf"O?(?P<ts>[KM])X?S(?:O?(?P<lvl>{_LV})X?:?S(?:(?P<comp>{_WORD}):S)?)?",
+    "time": rf"(?P<ts>T):?S|O(?P<ts2>T)X:?S",
+    "stars": rf"\*(?P<lvl>[UC])(?:S?P[^SE]+E)?:S(?:(?P<comp>[^SP:]+)PIE:S)?",
+    "level_bracket": rf"OS?(?P<lvl>{_LV})S?X:?S(?:(?P<comp>{_WORD}):S)?",
+    "level": r"(?P<lvl>U)(?::S|D|S)",
 }
 _NAMES = list(HEADS)
+_FEW = frozenset(k for k, n in enumerate(_NAMES) if n in ("clock", "level_bracket", "level"))  # too few parts for a line that may be cut
 _CONTROL = re.compile(r"\x1b(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\)|[@-Z\\-_])")
-_PAIR = re.compile(r'([\w.]+)=("(?:[^"\\]|\\.)*"|[^ ]*)(?: +|$)')
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)")
-_LINE_END = re.compile(r"[ \t\r\f\v]+$")
+_KINDS = "".join(TOKENS)
+
+
+class _Machine:
+    """Tokens of the lines' heads, and the layouts that accept them."""
+
+    def __init__(self) -> None:
+        self.lexer = Automaton(list(TOKENS.values()))
+        # groups have no names in the automaton, which does not see the end of a line: there an alternative is spelled out
+        bare = [re.sub(r"\(\?(?:P<\w+>|:)", "(", h).replace("|$)", "|)") for h in HEADS.values()]
+        self.grammar = Automaton(bare)
+        self.code = np.frombuffer(_KINDS.encode(), dtype=np.uint8)
+        self.heads = [re.compile(h) for h in HEADS.values()]
+        self.known: dict[tuple[str, int], dict[str, tuple[int, int]]] = {}
+
+    def starts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[int, tuple[int, str, list[int]]]:
+        """Line -> (layout, kinds, places of the tokens) of the lines in which a layout accepts; the first layout of the list wins."""
+        n = len(starts)
+        layout, state = np.full(n, len(_NAMES), dtype=np.int32), np.ones(n, dtype=np.int32)
+        live = np.flatnonzero(starts < ends)
+        pos = starts.astype(np.int64)
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(live):
+            kind, upto = self.lexer.longest(data, pos[live], ends[live])
+            c = self.code[kind]
+            steps.append((live, c, pos[live]))
+            state[live] = self.grammar.table[state[live], c]
+            hit = self.grammar.accepts[state[live]]
+            got = np.flatnonzero(hit >= 0)
+            layout[live[got]] = np.minimum(layout[live[got]], hit[got])
+            pos[live] = upto
+            # a record of pairs is cut to its end, other heads until no layout is left
+            going = (state[live] != 0) | (layout[live] == _NAMES.index("pairs"))
+            live = live[np.flatnonzero(going & (upto < ends[live]))]
+        if not steps:
+            return {}
+        line, c, at = (np.concatenate(x) for x in zip(*steps, strict=True))
+        sel = np.flatnonzero(layout[line] < len(_NAMES))
+        if not len(sel):
+            return {}
+        sel = sel[np.argsort(line[sel], kind="stable")]
+        line, c, at = line[sel], c[sel], at[sel]
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        kinds, places = c.tobytes().decode(), at.tolist()
+        out = {}
+        for k, lo, hi in zip(line[first].tolist(), first.tolist(), [*first[1:].tolist(), len(line)], strict=True):
+            out[k] = (int(layout[k]), kinds[lo:hi], [*places[lo:hi], int(pos[k])])
+        return out
+
+    def fields(self, layout: int, kinds: str) -> dict[str, tuple[int, int]]:
+        """Field -> its range of tokens, 'head' the whole, by the layout's grammar."""
+        key = (kinds, layout)
+        if key not in self.known:
+            m = self.heads[layout].match(kinds)
+            spans = {} if m is None else {f: m.span(f) for f, v in m.groupdict().items() if v is not None}
+            self.known[key] = spans | ({} if m is None else {"head": m.span()})
+        return self.known[key]
 
 
 @cache
-def _machine() -> tuple[PrefixAutomaton, list[re.Pattern[str]]]:
-    # the automaton decides on lines, the end of which it doesn't see, so an alternative at the end is spelled out
-    return PrefixAutomaton([h.replace("(?: +|$)", "") for h in HEADS.values()]), [re.compile(h) for h in HEADS.values()]
+def _machine() -> _Machine:
+    return _Machine()
 
 
 def utc_text(ts: str) -> str:
@@ -76,7 +171,9 @@ def utc_text(ts: str) -> str:
     return t.astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S")
 
 
-_IS_TS = re.compile(_TS + "$")
+@cache
+def _stamp() -> Automaton:
+    return Automaton([TOKENS["T"]])
 
 
 def _any_time(v: object) -> str:
@@ -90,7 +187,7 @@ def _any_time(v: object) -> str:
         except (OverflowError, ValueError, OSError):
             return ""
     s = str(v).strip()
-    if _IS_TS.match(s):
+    if _stamp().whole(s) == 0:
         return utc_text(s)
     try:
         return _any_time(float(s))
@@ -114,37 +211,37 @@ def _from_keys(d: dict) -> tuple[str, str, str, str] | None:
     return _any_time(ts), LEVELS.get(str(lvl).lower(), "") if lvl is not None else "", str(comp), str(msg)
 
 
-def head(layout: int, line: str) -> tuple[str, str, str, str] | None:
-    """(entry_ts, level_name, component, first part of the message) of a line of the layout; None if it is no start."""
-    name = _NAMES[layout]
-    if name == "json":
-        try:
-            d = json.loads(line)
-        except (ValueError, RecursionError):
-            return None
-        return _from_keys(d) if isinstance(d, dict) else None
-    if name == "pairs":
-        d, at = {}, 0
-        for m in _PAIR.finditer(line):
-            if m.start() != at:
-                break
-            v = m[2]
-            d[m[1]] = _ESCAPE.sub(_unescape, v[1:-1]) if v[:1] == '"' and len(v) > 1 else v
-            at = m.end()
-        got = _from_keys(d)
-        return got and (got[0], got[1], got[2], got[3] + (" " + line[at:] if line[at:].strip() else ""))
-    m = _machine()[1][layout].match(line)
-    if m is None:
-        return None
-    g = m.groupdict()
-    sim = g.get("sim")
-    ts = utc_text(g["ts"]) if g.get("ts") else (sim if sim and sim[0] != "-" else "")
-    return ts, LEVELS[g["lvl"].lower()], g.get("comp") or "", line[m.end() :]
-
-
-def entries(texts: list[str | None]) -> Iterator[tuple[int, int, str, str, str, str]]:
-    """(index of the text, line_no, entry_ts, level_name, component, message) of all entries."""
-    machine, _ = _machine()
+def _pairs(kinds: str, places: list[int], cut) -> tuple[dict[str, str], int]:
+    """Keys and values of a record of pairs, and the token at which it ends."""
+    d, k, n = {}, 0, len(kinds)
+    while k < n:
+        e = k
+        while e < n and kinds[e] in "WBIANUCLTMKY":
+            e += 1
+        if e == k or e >= n or kinds[e] != "=":
+            break
+        v = e + 1
+        if v < n and kinds[v] == "Q" and (v + 1 == n or kinds[v + 1] in "SD"):
+            value = _ESCAPE.sub(_unescape, cut(places[v], places[v + 1])[1:-1])
+            end = v + 1
+        else:
+            end = v
+            while end < n and kinds[end] not in "SD":
+                end += 1
+            value = cut(places[v], places[end])
+            if end < n and kinds[end] == "D" or "T" in kinds[v:end] or "M" in kinds[v:end]:  # tokens that hold blanks
+                value = value.split(" ")[0]
+        d[cut(places[k], places[e])] = value
+        k = end
+        if k < n and kinds[k] != "S":
+            break
+        k += k < n
+    return d, k
+
+
+def entries(texts: list[str | None], tail: list[bool] | None = None) -> Iterator[tuple[int, int, str, str, str, str]]:
+    """(index of the text, line_no, entry_ts, level_name, component, message) of all entries; ``tail`` tells which texts may begin within a line."""
+    machine = _machine()
     texts = [t if not t or "\x1b" not in t else _CONTROL.sub("", t) for t in texts]
     lines_of = [t.split("\n") if t else [] for t in texts]
     flat = [x for ls in lines_of for x in ls]
@@ -154,15 +251,50 @@ def entries(texts: list[str | None]) -> Iterator[tuple[int, int, str, str, str,
     data = np.frombuffer(raw, dtype=np.uint8)
     breaks = np.flatnonzero(data == 10)
     starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
-    layouts = machine.match(data, starts, ends).tolist()
+    blank = np.isin(data, np.frombuffer(b" \t\r\f\v", dtype=np.uint8))
+    filled = np.concatenate([[-1], np.flatnonzero(~blank & (data != 10))])
+    last = filled[np.searchsorted(filled, ends, side="left") - 1] + 1  # without white space at the end
+    found = machine.starts(data, starts, np.maximum(last, starts))
+    cut = lambda a, b: raw[a:b].decode("utf-8", "replace")
+
+    def head(no: int, first: bool, line: str) -> tuple[str, str, str, str] | None:
+        if no not in found:
+            return None
+        layout, kinds, places = found[no]
+        if first and layout in _FEW:
+            return None
+        name = _NAMES[layout]
+        if name == "json":
+            try:
+                d = json.loads(line)
+            except (ValueError, RecursionError):
+                return None
+            return _from_keys(d) if isinstance(d, dict) else None
+        if name == "pairs":
+            d, k = _pairs(kinds, places, cut)
+            got, rest = _from_keys(d), cut(places[k], int(last[no]))
+            return got and (got[0], got[1], got[2], got[3] + (" " + rest if rest.strip() else ""))
+        f = machine.fields(layout, kinds)
+        if not f:
+            return None
+        ts, lvl, comp = (next((cut(places[f[x][0]], places[f[x][1]]) for x in names if x in f), "") for names in (("ts", "ts2"), ("lvl", "lvl2"), ("comp",)))
+        kind = kinds[f["ts"][0]] if "ts" in f else "T"
+        if kind == "T" and ts:
+            ts = utc_text(ts)
+        elif kind == "Y" and ts[:1] == "-":
+            ts = ""
+        if kinds[f["lvl"][0]] == "R" if "lvl" in f else False:
+            lvl = lvl[1:].partition(":")[0].partition("-")[0]
+        return ts, LEVELS.get(lvl.lower(), ""), comp, cut(places[f["head"][1]], int(last[no]))
+
     at = 0
     for k, ls in enumerate(lines_of):
         cur = None
         parts: list[str] = []
+        may_be_cut = tail is not None and tail[k]
         for no, line in enumerate(ls, 1):
-            layout = layouts[at]
+            got = head(at, no == 1 and may_be_cut, line) if at in found else None
             at += 1
-            got = head(layout, line.rstrip()) if layout >= 0 else None
             if got is not None:
                 if cur:
                     yield (k, *cur, _message(parts))
@@ -182,13 +314,13 @@ def _message(parts: list[str]) -> str:
 ENTRY_SCHEMA = "origin string, row_id long, line_no int, entry_ts string, level_name string, component string, message string"
 
 
-def parse_logs(texts: DataFrame) -> DataFrame:
-    """Entries of a frame of (origin, row_id, text)."""
+def parse_logs(texts: DataFrame, tails: tuple[str, ...] = ("iteration_log",)) -> DataFrame:
+    """Entries of a frame of (origin, row_id, text); texts of the origins in ``tails`` may begin within a line."""
     cols = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = list(entries(b["text"].tolist()))
+            rows = list(entries(b["text"].tolist(), b["origin"].isin(tails).tolist()))
             if not rows:
                 continue
             k = np.fromiter((r[0] for r in rows), dtype=np.int64, count=len(rows))
