@@ -5,9 +5,9 @@ block words of the hardware language are pushed and popped, conditional
 branches start from the same stack, and what is still open at the end of a
 block tells that the code breaks off; prose must end its last sentence or list
 item and close its brackets, quotations, bold and tags.  Copies are found by
-tiling the answer with whole parts of the question, refusals by a grammar
-of first-person inability in several languages, the language of the prose by
-script and by function words.
+greedy string tiling of the answer with the question, refusals by a grammar of
+subject, declining predicate, deed and task in several languages, the language
+of the prose by script and by function words.
 
 A pair has one defect, tested in the order empty, refusal, copy,
 other_language, truncated.
@@ -19,6 +19,7 @@ question has no language and nothing to copy; redelivered rows count once.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -207,38 +208,74 @@ def is_empty(text: str | None) -> bool:
 
 # ------------------------------------------------------------------ refusal
 
-# Inability or unwillingness, in the first person, by language.
-_ME = r"(?:i|we|i'd|i'm|i'll)"
-_NOT = r"(?:can ?not|can't|cannot|won't|will not|would not|wouldn't|could not|couldn't|must not|may not|don't|do not|shall not|am not able to|am unable to|'m unable to|'m not able to|are unable to|are not able to|'m not going to|am not going to)"
+# A refusal is a sentence in which the writer (or the answer itself) declines a deed that is the task: a grammar of
+# subject, negated or declining predicate, verb of doing and, where the verb alone does not name the task, its object.
+
+
+def _any(words: str) -> str:
+    """One of several phrases, separated by bars; blanks stand for white space."""
+    return "(?:" + "|".join(w.strip() for w in words.split("|")) + ")"
+
+
+_EN_ADV = "(?: " + _any("really|simply|just|also|sadly|unfortunately|regrettably|therefore|currently|certainly|respectfully|politely|honestly|hereby|still|now|actually|even|possibly|in good conscience|at this time") + ",?)*"
+_EN_TASK = _any("request|requests|task|question|prompt|module|modules|design|block|code|rtl|hdl|verilog|systemverilog|vhdl|circuit|implementation|answer|response|solution|file|exercise|problem|job|program|script|netlist|work")
+# what the deed is done to: a pointer to the task, or up to four words and a noun of it
+_EN_OBJECT = "(?:" + _any("this|that|it|you|so|such a thing|anything like that|either|what you ask(?:ed)?(?: for)?|what is asked|what was asked") + r"(?= ?[.,;:!?)—–-]| (?:for|as|because|since|without|here|to you|at|in this|with|due|under|unless|until|and)\b|$)|(?:\w[\w'-]* ){0,4}" + _EN_TASK + r"\b)"
+_EN_FREE = _any("help|assist|comply|oblige|respond|proceed|continue|engage|go on|go ahead|participate")  # verbs that name no other deed
+_EN_DO = _any("write|provide|produce|generate|create|design|build|make|give|supply|deliver|share|draft|code|implement|develop|complete|finish|fulfil|fulfill|satisfy|answer|support|do|handle|process|take on|take|work on|offer|solve|repair|fix|edit|modify|rewrite|return|output|accept|carry out|perform|discuss|grant|show|send|serve|address|accommodate")
+_EN_DOING = _any("writing|providing|producing|generating|creating|designing|building|making|giving|supplying|delivering|sharing|drafting|coding|implementing|developing|completing|fulfilling|answering|doing|handling|processing|taking on|working on|offering|solving|repairing|fixing|editing|helping|assisting|complying")
+_EN_DEED = rf"(?:{_EN_FREE}\b|{_EN_DO}(?: (?:me|you|out))? {_EN_OBJECT})"
+_EN_CANNOT = _any(
+    "can ?not|can't|could not|couldn't|will not|won't|would not|wouldn't|shall not|shan't|must not|mustn't|may not|am not able to|'m not able to|are not able to|am unable to|'m unable to|are unable to|won't be able to|will not be able to|will be unable to"
+    "|am not going to|'m not going to|are not going to|am not allowed to|'m not allowed to|am not permitted to|'m not permitted to|am not in a position to|'m not in a position to|am forbidden to|am prohibited from|do not want to|don't want to|do not wish to|prefer not to"
+    "|would prefer not to|'d prefer not to|would rather not|'d rather not|had better not|refuse to|decline to|have to decline to|must decline to|must refuse to|have to refuse to|do not feel (?:comfortable|able|free) to|don't feel (?:comfortable|able|free) to"
+)
+_EN_DECLINE = _any("decline|refuse|abstain|pass on (?:this|that|it)|turn (?:this|that|it|the request|your request) down|say no|reject (?:this|that|it|the request|your request)")
+_EN_ME = "(?:i|we)"
 _REFUSALS = [
-    rf"\b{_ME}(?: (?:am|'m|really|simply|just|also|must|have to|cannot but))* ?{_NOT}\b",
-    r"\bi(?:'m| am) (?:afraid|sorry|unable|not able|not allowed|not permitted|not comfortable|not in a position|prevented|forbidden|prohibited)\b",
-    r"\b(?:i|we) (?:have to|must|need to|will|would|should|am going to|'ll|'d)?(?: (?:rather|prefer|respectfully|politely|therefore))* ?(?:decline|refuse|pass on|abstain|reject|turn (?:this|that|it) down)\b",
-    r"\bi(?:'d| would) (?:rather|prefer) not\b|\bi prefer not to\b",
-    r"\b(?:i|we) (?:do not|don't|would not|wouldn't) feel (?:comfortable|able|right)\b",
-    r"\b(?:not |im)possible for (?:me|us) to\b|\bnot able to (?:help|assist|provide|produce)\b",
-    r"\b(?:outside|beyond|not something|not within|nothing)\b[^.]{0,30}\b(?:i|we) (?:can|am able|may|am allowed|could)\b",
-    r"\bmy answer\b[^.]{0,25}\bno\b|\bthere will be no \w+ from (?:my|our) side\b|\bfrom me there will be no\b|\bthe answer is no\b",
-    r"\b(?:this|that|it) is something (?:i|we) (?:must|have to|will|would|can't|cannot|won't)\b",
-    r"\b(?:ich|wir)\b[^.]{0,60}\b(?:nicht|kein\w*|ablehnen|verweigern|verzichten)\b|\b(?:kann|darf|möchte|werde|will|muss|können|dürfen)\b (?:ich|wir)\b[^.]{0,60}\b(?:nicht|kein\w*|ablehnen|verweigern)\b",
-    r"\bje (?:ne|n')[^.]{0,40}\b(?:pas|rien|guère)\b|\bje n'[^.]{0,40}\bpas\b|\bje (?:dois|vais|préfère|suis obligée? de|regrette)\b[^.]{0,30}\b(?:refuser|décliner|m'abstenir|ne pas)\b|\bje (?:refuse|décline|m'abstiens)\b|\bil m'est impossible\b",
-    r"\bno (?:puedo|podré|podría|debo|quiero|me es posible|voy a|escribiré|haré|puedo|estoy en condiciones|me siento)\b|\b(?:debo|tengo que|prefiero|he de)\b[^.]{0,20}\b(?:rechazar|declinar|negarme|no )|\bme niego\b|\bprefiero no\b|\brechazo\b",
-    r"\bnão (?:posso|vou|consigo|devo)\b|\bnon (?:posso|sono in grado|mi è possibile)\b|\b(?:devo|preciso) (?:recusar|rifiutare)\b",
-    r"\bя не (?:могу|буду|стану)\b|\bвынужден\w* отказать\b|无法(?:提供|帮助|完成|编写)|不能(?:提供|帮助)|申し訳|できません|お断り",
+    # English
+    rf"\b{_EN_ME}{_EN_ADV} ?{_EN_CANNOT}{_EN_ADV} {_EN_DEED}",
+    rf"\b{_EN_ME}{_EN_ADV} ?(?:do not|don't|am not|'m not|would not|wouldn't) (?:feel )?(?:comfortable|able|right|at ease)(?: with)? {_EN_DOING}\b",
+    rf"\b{_EN_ME}{_EN_ADV} (?:have to|must|need to|will have to|am going to|will|would|should|am obliged to|am forced to)?{_EN_ADV} ?{_EN_DECLINE}\b",
+    rf"\bi(?:'m| am) (?:afraid|sorry|unable|not able|not allowed|not permitted)(?:,? but| that)?(?: i)?(?: {_EN_CANNOT})? {_EN_DEED}",
+    rf"\b(?:not |im)possible for (?:me|us) to {_EN_DEED}",
+    rf"\b(?:this|that|it|(?:this|that|the|your|such a) {_EN_TASK}) {_any('is|falls|goes|lies|would be')} (?:well |far |clearly )?(?:outside|beyond|not something|not within|nothing)\b[^.!?]{{0,40}}\b(?:i|we) {_any('can|could|may|am able|are able|am allowed|am permitted|am willing|am here')}\b",
+    rf"\b(?:this|that|it) is (?:something|a (?:request|task)|one)(?: that| which)? (?:i|we) {_any('must|have to|will|would|should|need to')}{_EN_ADV} {_any('refuse|decline|reject|abstain|pass on|turn down')}",
+    rf"\b(?:this|that|it) is (?:something|a (?:request|task)|one)(?: that| which)? (?:i|we) {_any(chr(124).join(['can ?not', 'can.t', 'won.t', 'will not', 'must not', 'may not']))} {_any('do|write|provide|produce|generate|create|design|help with|fulfil|fulfill|answer|accept|support')}\b",
+    r"\b(?:my|the|our) (?:answer|reply|response)(?: to (?:this|that|it|your request|the request))?(?: here)? (?:has to be|must be|is|will be|can only be|remains)(?: a)?(?: clear| firm| simple)? no\b",
+    rf"\b(?:there (?:will|can) be|you will get|expect|you get) no {_EN_TASK} from (?:my side|our side|me|us)\b|\bfrom (?:my side|our side|me|us) there (?:will|can) be no {_EN_TASK}\b",
+    # German
+    r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|möchten|werde|werden|will|wollen|soll)\b[^.!?]{0,60}\b(?:nicht|kein\w*)\b[^.!?]{0,40}\b(?:helfen|schreiben|liefern|erstellen|erzeugen|bereitstellen|bearbeiten|erfüllen|nachkommen|entwerfen|beantworten|anbieten|umsetzen|implementieren|ausgeben|übernehmen)\b",
+    r"\b(?:kann|können|darf|dürfen|möchte|möchten|werde|werden|will|wollen) (?:ich|wir)\b[^.!?]{0,60}\b(?:nicht|kein\w*)\b[^.!?]{0,40}\b(?:helfen|schreiben|liefern|erstellen|erzeugen|bereitstellen|bearbeiten|erfüllen|nachkommen|entwerfen|beantworten|anbieten|umsetzen|implementieren|ausgeben|übernehmen)\b",
+    r"\b(?:darf|kann|möchte|werde|will) (?:ich|wir)\b[^.!?]{0,20}\b(?:nicht|kein\w*) (?:helfen|schreiben|liefern|erstellen|erzeugen|bereitstellen|bearbeiten|erfüllen|entwerfen|beantworten)\b",
+    r"\b(?:muss|müssen|möchte|werde) (?:ich|wir)\b[^.!?]{0,40}\b(?:ablehnen|verweigern|verzichten)\b|\b(?:ich|wir) (?:muss|müssen|möchte|werde)\b[^.!?]{0,60}\b(?:ablehnen|verweigern|verzichten)\b|\b(?:ich|wir) (?:lehne|verweigere|lehnen|verweigern)\b[^.!?]{0,60}\b(?:ab|anfrage|aufgabe|wunsch|modul|entwurf|code)\b",
+    # French
+    r"\b(?:je|nous) (?:ne |n'\s?)(?:peux|pouvons|pourrai|pourrais|vais|veux|dois|suis|souhaite|saurais)\b[^.!?]{0,30}?(?:pas |plus |en mesure de |autorisée? à )[^.!?]{0,30}?\b(?:traiter|écrire|fournir|aider|créer|générer|produire|répondre|réaliser|concevoir|rédiger|donner|proposer|faire|satisfaire|accepter|accéder)\b",
+    r"\b(?:je|nous) (?:dois|devons|vais|préfère|souhaite|suis (?:obligée?|contrainte?|contraint) de|me vois (?:obligée?|contrainte?|contraint) de)\b[^.!?]{0,30}\b(?:refuser|décliner|m'abstenir)\b|\b(?:je|nous) (?:refuse|refusons|décline|déclinons|m'abstiens)\b|\bil m'est impossible (?:de |d')[^.!?]{0,20}\b(?:traiter|écrire|fournir|aider|créer|générer|produire|répondre|réaliser|concevoir)",
+    # Spanish
+    r"\bno (?:puedo|podemos|podré|podría|debo|quiero|voy a|vamos a|me es posible|estoy en condiciones de|estoy autorizad[oa] a|me siento cómod[oa])\b[^.!?]{0,30}?\b(?:ayudar\w*|escribir\w*|proporcionar\w*|crear\w*|generar\w*|producir\w*|responder\w*|realizar\w*|diseñar\w*|dar\w*|ofrecer\w*|atender\w*|cumplir\w*|hacer\w*|entregar\w*|escribiendo|proporcionando)\b",
+    r"\b(?:debo|debemos|tengo que|tenemos que|prefiero|he de|voy a)\b[^.!?]{0,20}\b(?:rechazar|declinar|negarme|abstenerme)\b|\bno (?:escribiré|haré|proporcionaré|generaré|crearé|entregaré|diseñaré)\b|\b(?:me niego|nos negamos|rechazo|rechazamos|declino)\b",
+    # Portuguese, Italian, Russian, Chinese, Japanese
+    r"\bnão (?:posso|vou|consigo|devo) [^.!?]{0,20}?\b(?:ajudar|escrever|fornecer|criar|gerar|produzir|responder|atender|fazer)\b|\b(?:devo|preciso|tenho de) (?:recusar|rejeitar)\b|\bnon (?:posso|sono in grado di|mi è possibile|voglio) [^.!?]{0,20}?\b(?:aiutar\w*|scrivere|fornire|creare|generare|produrre|rispondere|fare)\b|\b(?:devo|preferisco) (?:rifiutare|declinare)\b",
+    r"\bя не (?:могу|буду|стану) [^.!?]{0,20}?(?:помо|напис|предостав|созда|выполн|ответ)|\bвынужден\w* отказать|无法(?:提供|帮助|完成|编写)|不能(?:提供|帮助|编写)|(?:お手伝い|対応|提供|作成|生成)(?:は|を)?(?:いた)?(?:でき|し)ません|お断り",
 ]
 _REFUSAL = re.compile("|".join(_REFUSALS))
+# what every refusal holds; spares the grammar for most answers
+_REFUSAL_HINT = re.compile(r"n't|not\b|unable|possible|declin|refus|reject|abstain|pass on|say no|\bno\b|outside|beyond|nothing|forbid|prohib|kein|nicht|ablehn|lehne|verweig|verzicht|\bne\b|\bn'|abst|declin|niego|negar|rechaz|não|non\b|recus|rejeit|rifiut|не |отказ|无法|不能|ません|断り")
 
 
 def is_refusal(prose: str) -> bool:
     """A prose answer of any length in which the writer declines."""
-    low = " ".join(prose.lower().replace("’", "'").split())
-    return _REFUSAL.search(low) is not None
+    low = " ".join(prose.lower().replace("’", "'").replace(",", " ").split())
+    return _REFUSAL_HINT.search(low) is not None and _REFUSAL.search(low) is not None
 
 
 # ------------------------------------------------------------------ copy
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 GREETING = 12  # tokens before a copy that count as a greeting
+CLOSING = 4  # tokens after it
+TILE = 3  # tokens of the shortest tile
 _HEADING = re.compile(r"^#+ [^\n]*$", re.M)
 
 
@@ -261,6 +298,97 @@ def question_parts(question: str) -> list[list[str]]:
     return [t for t in map(tokens_of, texts) if len(t) >= 4]
 
 
+def common_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the runs of a that occur in b and can't be longer, each at one place of b.
+
+    A suffix automaton of b is walked with a, so the time is linear whatever is repeated.
+    """
+    step: list[dict[str, int]] = [{}]
+    link, size, end = [-1], [0], [-1]
+    last = 0
+    for k, t in enumerate(b):
+        new = len(step)
+        step.append({})
+        size.append(size[last] + 1)
+        end.append(k)
+        link.append(0)
+        p = last
+        while p >= 0 and t not in step[p]:
+            step[p][t] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][t]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                twin = len(step)
+                step.append(dict(step[q]))
+                size.append(size[p] + 1)
+                end.append(end[q])
+                link.append(link[q])
+                while p >= 0 and step[p].get(t) == q:
+                    step[p][t] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    out, at, n = [], 0, 0
+    for k, t in enumerate(a):
+        if t not in step[at] and n >= TILE:
+            out.append((k - n, end[at] - n + 1, n))
+        while at and t not in step[at]:
+            at = link[at]
+            n = size[at]
+        if t in step[at]:
+            at, n = step[at][t], n + 1
+    if n >= TILE:
+        out.append((len(a) - n, end[at] - n + 1, n))
+    return out
+
+
+def greedy_tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """Tiles (place in a, place in b, length) of greedy string tiling: the longest common runs first, no token in two tiles; what is left of a run that overlaps a tile waits for its turn."""
+    runs = [(-n, i, j) for i, j, n in common_runs(a, b)]
+    heapq.heapify(runs)
+    used_a, used_b, tiles = bytearray(len(a)), bytearray(len(b)), []
+    while runs:
+        n, i, j = heapq.heappop(runs)
+        n = -n
+        free = _free_runs(used_a, used_b, i, j, n)
+        if free == [(i, j, n)]:
+            used_a[i : i + n] = used_b[j : j + n] = b"\1" * n
+            tiles.append((i, j, n))
+        else:
+            for x, y, m in free:
+                heapq.heappush(runs, (-m, x, y))
+    return tiles
+
+
+def _free_runs(used_a: bytearray, used_b: bytearray, i: int, j: int, n: int) -> list[tuple[int, int, int]]:
+    """The parts of a run that lie in no tile on either side."""
+    out, start = [], None
+    for k in range(n + 1):
+        if k < n and not used_a[i + k] and not used_b[j + k]:
+            start = k if start is None else start
+        elif start is not None:
+            if k - start >= TILE:
+                out.append((i + start, j + start, k - start))
+            start = None
+    return out
+
+
+def untiled(given: list[str], question: list[str]) -> int:
+    """Tokens of the answer that no tile covers.  Tiling goes on with what is left, so that a part of the question may be given back twice."""
+    rest, left = given, len(given)
+    while True:
+        covered = bytearray(len(rest))
+        for i, _, n in greedy_tiles(rest, question):
+            covered[i : i + n] = b"\1" * n
+        rest = [t for t, c in zip(rest, covered, strict=True) if not c]
+        if len(rest) == left:
+            return left
+        left = len(rest)
+
+
 def tiled(given: list[str], parts: list[list[str]]) -> bool:
     """Whether the tokens are a greeting at most and then tiles that are each a whole part, with at most 4 tokens after the last."""
     by_first: dict[str, list[list[str]]] = {}
@@ -273,7 +401,7 @@ def tiled(given: list[str], parts: list[list[str]]) -> bool:
         for part in by_first.get(given[i], ()):
             end = i + len(part)
             if end not in ends and given[i:end] == part:
-                if len(given) - end <= 4:
+                if len(given) - end <= CLOSING:
                     return True
                 ends.add(end)
         reached |= ends
@@ -281,16 +409,22 @@ def tiled(given: list[str], parts: list[list[str]]) -> bool:
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Whether the answer is a greeting at most and then whole parts of the question."""
+    """Whether the answer is a greeting at most and then the question or whole parts of it.
+
+    Greedy string tiling tells whether the answer has anything of its own; tiles
+    count if together they are whole parts.
+    """
     if not question:
         return False
     given = tokens_of(answer)
     if len(given) < 4:
         return False
-    known = set(tokens_of(question))
-    if sum(t not in known for t in given) > GREETING + 4:
+    asked = tokens_of(question)
+    known = set(asked)
+    most = GREETING + CLOSING  # more than that no tiling may leave
+    if len(set(given) - known) > most or sum(t not in known for t in given) > most:
         return False
-    return tiled(given, question_parts(question))
+    return untiled(given, asked) <= most and tiled(given, question_parts(question))
 
 
 # ------------------------------------------------------------------ language
@@ -310,6 +444,7 @@ WORDS = {
     "tr": "ve bir bu için ile olarak değil daha sonra kadar olan gibi ise her çok modül",
 }
 _WORDS = {k: frozenset(v.split()) for k, v in WORDS.items()}
+_LANGUAGES_OF = {w: tuple(k for k, v in _WORDS.items() if w in v) for v in _WORDS.values() for w in v}
 _SCRIPTS = [
     ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[一-鿿]")),
     ("ko", re.compile(r"[가-힯]")), ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")),
@@ -329,8 +464,13 @@ def language_of(prose: str) -> str | None:
             n = len(script.findall(text))
             if n * 10 >= letters * 4:
                 return lang
-    words = [p for w in _LETTERS.findall(text.lower()) for p in re.split(r"['’]", w)]
-    score = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
+    words = _LETTERS.findall(text.lower())
+    if "'" in text or "’" in text:
+        words = [p for w in words for p in w.replace("’", "'").split("'")]
+    score = dict.fromkeys(_WORDS, 0)
+    for w in words:
+        for k in _LANGUAGES_OF.get(w, ()):
+            score[k] += 1
     best = max(score, key=score.__getitem__)
     rest = max(v for k, v in score.items() if k != best)
     if score[best] < 2 or score[best] * 10 < len(words) or (score[best] - rest) * 8 < score[best]:
@@ -412,7 +552,8 @@ def pair_defects(samples: DataFrame) -> DataFrame:
 def defect_rates(samples: DataFrame) -> DataFrame:
     """Pairs and defects of each kind by task type."""
     users = F.size(F.filter("messages", lambda m: m["role"] == "user"))
-    each = samples.dropDuplicates(["sample_id"]).select("sample_id", "task_type", F.when(F.col("messages").isNull(), 0).otherwise(users).alias("n"))
+    # only the number of pairs is compared and shuffled, not the messages
+    each = samples.select("sample_id", "task_type", F.when(F.col("messages").isNull(), 0).otherwise(users).alias("n")).distinct()
     total = each.groupBy("task_type").agg(F.sum("n").alias("n_pairs"))
     found = pair_defects(samples).join(each.select("sample_id", "task_type"), "sample_id").groupBy("task_type", "defect").agg(F.count("*").alias("n_defective"))
     return total.join(found, total["task_type"].eqNullSafe(found["task_type"]), "left").select(total["task_type"], "defect", "n_pairs", F.coalesce("n_defective", F.lit(0)).alias("n_defective"))

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from kilnspark.llm.pairs import defect_of, pair_defects
+from kilnspark.llm.pairs import TILE, defect_of, defect_rates, greedy_tiles, is_refusal, pair_defects, untiled
 
 Q = "Write a counter in Verilog please, it must wrap.\n\n## Specification\nThe counter is cleared by the reset and wraps at nine. It has an enable."
 CODE = "```verilog\nmodule m(input c);\n  always @(posedge c) begin x <= 1; end\nendmodule\n```"
@@ -108,3 +110,77 @@ def test_frame(spark):
     rows = [(1, [("user", Q), ("assistant", CODE), ("user", "more?"), ("user", Q), ("assistant", "")], "x"), (2, None, None), (3, [("user", None)], None), (1, [("user", Q), ("assistant", CODE), ("user", "more?"), ("user", Q), ("assistant", "")], "x")]
     got = {tuple(r) for r in pair_defects(spark.createDataFrame(rows, s)).collect()}
     assert got == {(1, 2, "empty"), (1, 3, "empty"), (3, 1, "empty")}
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "I don't see a problem here, because the counter wraps at 15.",
+        "We won't need a reset, since the tool sets the register.",
+        "I cannot use a latch here, so the register holds it.",
+        "It is not possible for the queue to overflow.",
+        "I would not change the width.",
+        "We must not write the register twice.",
+    ],
+)
+def test_no_deed_of_the_task_is_declined(answer):
+    assert not is_refusal(answer)
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "I can't assist with this request.", "I must respectfully decline.", "Sorry, I will not be able to complete this task for you.", "I'm not comfortable writing this.", "This request is outside what I can do.", "I'm afraid I can't do that.",
+        "I can not, in good conscience, produce that design.", "Ich kann dir dabei nicht helfen.", "Leider kann ich diesen Code nicht schreiben.", "Je ne peux pas vous aider avec cette demande.", "No puedo escribir ese módulo.", "My answer to this is no.",
+    ],
+)
+def test_task_is_declined(answer):
+    assert is_refusal(answer)
+
+
+def brute_tiles(a, b, least):
+    """Greedy string tiling as defined: in each round all longest unmarked runs are marked."""
+    ua, ub, out = set(), set(), []
+    while True:
+        best, found = least - 1, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in ua and j + n not in ub:
+                    n += 1
+                if n > best:
+                    best, found = n, [(i, j)]
+                elif n == best and n >= least:
+                    found.append((i, j))
+        if best < least:
+            return out
+        for i, j in found:
+            if not (ua & set(range(i, i + best)) or ub & set(range(j, j + best))):
+                ua |= set(range(i, i + best))
+                ub |= set(range(j, j + best))
+                out.append((i, j, best))
+
+
+def test_tiles_against_definition():
+    r = random.Random(6)
+    for _ in range(150):
+        b = [f"t{k}" for k in range(30)]  # no token twice, so that the tiling is the only one
+        a = []
+        while len(a) < 30:
+            i = r.randrange(30)
+            a += b[i : i + r.randint(1, 8)] + [f"x{len(a)}"]
+        got = greedy_tiles(a, b)
+        assert sum(n for *_, n in got) == sum(n for *_, n in brute_tiles(a, b, TILE))
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
+        assert len({x for i, _, n in got for x in range(i, i + n)}) == len({x for _, j, n in got for x in range(j, j + n)}) == sum(n for *_, n in got)
+
+
+def test_tiling_of_repetitive_texts_is_fast():
+    assert defect_of("x " * 60_000, "x " * 60_000) == "copy"
+    assert untiled(["a", "b", "c"] * 3, ["a", "b", "c"]) == 0
+
+
+def test_rates(spark):
+    s = "sample_id long, messages array<struct<role:string,content:string>>, task_type string, n_pairs int"
+    rows = [(1, [("user", Q), ("assistant", CODE), ("user", Q), ("assistant", "")], "a", 1), (1, [("user", Q), ("assistant", CODE), ("user", Q), ("assistant", "")], "a", 1), (2, None, None, 1), (3, [("user", None)], None, 1)]
+    assert {tuple(x) for x in defect_rates(spark.createDataFrame(rows, s)).collect()} == {("a", "empty", 2, 1), (None, "empty", 1, 1)}
