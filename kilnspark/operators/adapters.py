@@ -51,6 +51,33 @@ def apply_batch(df: DataFrame, inp: Column, fn: Batch, out: str, kind: str = "st
     return df.withColumn("_in", inp).mapInPandas(run, f"{fields}, `{out}` {kind}")
 
 
+def apply_direct(df: DataFrame, inp: Column, fn: Batch) -> DataFrame:
+    """Adds ``answer`` as a struct that holds the text under ``direct_text``, and ``ok``: whether there is one."""
+    out = apply_batch(df, inp, fn, "_text")
+    return out.withColumns({"answer": F.struct(F.col("_text").alias("direct_text")), "ok": F.col("_text").isNotNull()}).drop("_text")
+
+
+def apply_steps(df: DataFrame, inp: Column, steps: dict[str, tuple[Callable[[str], str], str]], tries: int = 1) -> DataFrame:
+    """Adds a struct (text, in_tok, out_tok, failed) for each named step, all steps in one pass.
+
+    A step is a one-text function and the fallback that answers where it raises; tokens are words here.
+    """
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    made = ", ".join(f"`{n}` struct<text:string,in_tok:bigint,out_tok:bigint,failed:boolean>" for n in steps)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b.pop("_in").fillna("")
+            for name, (step, fallback) in steps.items():
+                got = with_retries(step, tries, 0.0)(texts)
+                said = got.where(got.notna(), fallback)
+                count = lambda xs: xs.map(lambda t: len(t.split()))
+                b[name] = [dict(text=t, in_tok=i, out_tok=o, failed=f) for t, i, o, f in zip(said, count(texts), count(said), got.isna(), strict=True)]
+            yield b
+
+    return df.withColumn("_in", inp).mapInPandas(run, f"{kept}, {made}")
+
+
 def replay(df: DataFrame, recorded: DataFrame, key: str, answer: str, default: str = "") -> DataFrame:
     """Recorded answers in place of a model: a left join, the default where nothing was recorded."""
     got = recorded.select(key, answer).dropDuplicates([key])

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import random
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from kilnspark.functions import text as T
 
@@ -70,9 +65,13 @@ def swap_operator(c: Column) -> Column:
     return F.when(c.rlike(rx), F.concat(head, new, tail))
 
 
+# Fixed value: a branch on a reset and its lines.
+RESET_BRANCH = r"if\s*\([^)]*rst[^)]*\)\s*\n(?:\s+[^\n]+\n)+"
+
+
 def drop_reset(c: Column) -> Column:
-    """The first branch on a reset goes, with the indented lines below it."""
-    rx = r"(?is)\A(.*?)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+"
+    """The first branch on a reset goes, with the lines below it that begin with white space, blank lines between them included."""
+    rx = rf"(?is)\A(.*?){RESET_BRANCH}"
     return F.when(c.rlike(rx), F.regexp_replace(c, rx, "$1"))
 
 
@@ -85,22 +84,17 @@ def drop_sensitivity(c: Column, pick: Column) -> Column:
     return F.when(c.rlike(rx) & (F.size(names) >= 2), F.concat(F.regexp_extract(c, rx, 1), rest, F.regexp_extract(c, rx, 3)))
 
 
-@F.pandas_udf(StringType())
-def swap_states(code: pd.Series, seed: pd.Series) -> pd.Series:
-    """Two different next states trade places; null where there are fewer than two or both are equal.  Needs offsets."""
-    rx = re.compile(r"next_state\s*(?:<=|=)\s*(\w+)\s*;")
-
-    def one(text: str | None, s: int) -> str | None:
-        found = list(rx.finditer(text or ""))
-        if len(found) < 2:
-            return None
-        a, b = sorted(random.Random(int(s)).sample(range(len(found)), 2))
-        x, y = found[a], found[b]
-        if x[1] == y[1]:
-            return None
-        return text[: x.start(1)] + y[1] + text[x.end(1) : y.start(1)] + x[1] + text[y.end(1) :]
-
-    return pd.Series([one(t, s) for t, s in zip(code, seed, strict=True)], index=code.index)
+def swap_states(c: Column, pick: Column) -> Column:
+    """Two different next states trade places; ``pick`` chooses which; null where there are fewer than two or both are equal."""
+    rx = r"(next_state\s*(?:<=|=)\s*)(\w+)(\s*;)"
+    heads, names, tails = (F.regexp_extract_all(c, F.lit(rx), F.lit(k)) for k in (1, 2, 3))
+    between = F.split(c, r"next_state\s*(?:<=|=)\s*\w+\s*;", -1)
+    n = F.size(names)
+    i = F.pmod(F.xxhash64(pick, F.lit(1)), F.greatest(n, F.lit(1))).cast("int")
+    j = F.pmod(i + 1 + F.pmod(F.xxhash64(pick, F.lit(2)), F.greatest(n - 1, F.lit(1))).cast("int"), F.greatest(n, F.lit(1)))
+    name = lambda k: F.get(names, F.when(k == i, j).when(k == j, i).otherwise(k))
+    glued = F.array_join(F.transform(between, lambda x, k: F.concat(x, F.coalesce(F.concat(F.get(heads, k), name(k), F.get(tails, k)), F.lit("")))), "")
+    return F.when((n >= 2) & (F.get(names, i) != F.get(names, j)), glued)
 
 
 def faults(c: Column, pick: Column) -> Column:
@@ -115,14 +109,17 @@ def chosen(rows: Column, pick: Column) -> Column:
     return F.get(rows, F.pmod(pick, F.greatest(F.size(rows), F.lit(1))).cast("int"))
 
 
-# ---- masks
+# ---- masks.  Fixed values: the notes that stand for what was taken out.
 
 
 def mask_block(c: Column) -> Column:
-    """The body of the first clocked or combinational block becomes a note; bodies under 20 characters stay."""
-    rx = r"(?s)\A(.*?always\s*@[^;]+?begin\s*\n)(.*?)(\n\s*end\b.*)\z"
+    """The body of the first clocked or combinational block becomes a note; bodies under 20 characters stay.
+
+    The head reaches to the last ``begin`` before the first semicolon, the body to the first line with ``end``.
+    """
+    rx = r"(?smd)\A(.*?always\s*@[^;]+begin\s*\n)(.*?)(^\s*end.*)\z"
     body = F.regexp_extract(c, rx, 2)
-    return F.when(c.rlike(rx) & (F.length(T.strip(body)) >= 20), F.concat(F.regexp_extract(c, rx, 1), F.lit("    // TODO: implement this always block"), F.regexp_extract(c, rx, 3)))
+    return F.when(c.rlike(rx) & (F.length(T.strip(body)) >= 20), F.concat(F.regexp_extract(c, rx, 1), F.lit("    // TODO: implement this always block\n"), F.regexp_extract(c, rx, 3)))
 
 
 def mask_assigns(c: Column, seed: Column) -> Column:

@@ -74,7 +74,10 @@ def flt_min_score(spark, sf):
     return scan(spark, sf, "ts").filter("quality_score >= 3").select("sample_id", "quality_score")
 
 
-@query(each=True)
+_FENCE_SQL = r"regexp_replace(CASE WHEN regexp_matches(content, '(?s)```(?:verilog|systemverilog|sv)?\s*\n(.*?)```') THEN regexp_extract(content, '(?s)```(?:verilog|systemverilog|sv)?\s*\n(.*?)```', 1) ELSE content END, '^[@WS@]+|[@WS@]+$', '', 'g')"
+
+
+@query(f"SELECT sample_id, task_type FROM (SELECT sample_id, task_type, {_FENCE_SQL} AS verilog FROM (SELECT sample_id, task_type, messages[2].content AS content FROM @ts@)) WHERE {_OK_SQL}", each=True)
 def flt_final(spark, sf):
     """Samples whose second message holds code that the validator accepts."""
     s = scan(spark, sf, "ts").withColumn("code", T.fence(F.try_element_at("messages", F.lit(2))["content"])).select("sample_id", "task_type", "code")
@@ -181,7 +184,7 @@ def prj_bug_operator(spark, sf):
     return _mods(spark, sf).select("module_id", builders.swap_operator(F.col("c")).alias("code")).filter("code is not null")
 
 
-@query(r"""SELECT module_id, regexp_replace(verilog, '(?i)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+', '') AS code FROM @rm@ WHERE regexp_matches(verilog, '(?i)if\s*\([^)]*rst[^)]*\)\s*\n(?:[ \t]+[^\n]+\n)+')""", each=True)
+@query(f"SELECT module_id, regexp_replace(verilog, '(?i){builders.RESET_BRANCH}', '') AS code FROM @rm@ WHERE regexp_matches(verilog, '(?i){builders.RESET_BRANCH}')", each=True)
 def prj_bug_reset(spark, sf):
     return _mods(spark, sf).select("module_id", builders.drop_reset(F.col("c")).alias("code")).filter("code is not null")
 
@@ -476,14 +479,18 @@ def now_uuid(spark, sf):
 # ------------------------------------------------------------------ extension points
 
 
-@query()
+@query("SELECT item_id, upper(regexp_replace(prompt, '^[@WS@]+|[@WS@]+$', '', 'g')) AS direct_text, true AS ok FROM benchmark_problems")
 def udf_model(spark, sf):
-    """A batch model behind retries; here one that answers with the first line of its prompt."""
-    model = adapters.with_retries(lambda p: p.strip().split("\n")[0], wait=0.0, fallback="")
-    return adapters.apply_batch(rows(spark, sf, "bp").select("item_id", "prompt"), F.col("prompt"), model, "answer").select("item_id", "answer")
+    """A batch model behind retries, its answer as a text under one name and whether it succeeded; here one that repeats its whole prompt in capitals."""
+    model = adapters.with_retries(lambda p: p.strip().upper(), wait=0.0)
+    return adapters.apply_direct(rows(spark, sf, "bp").select("item_id", "prompt"), F.col("prompt"), model).select("item_id", "answer.direct_text", "ok")
+
 
+_WORDS_SQL = "len(regexp_extract_all({0}, '[^@WS@]+'))"
+_SCORE_SQL = "CASE WHEN regexp_matches({0}, '[^@WS@]') THEN least(5, 1 + " + _WORDS_SQL + " // 12) END"
 
-@query()
+
+@query(f"SELECT item_id, CAST({_SCORE_SQL.format('prompt')} AS DOUBLE) AS score FROM benchmark_problems")
 def udf_factory(spark, sf):
     judge = adapters.create("kilnspark.operators.adapters:length_judge")
     return adapters.apply_batch(rows(spark, sf, "bp").select("item_id", "prompt"), F.col("prompt"), judge, "score", "double").select("item_id", "score")
@@ -495,25 +502,44 @@ def udf_replay(spark, sf):
     return adapters.replay(rows(spark, sf, "bp").select("item_id", "problem_id"), rec, "problem_id", "answer").select("item_id", "answer")
 
 
-@query(each=True)
+@query(f"SELECT module_id, CAST({_SCORE_SQL.format('verilog')} AS INTEGER) AS score FROM @rm@", each=True)
 def udf_judge(spark, sf):
     m = scan(spark, sf, "rm").select("module_id", "verilog")
     return adapters.apply_batch(m, F.col("verilog"), adapters.create("length_judge"), "score", "double").select("module_id", F.col("score").cast("int").alias("score"))
 
 
-@query(each=True)
+_COUNT_SQL = "(length(verilog) - length(replace(verilog, '{0}', ''))) // {1}"
+
+
+@query(
+    f"""SELECT module_id, 'Module ' || name || ' with ' || {_COUNT_SQL.format('input', 5)} || ' inputs and ' || {_COUNT_SQL.format('output', 6)} || ' outputs.' AS spec
+    FROM (SELECT module_id, verilog, regexp_extract(split_part(substr(verilog, strpos(verilog, 'module ') + 7), '(', 1), '[^@WS@]+') AS name FROM @rm@ WHERE contains(verilog, 'module ')) WHERE name <> ''""",
+    each=True,
+)
 def udf_generate(spark, sf):
     m = scan(spark, sf, "rm").select("module_id", "verilog")
     return adapters.apply_batch(m, F.col("verilog"), adapters.create("headline_writer"), "spec").select("module_id", "spec").filter("spec is not null")
 
 
-@query()
+_STEP_IN = "coalesce(diagnosis, '')"
+_SPACED = "regexp_replace(regexp_replace({0}, '[@WS@]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(
+    f"""SELECT row_id, {_SPACED.format(_STEP_IN)} AS clarified, CASE WHEN contains(lower({_STEP_IN}), 'reset') THEN 'reset' WHEN contains(lower({_STEP_IN}), 'width') THEN 'width' ELSE 'other' END AS category,
+    'The cause is: ' || {_SPACED.format(_STEP_IN)} AS diagnosis, CASE WHEN {_WORDS_SQL.format(_STEP_IN)} = 0 THEN 'start anew' ELSE 'avoid ' || regexp_extract({_STEP_IN}, '[^@WS@]+') END AS strategy,
+    CAST({_WORDS_SQL.format(_STEP_IN)} AS BIGINT) AS in_tok FROM @il@""",
+    each=True,
+)
 def udf_llm_steps(spark, sf):
-    """Clarify, then judge: two steps with a struct of the answer and its token count."""
-    m = rows(spark, sf, "bp").select("item_id", "prompt")
-    step = adapters.with_retries(lambda p: " ".join(p.split())[:200], wait=0.0, fallback=None)
-    a = adapters.apply_batch(m, F.col("prompt"), step, "clarified")
-    return a.select("item_id", F.struct("clarified", F.size(T.tokens(F.col("prompt"))).cast("bigint").alias("in_tok")).alias("step"))
+    """Clarify, categorise, reflect and redesign: each a struct of the answer and its token counts, with a fallback where the model fails."""
+    d = scan(spark, sf, "il").select("row_id", F.coalesce("diagnosis", F.lit("")).alias("d"))
+    words = lambda t: " ".join(t.split())
+    category = lambda t: next((k for k in ("reset", "width") if k in t.lower()), "other")
+    first = lambda t: "avoid " + t.split()[0]  # noqa: E731  fails without a word, so the fallback answers
+    steps = {"clarify": (words, ""), "categorise": (category, "other"), "reflect": (lambda t: "The cause is: " + words(t), ""), "redesign": (first, "start anew")}
+    a = adapters.apply_steps(d, F.col("d"), steps)
+    return a.select("row_id", F.col("clarify.text").alias("clarified"), F.col("categorise.text").alias("category"), F.col("reflect.text").alias("diagnosis"), F.col("redesign.text").alias("strategy"), F.col("clarify.in_tok").alias("in_tok"))
 
 
 @query(each=True)

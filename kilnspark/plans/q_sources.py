@@ -18,7 +18,7 @@ def src_hf(spark, sf):
     return rows(spark, sf, "docs").filter(~T.is_blank(F.col("text"))).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
-@query()
+@query("SELECT item_id, prompt FROM benchmark_problems")
 def src_hf_fallback(spark, sf):
     """The first candidate that can be read and has rows."""
     got = files.first_nonempty([lambda: table(spark, sf, "no_such_table"), lambda: scan(spark, sf, "rm").filter("lang = 'no such'"), lambda: rows(spark, sf, "bp").select("item_id", "prompt")])
@@ -51,7 +51,7 @@ def src_glob_merge(spark, sf):
     return files.merge_first(scan(spark, sf, "rf").select("runner", "file_name", "file_id"), "runner", "file_name", "file_id")
 
 
-@query()
+@query("SELECT item_id, problem_id FROM benchmark_problems")
 def src_search_path(spark, sf):
     found = files.first_existing(spark, [f"{sf}/missing.parquet", f"{sf}/benchmark_problems.parquet", f"{sf}/documents.parquet"])
     return spark.read.parquet(found).select("item_id", "problem_id")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kilnspark.functions import text as T
 from kilnspark.operators import filters, iterate, joins, rewards, sampling, windows
 from kilnspark.plans.base import query, rows, scan
-from kilnspark.session import cut
 
 # ------------------------------------------------------------------ joins
 
@@ -400,42 +399,99 @@ def set_unique_solved(spark, sf):
 # ------------------------------------------------------------------ rounds
 
 
-def _oracles(spark, sf):
-    """Recorded runs stand in for compiler, simulator and model: round n of a problem is judged by its n-th logged repair."""
-    w = Window.partitionBy("problem_id").orderBy("ts_text", "row_id")
-    reps = rows(spark, sf, "il").filter("action_name = 'cocotb_repair'").select("problem_id", "diagnosis", "iverilog_pass", "row_id", (F.row_number().over(w) - 1).alias("n"))
-    solved = rows(spark, sf, "rr").filter("test_result = 0").groupBy("problem_id").agg(F.count("*").alias("wins"))
-    rec = cut(reps.join(solved, "problem_id", "left").select(F.col("problem_id").alias("key"), "n", F.col("iverilog_pass").alias("ok_compile"), (F.coalesce("wins", F.lit(0)) > 3 + F.col("n") * 0).alias("easy"), F.col("diagnosis").alias("cause")))
+# Faults stand in for the tools that are absent: a text is the list of its faults, in the order in which they show.
+#   s  does not compile            a-e  plain: a repair that names it removes it
+#   x  only with a clarified task  k    only with the category of the error
+#   r  only a new design or a full rewrite removes it
+#   B  its repair gives 'b' and breaks the compilation
+# The name of a fault is the start of every word of its diagnosis, so that equal faults are one cause.
+FAULTS = ["", "a", "s", "sab", "x", "k", "r", "abcde", "B", "ar"]
 
-    def check(state):
-        s = state.withColumn("n", F.col("compile_no") + F.col("repair_no"))
-        j = s.join(rec, ["key", "n"], "left").withColumn("ok_test", F.col("easy") & (F.col("n") >= 1)).withColumn("message", F.col("cause"))
-        return j.drop("n", "easy")
 
-    def repair(state):
-        return state.withColumn("new_text", F.concat("text", F.lit("+"), F.substring("mode", 1, 1)))
+def fault_steps() -> iterate.Steps:
+    """Compiler, test and model as column expressions over the faults of a text."""
+    first = lambda c: F.substring(c, 1, 1)
+    named = F.substring("fix", 5, 1)
 
-    return check, repair
+    def compiles(df):
+        return df.withColumns({"ok_compile": ~F.col("new_text").contains("s"), "message": F.when(F.col("new_text").contains("s"), "line s")})
+
+    def test(df):
+        return df.withColumns({"ok_test": F.length("text") == 0, "message": F.concat(F.lit("line "), F.when(F.col("text").contains("s"), "s").otherwise(first("text")))})
+
+    def reflect(df):
+        f = F.right("message", F.lit(1))
+        return df.withColumns({"diagnosis": F.concat(f, F.lit("aa_cause "), f, F.lit("bb_path "), f, F.lit("cc_state")), "fix": F.concat(F.lit("fix "), f)})
+
+    def generate(df):
+        name = F.when(F.col("fix").startswith("line"), F.substring("fix", 6, 1)).otherwise(named)
+        can = F.when(name == "x", F.startswith("task", F.lit("clear"))).when(name == "k", F.col("category").isNotNull()).otherwise(name != "r")
+        repaired = F.when(name == "B", F.replace("text", F.lit("B"), F.lit("bs"))).when(can, F.replace("text", name, F.lit(""))).otherwise(F.col("text"))
+        return df.withColumn("new_text", F.when(F.col("mode").isin("reset", "fresh"), F.replace("text", F.lit("r"), F.lit(""))).otherwise(repaired))
+
+    return iterate.Steps(
+        compiles, test, reflect, generate,
+        clarify=lambda df: df.withColumn("clarified", F.concat(F.lit("clear "), "task")),
+        categorise=lambda df: df.withColumn("new_category", F.right("message", F.lit(1))),
+        redesign=lambda df: df.withColumn("strategy", F.concat(F.lit("other than "), "message")),
+        decide=lambda df: df.withColumn("restart", iterate._same_cause_twice()),
+    )
 
 
 def _rounds(policy):
     def run(spark, sf):
-        check, repair = _oracles(spark, sf)
-        keys = rows(spark, sf, "bp").select("problem_id")
-        out = iterate.run_rounds(keys, "problem_id", F.lit("v0"), check, repair, iterate.POLICIES[policy])
-        return out.select(F.col("key").alias("problem_id"), "final_text", "compiled", "passed", "compile_no", "repair_no", "reset_done", "restarts")
+        faults = F.element_at(F.array(*[F.lit(x) for x in FAULTS]), (F.col("item_id") % len(FAULTS) + 1).cast("int"))
+        keys = rows(spark, sf, "bp").select("item_id", F.col("prompt").alias("task"), faults.alias("text"))
+        state, log = iterate.run_rounds(keys, "item_id", F.col("task"), F.col("text"), fault_steps(), iterate.POLICIES[policy])
+        done = log.groupBy("key").agg(F.count("*").alias("n_rounds"))
+        return state.join(done, "key", "left").select(
+            F.col("key").alias("item_id"), "final_text", "compiled", "passed", "compile_no", "repair_no", "reset_done", "restarts", "category", F.coalesce("n_rounds", F.lit(0)).cast("bigint").alias("n_rounds")
+        )
 
     return run
 
 
+def rounds_sql(policy):
+    """The same loop as a recursive query, a row per key and round."""
+    p = iterate.POLICIES[policy]
+    yes = lambda v: "true" if v else "false"
+    texts = "[" + ", ".join(f"'{x}'" for x in FAULTS) + "]"
+    removable = f"(f NOT IN ('x', 'k', 'r') OR (f = 'x' AND {yes(p.clarify)}) OR (f = 'k' AND c IS NOT NULL))"
+    fresh = f"(phase = 'repair' AND rn IN ({', '.join(map(str, p.fresh_after)) or '-1'}))"
+    # t: the text at the test; w: whether it passed; f: the fault that the round is about; again: a new design
+    return f"""
+WITH RECURSIVE st AS (
+  SELECT item_id, v AS txt, v AS best, NOT contains(v, 's') AS comp, false AS passed, CASE WHEN contains(v, 's') AND {p.compile_rounds} > 0 THEN 'compile' ELSE 'repair' END AS phase,
+    0 AS cn, 0 AS rn, NULL::VARCHAR AS cat, false AS rd, 0 AS rs, ''::VARCHAR AS h, NULL::VARCHAR AS fb, 0 AS n
+  FROM (SELECT item_id, ({texts})[CAST(item_id % {len(FAULTS)} AS INTEGER) + 1] AS v FROM benchmark_problems)
+  UNION ALL
+  SELECT item_id, CASE WHEN phase = 'compile' THEN new WHEN w THEN t WHEN adopt THEN new ELSE t END,
+    CASE WHEN w THEN t WHEN ok AND (phase = 'compile' OR NOT again) THEN new ELSE best1 END,
+    CASE WHEN w THEN comp WHEN phase = 'compile' OR adopt THEN ok ELSE comp END, w,
+    CASE WHEN w THEN 'done' WHEN phase = 'compile' THEN CASE WHEN ok THEN 'repair' WHEN cn + 1 >= {p.compile_rounds} THEN 'done' ELSE 'compile' END WHEN rn + 1 >= {p.repair_rounds} THEN 'done' ELSE 'repair' END,
+    cn + CAST(phase = 'compile' AS INTEGER), rn + CAST(phase = 'repair' AS INTEGER), CASE WHEN again AND adopt THEN NULL WHEN phase = 'compile' THEN cat ELSE c END, rd OR again, rs + CAST(again AND {p.restarts} > 0 AS INTEGER),
+    CASE WHEN phase = 'compile' OR w THEN h WHEN again THEN CASE WHEN adopt THEN '' ELSE h END ELSE right(h || {"f" if p.reflect else "'-'"}, 3) END, CASE WHEN phase = 'compile' THEN fb ELSE fb1 END, n + 1
+  FROM (SELECT *, NOT contains(new, 's') AS ok, (NOT contains(new, 's') OR {yes(p.adopt_always)}) AS adopt FROM (
+    SELECT *, CASE WHEN again THEN replace(t, 'r', '') WHEN f = 'B' THEN replace(t, 'B', 'bs') WHEN {removable} THEN replace(t, f, '') ELSE t END AS new FROM (
+      SELECT *, CASE WHEN phase = 'compile' THEN cat WHEN {yes(p.categorise)} AND NOT w THEN coalesce(cat, f) ELSE cat END AS c,
+        phase = 'repair' AND NOT w AND length(h) >= 2 AND lower(h[-1]) = lower(h[-2]) AND (({yes(p.reset)} AND NOT rd) OR rs < {p.restarts}) AS again FROM (
+        SELECT *, phase = 'repair' AND t = '' AS w, CASE WHEN phase = 'compile' THEN 's' ELSE right(fb1, 1) END AS f FROM (
+          SELECT *, CASE WHEN phase = 'compile' THEN fb WHEN {yes(p.refresh_feedback)} THEN said ELSE coalesce(fb, said) END AS fb1 FROM (
+            SELECT *, CASE WHEN contains(t, 's') THEN 's' ELSE t[1] END AS said FROM (
+              SELECT *, CASE WHEN {fresh} THEN replace(txt, 'r', '') ELSE txt END AS t, CASE WHEN {fresh} THEN replace(txt, 'r', '') ELSE best END AS best1 FROM st WHERE phase <> 'done')))))))
+)
+SELECT item_id, best AS final_text, comp AS compiled, passed, cn AS compile_no, rn AS repair_no, rd AS reset_done, rs AS restarts, cat AS category, CAST(n AS BIGINT) AS n_rounds
+FROM st QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC) = 1"""
+
+
 for _name, _policy in {"itr_repair_v11": "full", "itr_repair_v10": "plain", "itr_repair_cluster": "static_feedback", "itr_repair_v2": "single_step", "itr_loop_class": "class_loop", "itr_coordinate": "coordinated", "itr_fresh_start": "fresh_start"}.items():
-    query(name=_name)(_rounds(_policy))
+    query(rounds_sql(_policy), name=_name)(_rounds(_policy))
 
 
-@query()
+@query("SELECT item_id, repair_no FROM (" + rounds_sql("full") + ") WHERE reset_done")
 def itr_reset(spark, sf):
     """Problems whose loop was reset once because a diagnosis came back."""
-    return _rounds("full")(spark, sf).filter("reset_done").select("problem_id", "repair_no")
+    return _rounds("full")(spark, sf).filter("reset_done").select("item_id", "repair_no")
 
 
 @query(
