@@ -19,7 +19,6 @@ no pair; redelivered rows count once; similarity is compared in integers.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import cache
 
@@ -122,8 +121,12 @@ def least_shared(n, m, num: int, den: int):
     return np.maximum(1, need - np.maximum(n - prefix_size(n, num, den), m - prefix_size(m, num, den)))
 
 
-def heavy_hitters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles over all rows; at most ``HEAVY`` reach the driver."""
+def heavy_hitters(texts: DataFrame, size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the most frequent shingles over all rows; at most ``HEAVY`` reach the driver.
+
+    Shingles are counted in ``parts`` partitions by hash, and each gives its share of the table, so no
+    task merges the others' tables, however many there are.
+    """
 
     def top(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(h) > HEAVY_PER_TASK:
@@ -150,7 +153,19 @@ def heavy_hitters(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         yield pd.DataFrame({"h": held.view(np.int64), "c": counts})
 
     local = texts.select("text").mapInPandas(run, "h long, c long")
-    got = local.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    share = max(1, HEAVY // parts)
+
+    def most(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            h, c = np.concatenate([h, b["h"].to_numpy()]), np.concatenate([c, b["c"].to_numpy()])
+            if len(h) > share:
+                keep = np.lexsort((h, -c))[:share]
+                h, c = h[keep], c[keep]
+        yield pd.DataFrame({"h": h, "c": c})
+
+    counted = local.repartition(parts, "h").groupBy("h").agg(F.sum("c").alias("c"))
+    got = counted.mapInPandas(most, "h long, c long").toArrow()
     h, c = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -335,7 +350,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int,
 
 def _candidates(texts: DataFrame, size: int, num: int, den: int, parts: int) -> DataFrame:
     """Pairs that share enough of their first shingles, and copies; written once."""
-    heavy = heavy_hitters(texts, size)
+    heavy = heavy_hitters(texts, size, parts)
     postings = _postings(texts, size, num, den, heavy, parts).repartition(parts, "place")
     met = _meetings(postings, num, den, parts).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     n, m = F.col("na"), F.col("nb")
@@ -344,12 +359,6 @@ def _candidates(texts: DataFrame, size: int, num: int, den: int, parts: int) ->
     return cut(met.filter((n == 0) | (F.col("shared") >= F.greatest(F.lit(1), need))))
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of frames that are out of use; it does so when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def similar_pairs(texts: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(pairs between distinct sets, copies): pairs (a, b) of similarity >= num/den, and copies (a, b) with b a copy of a.
 
@@ -358,7 +367,6 @@ def similar_pairs(texts: DataFrame, size: int, num: int, den: int) -> tuple[Data
     texts = spread(texts.filter(F.length("text") > 0))
     parts = max(REGIONS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     met = _candidates(texts, size, num, den, parts)
-    _release(texts)
     copies = met.filter("na = 0").select("a", "b")
     return cut(_verified(met.filter("na > 0").select("a", "b"), texts, size, num, den, parts)), copies
 
