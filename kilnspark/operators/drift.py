@@ -1,10 +1,12 @@
 """Schema drift between JSON result files.
 
-Rows are loaded as path-value maps with raw types (:func:`flatten_records`),
-path-type statistics are aggregated per file (:func:`path_types`), the changes
-between successive files come from those statistics (:func:`schema_changes`),
-and the values are projected into typed columns with the failed casts reported
-(:func:`consistent_table`).
+Rows are loaded as path-value maps with raw types (:func:`flatten_records`);
+path-type statistics of those maps are aggregated per file (:func:`path_types`),
+the changes between successive files come from the statistics
+(:func:`schema_changes`), and the values of the maps are projected into typed
+columns with the failed casts reported (:func:`consistent_table`).  Paths go
+down into objects (``a.b``) and arrays (``a[]``); a file's fields are the paths
+of depth 1.
 
 Defined results for odd input: a null, blank or unparsable body has no records
 and no fields; it is left out of the sequence of its runner.  A record that is
@@ -119,50 +121,53 @@ def _records_of(doc: object) -> list[tuple[str | None, dict]]:
     return _records_of(nested[0]) if nested else []
 
 
-def flatten_records(files: DataFrame) -> DataFrame:
-    """One row per record: its key and an ordered array of (path, raw_type, value)."""
-    schema = "file_id long, record_no int, record_key string, fields array<struct<path:string,kind:string,value:string>>"
+def paths_of(record: dict) -> Iterator[tuple[str, int, str | None, str | None]]:
+    """(path, depth, raw type, value) of a record in order, nested ones behind the one that holds them; an object's or array's value is its text."""
+    todo = [(k, 1, v) for k, v in reversed(record.items())]
+    while todo:
+        path, depth, v = todo.pop()
+        yield path, depth, raw_type(v), _text(v)
+        if isinstance(v, dict):
+            todo += [(f"{path}.{k}", depth + 1, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(f"{path}[]", depth + 1, x) for x in reversed(v)]
+
+
+def flatten_records(files: DataFrame, *keep: str) -> DataFrame:
+    """One row per record: columns of its file, its key and its path-value map, an ordered array of (path, depth, kind, value)."""
+    kept = files.select("file_id", *keep, "body")
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    names = [*kept.columns[:-1], "record_no", "record_key", "fields"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for fid, body in zip(b["file_id"], b["body"], strict=True):
+            for *held, body in b.itertuples(index=False, name=None):
                 for n, (key, rec) in enumerate(records(body)):
-                    fs = [{"path": k, "kind": raw_type(v), "value": _text(v)} for k, v in rec.items()]
-                    rows.append((fid, n, key, fs))
+                    rows.append((*held, n, key, [{"path": p, "depth": d, "kind": t, "value": v} for p, d, t, v in paths_of(rec)]))
             if rows:
-                yield pd.DataFrame(rows, columns=["file_id", "record_no", "record_key", "fields"])
+                yield pd.DataFrame(rows, columns=names)
 
-    return files.select("file_id", "body").mapInPandas(run, schema)
+    return kept.mapInPandas(run, f"{head}, record_no int, record_key string, fields array<struct<path:string,depth:int,kind:string,value:string>>")
 
 
 def path_types(files: DataFrame) -> DataFrame:
     """Per file the ordered fields of its first record with the widest type over all its records.
 
-    The statistics of a file come from that file's own body, so they are made
-    where the file is read and nothing but the small result is shuffled.
+    A file's path-value maps lie in one partition, so the statistics are combined
+    there to a row per file and field before anything is shuffled; redelivered
+    files change neither a least place nor a widest type.
     """
-    keep = ["file_id", "runner", "written_at"]
-    schema = "file_id long, runner string, written_at timestamp_ntz, fields array<struct<name:string,kind:string>>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for body in b["body"]:
-                recs = records(body)
-                widest: dict[str, str | None] = dict.fromkeys(recs[0][1]) if recs else {}
-                for _, rec in recs:
-                    for k, v in rec.items():
-                        t = raw_type(v)
-                        if k in widest and t is not None and (widest[k] is None or WIDTH[t] > WIDTH[widest[k]]):
-                            widest[k] = t
-                out.append([{"name": k, "kind": t} for k, t in widest.items()])
-            r = b[keep].copy()
-            r["fields"] = out
-            yield r
-
-    typed = files.select("file_id", "runner", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "body")
-    return typed.mapInPandas(run, schema).filter(F.size("fields") > 0).dropDuplicates(["file_id"])
+    stamped = files.withColumn("written_at", F.col("written_at").cast("timestamp_ntz"))
+    f = flatten_records(stamped, "runner", "written_at").select("file_id", "runner", "written_at", "record_no", F.posexplode("fields").alias("pos", "f")).filter("f.depth = 1")
+    width = F.create_map(*[F.lit(x) for kv in WIDTH.items() for x in kv])
+    stats = f.groupBy("file_id", "runner", "written_at", F.col("f.path").alias("name")).agg(
+        F.min(F.when(F.col("record_no") == 0, F.col("pos"))).alias("pos"), F.max(F.try_element_at(width, F.col("f.kind"))).alias("w")
+    )
+    kinds = F.array(*[F.lit(k) for k in WIDTH])
+    field = F.struct("pos", "name", F.get(kinds, F.col("w")).alias("kind"))
+    each = stats.filter("pos is not null").groupBy("file_id", "runner", "written_at").agg(F.array_sort(F.collect_list(field)).alias("fields"))
+    return each.withColumn("fields", F.transform("fields", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"))))
 
 
 def compare(prev: list[str], cur: list[str]) -> tuple[dict[str, str], list[str], list[str]]:
@@ -341,7 +346,8 @@ def consistent_table(files: DataFrame) -> DataFrame:
     not be cast (they stay in ``extra``).
     """
     recs = flatten_records(files).dropDuplicates(["file_id", "record_no"])
-    fields = recs.select("file_id", "record_no", "record_key", F.posexplode_outer("fields").alias("pos", "f"))
+    top = F.filter("fields", lambda f: f["depth"] == 1)
+    fields = recs.select("file_id", "record_no", "record_key", F.explode_outer(top).alias("f"))
     named = fields.join(
         origins(files).withColumnRenamed("file_id", "ofile"),
         (F.col("file_id") == F.col("ofile")) & (F.col("f.path") == F.col("field_name")),
@@ -363,8 +369,7 @@ def consistent_table(files: DataFrame) -> DataFrame:
 
 
 def path_statistics(files: DataFrame) -> DataFrame:
-    """Records, nulls and distinct files of each (path, raw type)."""
-    recs = flatten_records(files).dropDuplicates(["file_id", "record_no"])
-    f = recs.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.path", F.coalesce("f.kind", F.lit("null")).alias("raw_type"))
-    per_file = f.groupBy("path", "raw_type", "file_id").agg(F.count("*").alias("n"))
+    """Values and distinct files of each (path, raw type), nulls and nested paths included."""
+    f = flatten_records(files).select("file_id", "record_no", F.posexplode("fields").alias("pos", "f")).select("file_id", "record_no", "pos", "f.path", F.coalesce("f.kind", F.lit("null")).alias("raw_type"))
+    per_file = f.distinct().groupBy("path", "raw_type", "file_id").agg(F.count("*").alias("n"))
     return per_file.groupBy("path", "raw_type").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_files"))

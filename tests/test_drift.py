@@ -53,3 +53,17 @@ def test_table(spark):
 
 def test_empty(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == set()
+
+
+def test_path_statistics_and_nested_paths(spark):
+    df = files(spark, ("a", [[{"id": "p", "x": 1, "rtl_path": {"dir": "d", "files": ["f", None]}}, {"id": "q", "x": None}], [{"id": "p", "x": 2.5}]]), ("b", [None]))
+    got = {tuple(r) for r in drift.path_statistics(df).collect()}
+    assert got == {
+        ("id", "string", 3, 2), ("x", "integer", 1, 1), ("x", "null", 1, 1), ("x", "decimal", 1, 1), ("rtl_path", "object", 1, 1), ("rtl_path.dir", "string", 1, 1),
+        ("rtl_path.files", "array", 1, 1), ("rtl_path.files[]", "string", 1, 1), ("rtl_path.files[]", "null", 1, 1),
+    }
+    assert [p for p, *_ in drift.paths_of({"b": {"z": [1, {"y": 2}]}, "a": None})] == ["b", "b.z", "b.z[]", "b.z[]", "b.z[].y", "a"]
+
+
+def test_same_name_in_a_nested_object_is_no_field(spark):
+    assert found(files(spark, ("a", [[{"id": "p", "o": {"x": 1}}], [{"id": "p", "o": {"x": "s", "y": 2}}]]))) == set()
