@@ -44,10 +44,11 @@ ROUNDS = 20  # of message passing at most; they end when the messages settle
 SETTLED = 1e-2  # log odds
 CERTAIN = 5.0  # log odds beyond which a place of a word is certain
 KEPT = 400_000  # tokens remembered
-TOKENS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 21
 LONG_RUN = 7  # digits of a run that may be a number of a person
 
-_SPLIT = re.compile(r"([^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w \t\r\f\v ]|_)")
+_BLANK = " \t\r\f\v\xa0"
+_TOKEN = re.compile(rf"[{_BLANK}]*+(?:[^\W\d_]++(?:['’][^\W\d_]++)*|\d++|[^\w{_BLANK}]|_)")
 _AT_WORDS = frozenset(("at", "arroba", "chez"))
 _DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
 _MARKS = ["\n", "@", ".", ",", "-", "(", ")", "+", "/", ":", ";", '"', "<", ">", "[", "]", "'", "_", "|", "#", "*", "=", "&", "\\"]
@@ -106,7 +107,7 @@ def name_key(t: str) -> str:
 
 
 class _Tokens(dict):
-    """Token (a blank before it if there is a gap) -> number; arrays by number hold its class, length and features."""
+    """Token with the blanks before it -> number; arrays by number hold its class, lengths and features."""
 
     OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 
@@ -118,6 +119,7 @@ class _Tokens(dict):
         super().clear()
         self.kind = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
+        self.gap = np.zeros(1024, np.int64)
         self.digits = np.zeros(1024, np.int64)
         self.words: list[str] = []
         self.features: list[list[list[int]]] = []
@@ -125,19 +127,26 @@ class _Tokens(dict):
         self.scores = np.zeros((1024, len(self.OFFSETS), K), np.float32)
 
     def __missing__(self, key: str) -> int:
-        gap, t = key[:1] == " ", key[key[:1] == " " :]
+        t = key.lstrip(_BLANK)
         if t.isdigit():  # digits differ by their number and by a zero in front only
-            form = (" " if gap else "") + ("0" if t[0] == "0" else "9") + "9" * (len(t) - 1)
+            form = key[: len(key) - len(t)] + ("0" if t[0] == "0" else "9") + "9" * (len(t) - 1)
             if form != key:
                 n = self[key] = self[form]
                 return n
+        gap = len(key) > len(t)
         n = self[key] = len(self.words)
         if n == len(self.kind):
-            self.kind, self.length, self.digits, self.scores = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.length, self.digits, self.scores))
+            self.kind, self.length, self.gap, self.digits, self.scores = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.length, self.gap, self.digits, self.scores))
+        self.length[n], self.gap[n], self.digits[n] = len(t), len(key) - len(t), len(t) if t.isdigit() else 0
+        self.words.append(t)
+        if len(key) > len(t) + 1:  # more blanks tell no more than one
+            m = self[" " + t]
+            self.kind[n], self.scores[n] = self.kind[m], self.scores[m]
+            if self.weights is None:
+                self.features.append(self.features[m])
+            return n
         c = class_of(t)
         self.kind[n] = 2 * _CLASS[c] + gap
-        self.length[n], self.digits[n] = len(t), len(t) if t.isdigit() else 0
-        self.words.append(t)
         low = t.lower()
         # a capitalised word that is no common one tells by its shape, not by itself
         own = [f"c|{c}|{gap}"] + ([f"w|{low}", f"e|{low[-2:]}"] if c not in ("Cap", "UPPER") and not t.isdigit() else [f"e|{low[-4:]}" if c == "Cap" else f"z|{t[:1] == '0'}"])
@@ -146,8 +155,8 @@ class _Tokens(dict):
         if self.weights is None:
             self.features.append(feats)
         else:
-            for j, f in enumerate(feats):
-                self.scores[n, j] = self.weights[f].sum(0)
+            sizes = [len(f) for f in feats]
+            self.scores[n] = np.add.reduceat(self.weights[[x for f in feats for x in f]], np.cumsum([0, *sizes[:-1]]), axis=0)
         return n
 
 
@@ -158,16 +167,13 @@ class _Batch:
         if len(tokens) > KEPT:
             tokens.clear()
         codes: list[int] = []
-        gaps: list[int] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         lookup = tokens.__getitem__
         for i, t in enumerate(texts):
             if not t:
                 continue
-            parts = _SPLIT.split(t)
-            between, held = parts[:-1:2], parts[1::2]
-            codes += map(lookup, [" " + w if g else w for g, w in zip(between, held, strict=True)])
-            gaps += map(len, between)
+            held = _TOKEN.findall(t)
+            codes += map(lookup, held)
             counts[i] = len(held)
         self.tokens, self.texts = tokens, texts
         self.code = np.array(codes, dtype=np.int64)
@@ -175,7 +181,7 @@ class _Batch:
         ends = np.cumsum(counts)
         self.kind, length = tokens.kind[self.code], tokens.length[self.code]
         self.cls = self.kind >> 1
-        total = np.cumsum(length + np.array(gaps, dtype=np.int64)) if len(codes) else np.zeros(0, np.int64)
+        total = np.cumsum(length + tokens.gap[self.code])
         base = np.concatenate([[0], total])[np.repeat(ends - counts, counts)] if len(codes) else total
         self.end = total - base  # code points from the document's start
         self.start = self.end - length
@@ -529,7 +535,7 @@ def infer(texts: list[str | None], field: Field, tokens: _Tokens | None = None,
     at = 0
     while at < len(texts):
         end, chars = at, 0
-        while end < len(texts) and (chars < TOKENS_AT_ONCE or end == at):
+        while end < len(texts) and (chars < CHARS_AT_ONCE or end == at):
             chars += len(texts[end] or "")
             end += 1
         b = _Batch(texts[at:end], tokens)
