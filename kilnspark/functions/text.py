@@ -23,9 +23,10 @@ SOFT_MARKERS = [
 ]
 HARD_MARKERS = ["unknown module type", "no such file or directory"]
 # Words that tell nothing about a cause.
-CAUSE_STOPWORDS = (
-    "the and for is in to of a an this that when which with from not are be has have should output input signal module always block register logic"
-).split()
+CAUSE_STOPWORDS = [
+    "the", "and", "for", "is", "in", "to", "of", "a", "an", "this", "that", "when", "which", "with", "from", "not", "are", "be", "has", "have",
+    "should", "output", "input", "signal", "module", "always", "block", "register", "logic",
+]
 # Marks of simulation code.
 SIM_TASKS = ["$write", "$display", "$finish", "$stop", "$monitor", "$dumpfile", "$dumpvars", "$readmem", "$strobe"]
 SIM_PATTERNS = [r"\binitial\s+begin\b", r"\bfork\b", r"\binteger\s+cyc\b"]
@@ -86,6 +87,7 @@ def fence(c: Column) -> Column:
     return strip(F.when(c.rlike(rx), F.regexp_extract(c, rx, 1)).otherwise(c))
 
 
+# How code stands in an answer.
 TAGGED = r"(?is)```(?:verilog|systemverilog|sv)\n(.*?)```"
 UNTAGGED = r"(?is)```\n(.*?(?:module|endmodule).*?)```"
 BARE = r"(?s)((?:^|\n)(?:`timescale\s+\S+|module\s+\w+).*?endmodule)"
@@ -149,6 +151,7 @@ def error_lines(c: Column, file_name: Column | None = None, most: int = 5, head:
     return F.when(F.size(hit) > 0, F.array_join(kept, "\n")).otherwise(F.left(c, F.lit(head)))
 
 
+# Words of warnings about timing.
 TIMING_WORDS = ["glitch", "setup", "hold", "timing", "clock"]
 
 

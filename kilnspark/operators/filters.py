@@ -83,6 +83,34 @@ def balanced_module(texts: pd.Series) -> pd.Series:
     return t.str.contains(r"\bmodule\b") & t.str.contains(r"\bendmodule\b") & even
 
 
+def words(texts: pd.Series) -> pd.Series:
+    """A stand-in for a tokenizer: the number of runs of letters, digits and underscores."""
+    return texts.str.count(r"\w+")
+
+
+def within_tokens(df: DataFrame, rendered: Column, most: int, count: Callable[[pd.Series], pd.Series] = words, out: str = "n_tokens") -> DataFrame:
+    """Rows whose rendered text has at most ``most`` tokens by the given tokenizer, with the number; rows that can't be rendered (null) or counted are dropped."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `{out}` bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b.pop("_rendered")
+            try:
+                n = count(texts)
+            except Exception:  # noqa: BLE001  one text may break a batch, so each gets its own turn
+                n = pd.Series([_counted(count, t) for t in texts], index=texts.index, dtype="Int64")
+            yield b.assign(**{out: n})[lambda x: x[out].notna()]
+
+    return df.withColumn("_rendered", rendered).filter("_rendered is not null").mapInPandas(run, schema).filter(F.col(out) <= most)
+
+
+def _counted(count: Callable[[pd.Series], pd.Series], text: str) -> int | None:
+    try:
+        return int(count(pd.Series([text])).iloc[0])
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def funnel(df: DataFrame, key: str, stages: dict[str, Column]) -> DataFrame:
     """Keys that are left after each stage, in one pass: a stage counts those that pass it and all before.
 

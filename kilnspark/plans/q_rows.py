@@ -84,10 +84,18 @@ def flt_final(spark, sf):
     return filters.validate(s, "code", filters.balanced_module).filter("valid").select("sample_id", "task_type")
 
 
-@query(A("SELECT sample_id, sum(len(regexp_extract_all(coalesce(content, ''), '[\\p{L}\\p{N}_]+'))) AS n_tokens FROM " + ANSWERS_SQL + " GROUP BY 1 HAVING sum(len(regexp_extract_all(coalesce(content, ''), '[\\p{L}\\p{N}_]+'))) <= 4096").replace("sum(len", "CAST(sum(len", 1).replace("+'))) AS", "+'))) AS BIGINT) AS", 1), each=True)
+@query(
+    """SELECT sample_id, CAST(len(regexp_extract_all(chat, '[\\p{L}\\p{N}_]+')) AS BIGINT) AS n_tokens
+    FROM (SELECT sample_id, string_agg('<|' || role || '|>' || chr(10) || coalesce(content, '') || chr(10), '' ORDER BY pos) AS chat FROM """
+    + ANSWERS_SQL
+    + """ GROUP BY 1 HAVING count(*) FILTER (role IS NULL) = 0) WHERE len(regexp_extract_all(chat, '[\\p{L}\\p{N}_]+')) <= 200""",
+    each=True,
+)
 def flt_token_len(spark, sf):
-    n = F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, m: a + F.size(F.regexp_extract_all(F.coalesce(m["content"], F.lit("")), F.lit(f"({T.WORD})"), F.lit(1))))
-    return scan(spark, sf, "ts").filter(F.size("messages") > 0).select("sample_id", n.alias("n_tokens")).filter("n_tokens <= 4096")
+    """Rendered chats of at most 200 tokens, so that long ones are there to be dropped; no messages or a message without role make no chat."""
+    m = F.col("messages")
+    chat = F.when((F.size(m) > 0) & ~F.exists(m, lambda x: x.isNull() | x["role"].isNull()), builders.rendered(m))
+    return filters.within_tokens(scan(spark, sf, "ts").select("sample_id", "messages"), chat, 200).select("sample_id", "n_tokens")
 
 
 _REF_SQL = " OR ".join("contains(lower(content), '" + m.replace("'", "''") + "')" for m in T.REFUSAL_MARKERS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,12 @@ from kilnspark.plans.base import query, rows, scan
 from kilnspark.session import ensure_checkpoint_dir
 from kilnspark.sources import files, sinks
 from kilnspark.sources.tables import table
+from kilnspark.streaming import logstream
+
+
+def _at(spark, name):
+    """A folder of its own for each call, so that runs side by side don't write over one another."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '[^@WS@]')")
@@ -33,7 +40,7 @@ def src_alias_coalesce(spark, sf):
 
 @query("SELECT sample_id, task_type, quality_score, source FROM @ts@")
 def src_jsonl(spark, sf):
-    path = sinks.write_jsonl(rows(spark, sf, "ts", "task_type", "quality_score", "source"), f"{ensure_checkpoint_dir(spark)}/src_jsonl")
+    path = sinks.write_jsonl(rows(spark, sf, "ts", "task_type", "quality_score", "source"), _at(spark, "src_jsonl"))
     return files.jsonl(spark, path, "sample_id long, task_type string, quality_score int, source string")
 
 
@@ -119,10 +126,6 @@ def src_latest(spark, sf):
     return files.latest(scan(spark, sf, "rf"), "runner", "file_name")
 
 
-def _at(spark, name):
-    return f"{ensure_checkpoint_dir(spark)}/{name}"
-
-
 @query("SELECT sample_id, to_json(messages) IS NOT NULL AS has_messages, task_type FROM @ts@")
 def snk_jsonl(spark, sf):
     path = sinks.write_jsonl(rows(spark, sf, "ts", "messages", "task_type"), _at(spark, "snk_jsonl"))
@@ -185,3 +188,16 @@ def snk_object_store(spark, sf):
 def snk_sse(spark, sf):
     frame = sinks.event_frame(F.struct(F.lit("status").alias("type"), F.col("row_id").alias("row")))
     return scan(spark, sf, "il").select("row_id", frame.alias("frame"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+@query("SELECT date_trunc('day', received_at) AS day_start, action_name, count(*) AS n, count(*) FILTER (passed) AS n_passed FROM @il@ WHERE received_at IS NOT NULL GROUP BY 1, 2")
+def stream_actions(spark, sf):
+    """The log as a stream of files: each row once, actions by day of arrival."""
+    whole = table(spark, sf, "iteration_log")
+    log = logstream.read_table(spark, f"{sf}/iteration_log.parquet", whole.schema).select("row_id", F.col("received_at").cast("timestamp").alias("ts"), "action_name", "passed").filter("ts is not null")
+    days = logstream.windowed_actions(log.dropDuplicates(["row_id"]), None, "1 day")
+    out = logstream.settle(days, _at(spark, "stream_actions"), _at(spark, "stream_checkpoint"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("day_start"), "action_name", "n", "n_passed")

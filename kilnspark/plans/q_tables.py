@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
@@ -220,8 +219,7 @@ def _log(spark, sf, *cols, where=None):
     return rows(spark, sf, "il", "problem_id", "cycle_no", *cols, F.coalesce(F.col("iteration").try_cast("int"), F.lit(1000000)).alias("it"), where=where)
 
 
-def _w():
-    return windows.by(["problem_id", "cycle_no"], F.col("it"), F.col("row_id"))
+_KEYS, _ORDER = ["problem_id", "cycle_no"], ["it", "row_id"]
 
 
 _W = f"PARTITION BY problem_id, cycle_no ORDER BY {_IT}, row_id"
@@ -229,7 +227,7 @@ _W = f"PARTITION BY problem_id, cycle_no ORDER BY {_IT}, row_id"
 
 @query(f"SELECT row_id, coalesce(list(action_name) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS history FROM @il@")
 def win_history_last_k(spark, sf):
-    return _log(spark, sf, "action_name").select("row_id", windows.last_k(F.col("action_name"), _w()).alias("history"))
+    return windows.with_last_k(_log(spark, sf, "action_name"), _KEYS, _ORDER, "action_name", "history").select("row_id", "history")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.CAUSE_STOPWORDS) + "]"
@@ -243,13 +241,13 @@ _CAUSE = r"list_filter(list_distinct(regexp_extract_all(lower({0}), '\b[a-z_][a-
     QUALIFY row_number() OVER (PARTITION BY problem_id, cycle_no ORDER BY it, row_id) = 1"""
 )
 def win_oscillation(spark, sf):
-    return windows.first_oscillation(_log(spark, sf, "diagnosis", where="diagnosis is not null"), _w(), "problem_id", "diagnosis").select("problem_id", "cycle_no", "row_id")
+    return windows.first_oscillation(_log(spark, sf, "diagnosis", where="diagnosis is not null"), _KEYS, _ORDER, "diagnosis").select("problem_id", "cycle_no", "row_id")
 
 
 @query(f"SELECT row_id, round(CASE WHEN stddev_pop(r) OVER w > 1e-6 THEN (r - avg(r) OVER w) / (stddev_pop(r) OVER w + 1e-8) ELSE 0 END, 6) + 0.0 AS advantage FROM {_REWARD_SQL} WINDOW w AS (PARTITION BY problem_id, cycle_no)")
 def win_group_norm(spark, sf):
-    w = Window.partitionBy("problem_id", "cycle_no")
-    return _rewarded(spark, sf).select("row_id", (F.round(windows.group_normalised(F.col("r"), w), 6) + F.lit(0.0)).alias("advantage"))
+    scaled = windows.group_normalised(_rewarded(spark, sf), _KEYS, "r", "advantage")
+    return scaled.select("row_id", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
 
 
 _LINES = r"CASE WHEN log = '' THEN [] ELSE regexp_split_to_array(regexp_replace(log, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') END"
@@ -267,7 +265,8 @@ def win_context_lines(spark, sf):
 
 @query(f"SELECT row_id, last_value(CASE WHEN iverilog_pass THEN row_id END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_row FROM @il@")
 def win_best_so_far(spark, sf):
-    return _log(spark, sf, "iverilog_pass").select("row_id", windows.best_so_far(F.col("row_id"), F.col("iverilog_pass"), _w()).alias("best_row"))
+    log = _log(spark, sf, "iverilog_pass").withColumn("own", F.col("row_id"))
+    return windows.with_best_so_far(log, _KEYS, _ORDER, "own", "iverilog_pass", "best_row").select("row_id", "best_row")
 
 
 @query(
@@ -293,7 +292,8 @@ def win_ordered_concat(spark, sf):
 
 @query(f"SELECT row_id, coalesce(last_value(CASE WHEN iverilog_pass THEN verilog_chars END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS kept_chars FROM @il@")
 def win_stagewise_best(spark, sf):
-    return _log(spark, sf, "iverilog_pass", "verilog_chars").select("row_id", F.coalesce(windows.best_so_far(F.col("verilog_chars"), F.col("iverilog_pass"), _w()), F.lit(0)).alias("kept_chars"))
+    best = windows.with_best_so_far(_log(spark, sf, "iverilog_pass", "verilog_chars"), _KEYS, _ORDER, "verilog_chars", "iverilog_pass", "kept")
+    return best.select("row_id", F.coalesce("kept", F.lit(0)).alias("kept_chars"))
 
 
 # ------------------------------------------------------------------ sort, limit, sample

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def get_session(app: str = "kilnspark", cpus: str | int = "*") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("KILN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -27,12 +29,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and stage tables.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used as
-    it is.  Only where the setting is missing (tests on one machine) a
-    temporary folder is made.
+    it is.  Only where the setting is missing on one machine (tests) a temporary
+    folder is made; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(sc, "_kiln_checkpoint_dir", None)
         if where is None:
             where = tempfile.mkdtemp(prefix="kilnspark-")

@@ -1,7 +1,6 @@
 """Literal cases of the column functions."""
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
@@ -72,7 +71,7 @@ def test_reward_order(spark):
 
 def test_group_norm(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 0.3), ("a", 3, 0.0), ("a", 4, 1.0), ("b", 5, 1.0), ("b", 6, 1.0)], "g string, i int, r double")
-    out = df.select("i", F.round(windows.group_normalised(F.col("r"), Window.partitionBy("g")), 6).alias("x")).orderBy("i").collect()
+    out = windows.group_normalised(df, ["g"], "r", "x").select("i", F.round("x", 6).alias("x")).orderBy("i").collect()
     assert [r["x"] for r in out] == [0.970241, -0.627803, -1.312679, 0.970241, 0.0, 0.0]
 
 
