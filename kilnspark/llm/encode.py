@@ -34,6 +34,7 @@ TOKENIZER_DIR = os.environ.get("KILN_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the split pattern of the vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 400_000  # words kept; the memo starts anew beyond it
+MEMO_WORD = 64  # characters of a word that is kept; longer ones, which hardly come back, are encoded each time
 
 
 def _byte_letters() -> dict[str, int]:
@@ -75,9 +76,11 @@ class _Memo(dict):
         self.encode_word = encode_word
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[word] = self.encode_word(word.encode("utf-8"))
+        ids = self.encode_word(word.encode("utf-8"))
+        if len(word) <= MEMO_WORD:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = ids
         return ids
 
 

@@ -39,6 +39,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return encode.decode_corpus(p6_ids(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark_problems"))
 
@@ -67,10 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
     "p7_restated": p7_restated,
     "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_masked": p8_masked,
 }
-SQL: dict[str, str] = {"p7_found": leak.P7_SQL, "p7_items": leak.P7_ITEMS_SQL}
+SQL: dict[str, str] = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents", "p7_found": leak.P7_SQL, "p7_items": leak.P7_ITEMS_SQL}

@@ -46,3 +46,10 @@ def test_frame(spark):
     assert got[2] == [] and got[3] == [] and len(got[1]) >= 2
     back = encode.decode_corpus(encode.encode_corpus(df)).collect()
     assert {r["doc_id"]: r["text"] for r in back} == {1: "ab cd", 2: "", 3: ""}
+
+
+def test_long_words_are_not_kept(reference):
+    e = encode.load_encoder(JSON)
+    before = len(e.memo)
+    text = "".join(chr(97 + k % 23) for k in range(5000))
+    assert e.encode(text) == reference(text) and len(e.memo) == before
