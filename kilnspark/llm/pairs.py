@@ -276,11 +276,13 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 GREETING = 12  # tokens before a copy that count as a greeting
 CLOSING = 4  # tokens after it
 TILE = 3  # tokens of the shortest tile
+_FENCE_MARK = re.compile(r"(?:`{3,}|~{3,})[\w+#.-]*")
 _HEADING = re.compile(r"^#+ [^\n]*$", re.M)
 
 
 def tokens_of(text: str) -> list[str]:
-    return _TOKEN.findall(_FENCE_ONLY.sub(" ", text.lower()))
+    """Words and marks in lower case; fences are no part of a text, wherever a change of spacing has put them."""
+    return _TOKEN.findall(_FENCE_MARK.sub(" ", text.lower()))
 
 
 def question_parts(question: str) -> list[list[str]]:
@@ -432,9 +434,9 @@ def is_copy(question: str | None, answer: str) -> bool:
 # Frequent function words by language, and scripts that tell a language.
 WORDS = {
     "en": "the a an is are and of to in that it with for this be by on as at from when which not while before after has have so was were or must will its you we i can does what here block module",
-    "de": "der die das ein eine und ist sind nicht mit auf für den dem des von zu im wird werden während sobald nach bei sich als auch wenn dass bitte wir ich hier unten nur noch steht bleibt bis erst darf solange dieser diese dieses dieses",
+    "de": "der die das ein eine und ist sind nicht mit auf für den dem des von zu im wird werden während sobald nach bei sich als auch wenn dass bitte wir ich hier unten nur noch steht bleibt bis erst darf solange dieser diese dieses was macht wie warum welche erkläre",
     "fr": "le la les un une des et est sont ne pas pour dans que qui avec sur du au aux par ce cette ces nous il tant après avant pendant vaut voici ci ont été selon sa son reste faut seulement je merci",
-    "es": "el la los las un una y es son no para en que con por del al se lo su hasta mientras tras esté está este esta esta debe queda vale nosotros aquí aparecieron sólo solo después según siguiente permanece observamos",
+    "es": "el la los las un una y es son no para en que con por del al se lo su hasta mientras tras esté está este esta esta debe queda vale nosotros aquí aparecieron sólo solo después según siguiente permanece observamos qué hace cómo explica cuál por",
     "pt": "o a os as um uma e é são não para em que com por do da dos das no na nos nas ao se até enquanto depois fica está são aqui então pedido módulo vale seu sua deve apenas",
     "it": "il lo la i gli le un uno una e è sono non per in che con di del della dei delle al alla si finché dopo viene rimane quindi ecco questo questa deve mentre solo durante più modulo richiesto",
     "nl": "de het een en is zijn niet met voor op van te dat die dit wordt worden als ook tot na bij deze hier moet geen wij ik terwijl alleen",
@@ -449,6 +451,7 @@ _SCRIPTS = [
     ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[一-鿿]")),
     ("ko", re.compile(r"[가-힯]")), ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")),
 ]
+_OWN_SCRIPT = dict(_SCRIPTS)
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NAMES = re.compile(r"`[^`\n]*`|\b\w*[_\d]\w*\b|\b[a-z]+[A-Z]\w*\b|https?://\S+")
 
@@ -484,8 +487,11 @@ def in_other_language(question: str | None, prose: str) -> bool:
     answer = language_of(prose)
     if answer is None:
         return False
-    asked = language_of(split_text(question)[0])
-    return asked is not None and asked != answer
+    prose = split_text(question)[0]
+    asked = language_of(prose)
+    if asked is None:  # too few words to tell; another script tells nevertheless
+        return answer in _OWN_SCRIPT and sum(c.isascii() and c.isalpha() for c in prose) >= 8 and not _OWN_SCRIPT[answer].search(prose)
+    return asked != answer
 
 
 # ------------------------------------------------------------------ operator

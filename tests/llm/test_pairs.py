@@ -101,6 +101,27 @@ def test_copy_of_two_parts():
     assert defect_of(q, "Sure!\n\n" + CODE + "\n\nThe counter is cleared by the reset and wraps at ten, as the new text says.") is None
 
 
+def test_copy_with_other_spacing():
+    q = "Repair this module.\n\n## Specification\nIt counts to nine.\n\n## Code so far\n" + CODE
+    assert defect_of(q, " ".join(q.split())) == "copy"
+    assert defect_of(q, "Sure! " + " ".join(CODE.split())) == "copy"
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "want"),
+    [
+        ("Explica qué hace este módulo.", "The counter holds its value while the enable is low.", "other_language"),
+        ("Explica qué hace este módulo.", "El contador conserva su valor mientras la señal está en cero.", None),
+        ("Was macht dieses Modul?", "Счётчик удерживает значение, пока сигнал активен.", "other_language"),
+        ("Erkläre, was dieses Modul macht.", "Der Zähler behält seinen Wert, während das Signal nicht aktiv ist.", None),
+        ("Adder tree, 8 bit, signed", "当信号为高电平时,计数器清零。", "other_language"),
+        ("加法器", "当信号为高电平时,计数器清零。", None),
+    ],
+)
+def test_language_of_short_questions(question, answer, want):
+    assert defect_of(question, answer) == want
+
+
 def test_null_question():
     assert defect_of(None, CODE) is None and defect_of(None, "") == "empty"
 
