@@ -41,7 +41,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", dtype=np.uint8)] = True
-DOC = np.dtype([("id", "<i8"), ("digest", "<u8"), ("n", "<u4")])
+DOC = np.dtype([("id", "<i8"), ("digest", "<u8"), ("n", "<u4"), ("home", "u1")])
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -184,6 +184,8 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
     """Prefix shingles packed by region: (place, region, docs, hashes, owners), a row per input batch and region.
 
     Of a shingle 32 bits besides its region travel: what meets by chance only adds to the pairs that are verified.
+    Of the equal sets of a batch only that with the least id is posted, so that many copies post no more than one
+    set a batch; the others go to the home of the set, the region of its first shingle, by their ids alone.
     """
     places = _places(texts, regions)
     hot = texts.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY entries, 8 MB
@@ -191,7 +193,7 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hh, hc = hot.value
         for b in batches:
-            docs, hashes, owners = [], [], []
+            docs, firsts = [], []
             for i, s in zip(b["id"].tolist(), shingle_sets(b["text"].tolist(), size), strict=True):
                 if s is None:
                     continue
@@ -202,13 +204,17 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
                     first = s[np.argsort(often, kind="stable")[: prefix_size(n, num, den)]]
                 else:
                     first = s[: prefix_size(n, num, den)]
-                hashes.append(first)
-                owners.append(np.full(len(first), len(docs), dtype=np.uint32))
-                docs.append((i, xxhash.xxh3_64_intdigest(s.tobytes()), n))
+                firsts.append(first)
+                docs.append((i, xxhash.xxh3_64_intdigest(s.tobytes()), n, 0))
             if not docs:
                 continue
             table = np.array(docs, dtype=DOC)
-            h, o = np.concatenate(hashes), np.concatenate(owners)
+            order = np.lexsort((table["id"], table["n"], table["digest"]))
+            same = np.concatenate([[False], (table["digest"][order][1:] == table["digest"][order][:-1]) & (table["n"][order][1:] == table["n"][order][:-1])])
+            posted, copies = np.sort(order[~same]), np.sort(order[same])
+            home = (np.array([f[0] for f in firsts], dtype=np.uint64) % np.uint64(regions)).astype(np.int64)
+            h = np.concatenate([firsts[k] for k in posted.tolist()])
+            o = np.repeat(posted, [len(firsts[k]) for k in posted.tolist()])
             region = (h % np.uint64(regions)).astype(np.int64)
             order = np.argsort(region, kind="stable")
             h, o, region = (h[order] >> np.uint64(32)).astype(np.uint32), o[order], region[order]
@@ -216,9 +222,11 @@ def _postings(texts: DataFrame, size: int, num: int, den: int, heavy: tuple[np.n
             out = []
             for r in range(regions):
                 lo, hi = ends[r], ends[r + 1]
-                if lo < hi:
-                    used, local = np.unique(o[lo:hi], return_inverse=True)
-                    out.append((places[r], r, table[used].tobytes(), h[lo:hi].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()))
+                if lo < hi:  # the home of a copy has its set's posting, too
+                    used, local = np.unique(np.concatenate([o[lo:hi], copies[home[copies] == r]]), return_inverse=True)
+                    held = table[used]
+                    held["home"] = home[used] == r
+                    out.append((places[r], r, held.tobytes(), h[lo:hi].tobytes(), local[: hi - lo].astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["place", "region", "docs", "hashes", "owners"])
 
     return texts.select("id", "text").mapInPandas(run, "place int, region int, docs binary, hashes binary, owners binary")
@@ -272,7 +280,7 @@ def _meetings(postings: DataFrame, num: int, den: int, regions: int) -> DataFram
         rep_id, size = ids[order][new], size_of[order][new]
         group_of = np.empty(len(docs), dtype=np.int64)
         group_of[order] = group
-        copies = np.unique(np.stack([rep_id[group], ids[order]], 1)[rep_id[group] != ids[order]], axis=0)
+        copies = np.unique(np.stack([rep_id[group], ids[order]], 1)[(docs["home"][order] > 0) & (rep_id[group] != ids[order])], axis=0)
         if len(copies):
             yield pd.DataFrame({"a": copies[:, 0], "b": copies[:, 1], "shared": 0, "na": 0, "nb": 0})
         h, g = np.concatenate(hashes), group_of[np.concatenate(owners)]

@@ -67,3 +67,20 @@ def test_links_of_every_module(spark):
     rows = [(1, a), (2, a.upper()), (3, a + " n o"), (4, "x y z u v w"), (5, None), (6, "p q"), (7, a + " n o r s t"), (4, "x y z u v w")]
     got = {r["module_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in neardup.link_counts(spark.createDataFrame(rows, "module_id long, verilog string")).collect()}
     assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 2, 0), 4: (4, 0, 0), 5: (5, 0, 0), 6: (6, 0, 0), 7: (7, 1, 0)}
+
+
+def test_many_copies_post_once_a_batch(spark):
+    """A third of all rows are copies of one text: their postings hold as many sets as there are batches."""
+    texts = [(i, "alpha beta gamma delta epsilon zeta eta theta iota " * 3 if i % 3 == 0 else " ".join(f"w{i}x{k}" for k in range(20))) for i in range(900)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(2)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    posted = held = 0
+    for r in neardup._postings(df, 3, 7, 10, none, 16).collect():
+        docs = np.frombuffer(r["docs"], dtype=neardup.DOC)
+        width = np.uint16 if len(r["owners"]) * 2 == len(r["hashes"]) else np.uint32
+        owners = {int(docs["id"][k]) for k in np.frombuffer(r["owners"], dtype=width)}
+        posted += sum(i % 3 == 0 for i in owners)
+        held += int(((docs["id"] % 3 == 0) & (docs["home"] > 0)).sum())
+    assert held == 300 and posted <= 2 * 9
+    pairs = neardup.near_duplicates(df.withColumnRenamed("id", "module_id").withColumnRenamed("text", "verilog"))
+    assert pairs.count() == 300 * 299 // 2
