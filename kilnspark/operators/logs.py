@@ -204,7 +204,7 @@ def _from_keys(d: dict) -> tuple[str, str, str, str] | None:
     """Fields of a record with named fields."""
     ts = next((d[k] for k in ("ts", "time", "timestamp", "asctime", "@timestamp") if d.get(k) is not None), None)
     lvl = next((d[k] for k in ("level", "levelname", "lvl", "severity") if d.get(k) is not None), None)
-    if ts is None and lvl is None:
+    if ts is None and str(lvl).lower() not in LEVELS:  # a word that is no level carries none
         return None
     comp = next((d[k] for k in ("logger", "component", "name", "program", "source", "file") if d.get(k)), "")
     msg = next((d[k] for k in ("message", "msg", "event", "text") if d.get(k) is not None), "")

@@ -77,7 +77,7 @@ def test_heads_of_few_parts(line, want):
     assert parse(line) == [(1, *want)]
 
 
-@pytest.mark.parametrize("line", ["error: none", "AssertionError: x", "  warning signs", "** leaf PASS 1.2 **", "12 passed in 3s", "INFORMATION desk", "   27 |  x", "[3:0] error", "levels=3"])
+@pytest.mark.parametrize("line", ["error: none", "AssertionError: x", "  warning signs", "** leaf PASS 1.2 **", "12 passed in 3s", "INFORMATION desk", "   27 |  x", "[3:0] error", "levels=3", "level=575", "level=575 lag=3", '{"level": 30, "msg": "x"}'])
 def test_no_head(line):
     assert parse(line) == [] and parse("srun: info: x\n" + line) == [(1, "", "INFO", "srun", "x\n" + line)]
 
