@@ -33,13 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.pii_samples import COMMON, ROADS, THINGS, UNITS, training_documents
+from kilnspark.llm.pii_samples import COMMON, FLATS, ROADS, THINGS, UNITS, training_documents
 
 TYPES = ("email", "id_number", "phone", "address", "person")
 TRAIN_DOCS = 1600  # made-up training documents
 K = len(TYPES) + 1  # labels; 0 is none
 PERSON = 5
-DIM = 1 << 16  # hashed features
+DIM = 1 << 18  # hashed features
 ROUNDS = 20  # of message passing at most; they end when the messages settle
 SETTLED = 1e-2  # log odds
 CERTAIN = 5.0  # log odds beyond which a place of a word is certain
@@ -53,7 +53,7 @@ _AT_WORDS = frozenset(("at", "arroba", "chez"))
 _DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
 _MARKS = ["\n", "@", ".", ",", "-", "(", ")", "+", "/", ":", ";", '"', "<", ">", "[", "]", "'", "_", "|", "#", "*", "=", "&", "\\"]
 _LIKE = {"＠": "@", "–": "-", "‑": "-", "’": "'", "“": '"', "”": '"'}
-_CLASSES = ["other", "lower", "common", "Cap", "CapCommon", "Initial", "UPPER", "mixed", "road", "thing", "unit", "at", "dot", "d1", "d2", "d3", "d4", "d5", "d6", "d8", *_MARKS]
+_CLASSES = ["other", "lower", "common", "Cap", "CapCommon", "Initial", "UPPER", "mixed", "camel", "road", "flat", "thing", "unit", "at", "dot", "d1", "d2", "d3", "d4", "d5", "d6", "d8", *_MARKS]
 _CLASS = {c: k for k, c in enumerate(_CLASSES)}
 N_CLASS = 1 << (2 * len(_CLASSES) - 1).bit_length()
 _FIRST_DIGIT = _CLASS["d1"]
@@ -64,6 +64,9 @@ def _h(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % DIM
 
 
+_ELIDED = re.compile(r"(?i:[ldjnscmt]|qu|jusqu|lorsqu|puisqu)['’][a-zà-öø-ÿ]")  # an article or pronoun before a word
+
+
 def class_of(t: str) -> str:
     """The class of a token, by its letters and by small fixed lists."""
     t = _LIKE.get(t, t)
@@ -80,9 +83,13 @@ def class_of(t: str) -> str:
         return "dot"
     if low in ROADS or low.endswith(("straße", "strasse", "gasse", "platz", "allee", "weg", "str")):
         return "road"
+    if low in FLATS:
+        return "flat"
     if t[0].isupper():
         if len(t) == 1:
             return "Initial"
+        if _ELIDED.match(t):
+            return "CapCommon"
         if low in COMMON:
             return "CapCommon"
         if t.isupper():
@@ -96,7 +103,7 @@ def class_of(t: str) -> str:
         return "thing"
     if low in COMMON:
         return "common"
-    return "lower" if t.islower() else "mixed"
+    return "lower" if t.islower() else "camel"
 
 
 def name_key(t: str) -> str:
@@ -149,7 +156,7 @@ class _Tokens(dict):
         self.kind[n] = 2 * _CLASS[c] + gap
         low = t.lower()
         # a capitalised word that is no common one tells by its shape, not by itself
-        own = [f"c|{c}|{gap}"] + ([f"w|{low}", f"e|{low[-2:]}"] if c not in ("Cap", "UPPER") and not t.isdigit() else [f"e|{low[-4:]}" if c == "Cap" else f"z|{t[:1] == '0'}"])
+        own = [f"c|{c}|{gap}"] + ([f"w|{low}", f"e|{low[-2:]}"] if c not in ("Cap", "UPPER") and not t.isdigit() else [f"l|{min(len(t), 9)}" if c == "Cap" else f"z|{t[:1] == '0'}"])
         near = own[:2] if c not in ("Cap", "UPPER") else own[:1]
         feats = [[_h(f"{o}|{f}") for f in (own if o == 0 else near)] for o in self.OFFSETS]
         if self.weights is None:
@@ -225,7 +232,9 @@ class _Batch:
         letters = self._is("Initial", "UPPER", "Cap", "mixed")
         glued[1:] |= letters[1:] & digit[:-1] & ~gap[1:]
         glued[:-1] |= letters[:-1] & digit[1:] & ~gap[1:]
-        part = np.isin(self.cls, list(_NUMBER_PARTS)) | glued
+        ends = np.zeros(n, bool)  # a dot before a blank ends a sentence, and a run
+        ends[:-1] = (self.cls[:-1] == _CLASS["."]) & gap[1:]
+        part = (np.isin(self.cls, list(_NUMBER_PARTS)) | glued) & ~ends
         first, last, number = self._run(part, np.zeros(n, bool))
         total = np.zeros(len(first), np.int64)
         np.add.at(total, number[part], self.tokens.digits[self.code[part]])
@@ -251,6 +260,14 @@ class _Batch:
             self.extra[a:b, 2] = _h(f"runa|{after}|{form.count('9')}")
             self.extra[a:b, 3] = _h(f"rund|{min(form.count('9'), 16)}|{form[:1]}")
             self.long[a:b] = True
+        # an address spelled out: a dot in words soon after an at in words
+        ats, dots = np.flatnonzero(self._is("at")), np.flatnonzero(self._is("dot"))
+        after = np.searchsorted(dots, ats)
+        for a, d in zip(ats[after < len(dots)].tolist(), dots[after[after < len(dots)]].tolist(), strict=True):
+            if d - a <= 8 and line[d] == line[a]:
+                lo, hi = max(a - 4, 0), min(d + 2, n)
+                free = np.flatnonzero((self.extra[lo:hi, 3] == 0) & (line[lo:hi] == line[a])) + lo
+                self.extra[free, 3] = _h("spelled")
         # capitals, with initials, hyphens and commas between them
         cap = self._is("Cap", "Initial", "UPPER", "mixed")
         joint = self._is(".", ",", "-")
@@ -463,23 +480,30 @@ class Mention:
         self.start, self.end, self.kind, self.text = start, end, kind, text
 
 
+def _address(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    s = text[a:b]
+    m = re.search(r"\w", s)
+    if not (m and re.search(r"[@＠]|\b(?:at|AT)\b", s) and re.search(r"\.|\b(?:dot|DOT|punkt|point|punto)\b", s)):
+        return
+    begin, end = a + m.start(), a + len(_TRIM_END.sub("", s).rstrip(")"))
+    if re.match(r"(?:at|AT)\b", text[begin:end]) or re.match(r"[^\w]*[@＠]", s):
+        begin = a
+        while begin and text[begin - 1] in " ([{<":
+            begin -= 1
+    # letters and marks of an address that touch it belong to it
+    while begin and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-"):
+        begin -= 1
+    while not text[begin].isalnum() and begin < end - 1:
+        begin += 1
+    yield begin, end
+
+
 def _span(text: str, a: int, b: int, kind: str) -> Iterator[tuple[int, int]]:
     """Spans within [a, b) that hold what a mention of the type must hold, trimmed."""
     s = text[a:b]
     if kind == "email":
-        m = re.search(r"\w", s)
-        if m and re.search(r"[@＠]|\b(?:at|AT)\b", s) and re.search(r"\.|\b(?:dot|DOT|punkt|point|punto)\b", s):
-            begin, end = a + m.start(), a + len(_TRIM_END.sub("", s).rstrip(")"))
-            if re.match(r"(?:at|AT)\b", text[begin:end]) or re.match(r"[^\w]*[@＠]", s):
-                begin = a
-                while begin and text[begin - 1] in " ([{<":
-                    begin -= 1
-            # letters and marks of an address that touch it belong to it
-            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-"):
-                begin -= 1
-            while not text[begin].isalnum() and begin < end - 1:
-                begin += 1
-            yield begin, end
+        for piece in re.finditer(r"[^;,|]+", s):  # addresses of a list
+            yield from _address(text, a + piece.start(), a + piece.end())
         return
     if kind in ("phone", "id_number"):
         m = re.search(r"[+(\d]" if kind == "phone" else r"[A-Za-z0-9]", s)
@@ -513,6 +537,11 @@ def mentions(b: _Batch, p: np.ndarray) -> list[list[Mention]]:
     out: list[list[Mention]] = [[] for _ in b.texts]
     label = p.argmax(1)
     at, line = b.at, b.line[b.at]
+    # the sign between the two halves of an address belongs to it
+    sign = np.flatnonzero((label == 0) & np.isin(b.cls[at], [_CLASS["at"], _CLASS["@"]]))
+    sign = sign[(sign > 0) & (sign < len(label) - 1)]
+    sign = sign[(label[sign - 1] == 1) & (label[sign + 1] == 1) & (line[sign - 1] == line[sign]) & (line[sign + 1] == line[sign])]
+    label[sign] = 1
     hit = np.flatnonzero(label)
     if not len(hit):
         return out
@@ -633,7 +662,7 @@ def _fit_tie(field: Field, seed: int) -> float:
 
 def _field(df: DataFrame):
     f = fit()
-    return df.sparkSession.sparkContext.broadcast((f.w, f.near, f.tie))  # DIM x K weights, 1.5 MB
+    return df.sparkSession.sparkContext.broadcast((f.w, f.near, f.tie))  # DIM x K weights, 6 MB
 
 
 def find_mentions(docs: DataFrame) -> DataFrame:

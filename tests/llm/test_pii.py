@@ -115,3 +115,19 @@ def test_frames(spark):
     got = {r["doc_id"]: (r["text"], r["n_mentions"]) for r in pii.mask_documents(df).collect()}
     assert got == {1: ("😀 mail [EMAIL] now", 1), 2: (None, 0), 3: ("", 0)}
     assert pii.find_mentions(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("to a.belkor at fernhall dot test; quist@fernhall.test", {"a.belkor at fernhall dot test", "quist@fernhall.test"}),
+        ("Its number 512-77-0311. 83746582910384756 === is a hash", set()),
+        ("L'étage de sortie dépend de L'horloge de base", set()),
+    ],
+)
+def test_borders(field, text, want):
+    assert {t for k, t in mentions(field, text) if k in ("email", "person")} == want
+
+
+def test_flats_begin_an_address(field):
+    assert mentions(field, "Best,\nTorvin Melkar\nFlat 9, 4 Ashgrove Road, Tellbury\n") == {("person", "Torvin Melkar"), ("address", "Flat 9, 4 Ashgrove Road, Tellbury")}
