@@ -300,11 +300,11 @@ def question_parts(question: str) -> list[list[str]]:
     return [t for t in map(tokens_of, texts) if len(t) >= 4]
 
 
-def common_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, length) of the runs of a that occur in b and can't be longer, each at one place of b.
+Suffixes = tuple[list[dict[str, int]], list[int], list[int], list[int]]
 
-    A suffix automaton of b is walked with a, so the time is linear whatever is repeated.
-    """
+
+def suffixes_of(b: list[str]) -> Suffixes:
+    """The suffix automaton of a token list: steps, links, longest lengths and first ends of its states."""
     step: list[dict[str, int]] = [{}]
     link, size, end = [-1], [0], [-1]
     last = 0
@@ -333,6 +333,12 @@ def common_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return step, link, size, end
+
+
+def common_runs(a: list[str], b: Suffixes) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the runs of a that occur in b and can't be longer, each at one place of b; linear in a, whatever is repeated."""
+    step, link, size, end = b
     out, at, n = [], 0, 0
     for k, t in enumerate(a):
         if t not in step[at] and n >= TILE:
@@ -347,9 +353,9 @@ def common_runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def greedy_tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+def greedy_tiles(a: list[str], b: list[str], suffixes: Suffixes | None = None) -> list[tuple[int, int, int]]:
     """Tiles (place in a, place in b, length) of greedy string tiling: the longest common runs first, no token in two tiles; what is left of a run that overlaps a tile waits for its turn."""
-    runs = [(-n, i, j) for i, j, n in common_runs(a, b)]
+    runs = [(-n, i, j) for i, j, n in common_runs(a, suffixes or suffixes_of(b))]
     heapq.heapify(runs)
     used_a, used_b, tiles = bytearray(len(a)), bytearray(len(b)), []
     while runs:
@@ -378,17 +384,17 @@ def _free_runs(used_a: bytearray, used_b: bytearray, i: int, j: int, n: int) ->
     return out
 
 
-def untiled(given: list[str], question: list[str]) -> int:
-    """Tokens of the answer that no tile covers.  Tiling goes on with what is left, so that a part of the question may be given back twice."""
-    rest, left = given, len(given)
-    while True:
+def untiled(given: list[str], question: list[str], enough: int = 0) -> int:
+    """Tokens of the answer that no tile covers.  Tiling goes on with what is left, so that a part of the question may be given back twice, until at most ``enough`` are left."""
+    rest, suffixes = given, suffixes_of(question)
+    while len(rest) > enough:
         covered = bytearray(len(rest))
-        for i, _, n in greedy_tiles(rest, question):
+        for i, _, n in greedy_tiles(rest, question, suffixes):
             covered[i : i + n] = b"\1" * n
+        if not any(covered):
+            break
         rest = [t for t, c in zip(rest, covered, strict=True) if not c]
-        if len(rest) == left:
-            return left
-        left = len(rest)
+    return len(rest)
 
 
 def tiled(given: list[str], parts: list[list[str]]) -> bool:
@@ -426,7 +432,7 @@ def is_copy(question: str | None, answer: str) -> bool:
     most = GREETING + CLOSING  # more than that no tiling may leave
     if len(set(given) - known) > most or sum(t not in known for t in given) > most:
         return False
-    return untiled(given, asked) <= most and tiled(given, question_parts(question))
+    return untiled(given, asked, most) <= most and tiled(given, question_parts(question))
 
 
 # ------------------------------------------------------------------ language
