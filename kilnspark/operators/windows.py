@@ -98,6 +98,8 @@ def cumulative_solved(first: DataFrame, steps: DataFrame, step: str) -> DataFram
     return every.withColumn("n_solved", F.sum("n_new").over(w))
 
 
-def ordered_concat(seq: str, text: str, sep: str = "") -> Column:
-    """Aggregate: the texts of a group joined in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda s: s[text]), sep)
+def ordered_concat(df: DataFrame, keys: list[str], order: list[str], text: str, out: str, sep: str = "") -> DataFrame:
+    """Per key its texts joined in order, nulls left out; pieces of a key are joined first, so its rows never meet in one task, only the joined texts do."""
+    joined = lambda first, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*first, F.col(value).alias("v")))), lambda x: x["v"]), sep)
+    parts = pieces(df, keys, order).groupBy(*keys, PIECE).agg(F.when(F.count(text) > 0, joined(order, text)).alias("_text"))
+    return parts.groupBy(*keys).agg(joined([PIECE], "_text").alias(out))

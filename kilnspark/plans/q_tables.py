@@ -286,8 +286,7 @@ def win_first_write(spark, sf):
 
 @query(f"SELECT problem_id, cycle_no, string_agg(action_name, '>' ORDER BY {_IT}, row_id) AS path FROM @il@ GROUP BY 1, 2")
 def win_ordered_concat(spark, sf):
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("it", "row_id", "action_name"))), lambda s: s["action_name"]), ">")
-    return _log(spark, sf, "action_name").groupBy("problem_id", "cycle_no").agg(path.alias("path"))
+    return windows.ordered_concat(_log(spark, sf, "action_name"), _KEYS, _ORDER, "action_name", "path", ">")
 
 
 @query(f"SELECT row_id, coalesce(last_value(CASE WHEN iverilog_pass THEN verilog_chars END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS kept_chars FROM @il@")

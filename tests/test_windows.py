@@ -35,6 +35,12 @@ def test_pieces_of_a_hot_key(spark):
     assert windows.with_last_k(df.limit(0), ["k"], ["it", "id"], "v", "h").count() == 0
 
 
+def test_ordered_concat(spark):
+    rows, df = table(spark)
+    want = {k: ">".join(r[3] for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])) if r[3]) for k in {r[0] for r in rows}}
+    assert {r["k"]: r["p"] for r in windows.ordered_concat(df, ["k"], ["it", "id"], "v", "p", ">").collect()} == want
+
+
 def test_first_oscillation(spark):
     same, other = "the counter wraps before the enable falls", "some queue loses words at its upper bound"
     rows = [("p", 1, same), ("p", 2, None), ("p", 3, same), ("p", 4, same), ("q", 1, same), ("q", 2, other), ("q", 3, same), (None, 1, other), (None, 2, other)]
