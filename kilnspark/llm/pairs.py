@@ -203,7 +203,8 @@ _FENCE_ONLY = re.compile(r"^[ \t]*(?:```+|~~~+)[^\n`]*$", re.M)
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    return not any(unicodedata.category(c)[0] in "LN" for c in _FENCE_ONLY.sub("", text))
+    lines = text.split("\n")
+    return not any(unicodedata.category(c)[0] in "LN" for x in lines if not _FENCE_ONLY.fullmatch(x) for c in x)
 
 
 # ------------------------------------------------------------------ refusal
@@ -276,13 +277,15 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 GREETING = 12  # tokens before a copy that count as a greeting
 CLOSING = 4  # tokens after it
 TILE = 3  # tokens of the shortest tile
+HEAD = 1500  # characters of an answer that are looked at first; all of it where they may be a copy
 _FENCE_MARK = re.compile(r"(?:`{3,}|~{3,})[\w+#.-]*")
 _HEADING = re.compile(r"^#+ [^\n]*$", re.M)
 
 
 def tokens_of(text: str) -> list[str]:
     """Words and marks in lower case; fences are no part of a text, wherever a change of spacing has put them."""
-    return _TOKEN.findall(_FENCE_MARK.sub(" ", text.lower()))
+    low = text.lower()
+    return _TOKEN.findall(_FENCE_MARK.sub(" ", low) if "```" in low or "~~~" in low else low)
 
 
 def question_parts(question: str) -> list[list[str]]:
@@ -420,18 +423,29 @@ def is_copy(question: str | None, answer: str) -> bool:
     """Whether the answer is a greeting at most and then the question or whole parts of it.
 
     Greedy string tiling tells whether the answer has anything of its own; tiles
-    count if together they are whole parts.
+    count if together they are whole parts.  What no tiling can cover is found
+    by cheaper tests first: tokens, then runs of ``TILE`` tokens, that the question lacks.
     """
     if not question:
         return False
+    most = GREETING + CLOSING  # more than that no tiling may leave
+    asked_text, head = question.lower(), answer[:HEAD]
+    if sum(t not in asked_text for t in set(tokens_of(head))) > most + 1:  # the last token may be cut
+        return False
     given = tokens_of(answer)
     if len(given) < 4:
         return False
     asked = tokens_of(question)
     known = set(asked)
-    most = GREETING + CLOSING  # more than that no tiling may leave
     if len(set(given) - known) > most or sum(t not in known for t in given) > most:
         return False
+    runs = set(zip(*(asked[k:] for k in range(TILE)), strict=False))
+    covered = bytearray(len(given))
+    for k, run in enumerate(zip(*(given[k:] for k in range(TILE)), strict=False)):
+        if run in runs:
+            covered[k : k + TILE] = b"\1" * TILE
+    if covered.count(0) > most:
+        return False
     return untiled(given, asked, most) <= most and tiled(given, question_parts(question))
 
 
@@ -458,24 +472,23 @@ _SCRIPTS = [
     ("ko", re.compile(r"[가-힯]")), ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")),
 ]
 _OWN_SCRIPT = dict(_SCRIPTS)
-_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_NAMES = re.compile(r"`[^`\n]*`|\b\w*[_\d]\w*\b|\b[a-z]+[A-Z]\w*\b|https?://\S+")
+_CODE_SPAN = re.compile(r"`[^`\n]*`|https?://\S+")
+_RUN = re.compile(r"\w+")
 
 
 def language_of(prose: str) -> str | None:
     """The language of a piece of prose; None if it tells too little."""
-    text = _NAMES.sub(" ", prose)
-    letters = sum(map(str.isalpha, text))
+    text = _CODE_SPAN.sub(" ", prose) if "`" in prose or "://" in prose else prose
+    # identifiers, told by digits, underscores and inner capitals, are no words
+    words = [w for w in _RUN.findall(text) if w.isalpha() and (w.islower() or not w[0].islower())]
+    letters = sum(map(len, words))
     if letters < 8:
         return None
     if not text.isascii():
         for lang, script in _SCRIPTS:
-            n = len(script.findall(text))
-            if n * 10 >= letters * 4:
+            if sum(map(len, script.findall(" ".join(words)))) * 10 >= letters * 4:
                 return lang
-    words = _LETTERS.findall(text.lower())
-    if "'" in text or "’" in text:
-        words = [p for w in words for p in w.replace("’", "'").split("'")]
+    words = [w.lower() for w in words]
     score = dict.fromkeys(_WORDS, 0)
     for w in words:
         for k in _LANGUAGES_OF.get(w, ()):
@@ -503,6 +516,7 @@ def in_other_language(question: str | None, prose: str) -> bool:
 # ------------------------------------------------------------------ operator
 
 
+_LEADING = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/)*+")
 _COMMENTS = re.compile(r"//([^\n]*)|/\*([\s\S]*?)\*/")
 
 
@@ -511,7 +525,7 @@ def said(parts: tuple[str, list[tuple[str, bool]], bool]) -> str | None:
     prose, blocks, _ = parts
     out = [prose]
     for code, _ in blocks:
-        if _COMMENTS.sub("", code).strip():
+        if _LEADING.match(code).end() < len(code):
             return None
         out += [a or b for a, b in _COMMENTS.findall(code)]
     return " ".join(out)
