@@ -223,10 +223,3 @@ def quote_json_words(c: Column) -> Column:
     """JSON text with its bare keys and bare word values put in quotes."""
     keys = F.regexp_replace(c, r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", '$1"$2"$3')
     return F.regexp_replace(keys, r"(:\s*)(?!(?:true|false|null)\b)([A-Za-z_][\w ./-]*?)(\s*[,}])", '$1"$2"$3')
-
-
-def xml_messages(c: Column) -> Column:
-    """Values of all ``error_msg`` attributes, entities resolved."""
-    out = F.regexp_extract_all(c, F.lit(r'error_msg="([^"]*)"'), F.lit(1))
-    plain = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&#10;"), F.lit("\n")), F.lit("&#9;"), F.lit("\t")), F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    return F.transform(out, plain)

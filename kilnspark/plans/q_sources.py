@@ -88,7 +88,7 @@ def src_xml(spark, sf):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;")):
         esc = F.replace(esc, F.lit(a), F.lit(b))
     xml = F.concat(F.lit('<testsuite><testcase name="t"><failure error_msg="'), esc, F.lit('"/></testcase></testsuite>'))
-    return scan(spark, sf, "rr").filter("error_msg is not null").select("result_id", F.explode(T.xml_messages(xml)).alias("message"))
+    return scan(spark, sf, "rr").filter("error_msg is not null").select("result_id", files.xml_failures(xml)[0].alias("message"))
 
 
 _PAIRS_SQL = r"""

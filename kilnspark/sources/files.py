@@ -100,6 +100,13 @@ def xml_results(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def xml_failures(xml: Column) -> Column:
+    """Failure messages of a result file's text, by the XML parser."""
+    case = "struct<failure:struct<_error_type:string,_error_msg:string>>"
+    cases = F.from_xml(xml, f"testcase array<{case}>")["testcase"]
+    return F.transform(F.filter(cases, lambda c: c["failure"].isNotNull()), lambda c: c["failure"]["_error_msg"])
+
+
 def folder_key(c: Column) -> Column:
     """Key of a result folder: the problem's id without its four-digit number."""
     return F.regexp_replace(c, r"_\d{4}$", "")

@@ -29,6 +29,13 @@ def test_xml_results(spark, tmp_path):
     assert [tuple(r) for r in files.xml_results(spark, str(tmp_path)).collect()] == [("t1", "c", 0.5, 12.5, None), ("t2", "c", 1.5, 3.0, "a < b")]
 
 
+def test_xml_failures_in_a_column(spark):
+    xml = '<testsuite><testcase name="a"/><testcase name="b"><failure error_msg="x &lt; y&#10;z"/></testcase></testsuite>'
+    df = spark.createDataFrame([(1, xml), (2, None), (3, "<testsuite></testsuite>")], "id long, x string")
+    got = {r["id"]: r["m"] for r in df.select("id", files.xml_failures(F.col("x")).alias("m")).collect()}
+    assert got[1] == ["x < y\nz"] and not got[2] and not got[3]
+
+
 def test_record_and_resume(spark, tmp_path):
     todo = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "key string")
     path = str(tmp_path / "done")
