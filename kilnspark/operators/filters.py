@@ -116,10 +116,9 @@ def funnel(df: DataFrame, key: str, stages: dict[str, Column]) -> DataFrame:
 
     Of each row only the number of stages it passes in a row is shuffled; a redelivered row counts once.
     """
-    keep, passed = F.lit(True), F.lit(0)
-    for ok in stages.values():
-        keep = keep & F.coalesce(ok, F.lit(False))
-        passed = passed + keep.cast("int")
+    passed = F.lit(0)
+    for ok in reversed(stages.values()):  # nested, so that each stage is looked at once, and only by rows that come so far
+        passed = F.when(ok, passed + 1).otherwise(0)
     each = df.select(key, passed.alias("n")).distinct()
     cols = [F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), F.count_if(F.col("n") > i).alias("n_rows")) for i, name in enumerate(stages)]
     return each.agg(F.array(*cols).alias("s")).select(F.explode("s").alias("s")).select("s.*")

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from kilnspark.functions import text as T
 from kilnspark.operators import adapters, builders, filters, rewards
 from kilnspark.plans.base import query, rows, scan
+from kilnspark.session import spread
 
 ANSWERS_SQL = "(SELECT sample_id, pos, m.role AS role, m.content AS content FROM (SELECT sample_id, unnest(messages) AS m, generate_subscripts(messages, 1) AS pos FROM @ts@))"
 
 
 def answers(spark, sf):
     """(sample_id, pos, content) of all assistant messages."""
-    m = scan(spark, sf, "ts").select("sample_id", F.posexplode("messages").alias("p", "m"))
+    # patterns over whole answers: a table of a few splits is spread over the cores, a large one keeps its splits
+    m = spread(scan(spark, sf, "ts").select("sample_id", "messages")).select("sample_id", F.posexplode("messages").alias("p", "m"))
     return m.filter("m.role = 'assistant'").select("sample_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("m.content").alias("content"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kilnspark.functions import text as T
 from kilnspark.operators import filters, iterate, joins, rewards, sampling, windows
 from kilnspark.plans.base import query, rows, scan
+from kilnspark.session import spread
 
 # ------------------------------------------------------------------ joins
 
@@ -207,7 +208,7 @@ _F3 = "NOT (" + " OR ".join([f"contains(verilog, '{w}')" for w in T.SIM_TASKS +
 )
 def agg_funnel(spark, sf):
     c = F.col("verilog")
-    return filters.funnel(scan(spark, sf, "rm"), "module_id", {"scanned": F.lit(True), "nonblank": ~T.is_blank(c), "size": filters.in_size(c), "design": filters.is_design(c)})
+    return filters.funnel(spread(scan(spark, sf, "rm").select("module_id", "verilog")), "module_id", {"scanned": F.lit(True), "nonblank": ~T.is_blank(c), "size": filters.in_size(c), "design": filters.is_design(c)})
 
 
 # ------------------------------------------------------------------ windows
