@@ -8,10 +8,12 @@ slots of a stretch then decide:
 
 * a run of at least ``size`` words with equal slots is a verbatim leak;
 * slots that map one to one to other values, consistently over all stretches of
-  the document and the item, are a re-parameterised copy.  Stock phrases of
-  many items tell nothing about any of them, so a stretch counts here only if at
-  some place of it at most ``SHARED`` stretches are as long or longer, and the
-  stretches have to cover ``LEAST`` words of the item.
+  the document and the item, are a re-parameterised copy; the stretches have to
+  cover ``LEAST`` words of the item.  A phrase of many items says the less about
+  any of them the more values it stands with there.  A stretch that stands for
+  more than ``SHARED`` different passages therefore has to be longer, by
+  ``CHANCE`` words for each doubling of their number; copies of a passage are
+  one, and a stretch that long counts for all its items, however many.
 
 A word is a name by its spelling (underscore, digit, inner capital, a capital
 after a small word, a code span) or because an item spells it so; a word that an
@@ -32,9 +34,10 @@ repeated rows once.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-SHARED = 3  # items that a restated stretch may stand for
+SHARED = 3  # passages that a restated stretch of any length may stand for
 LEAST = 20  # words of an item that a restatement covers
 CHANCE = 4  # words by which a stretch may be longer by chance
 BLOCK_WORDS = 1 << 20  # of items carried at once
@@ -229,64 +232,110 @@ class Index:
             first = np.flatnonzero(np.concatenate([[True], (np.diff(x - y) != 0) | (np.diff(x) != 1)]))
             length = np.diff(np.concatenate([first, [len(x)]])) + self.size - 1
             equal = np.maximum.reduceat((docs.same[d] == held.same[i]).astype(np.int8), first) > 0
-            # at each window of a document, how many stretches are as long as this one or longer
-            long = np.repeat(length, np.diff(np.concatenate([first, [len(x)]])))
-            by_window = np.lexsort((-long, x))
-            xs, ls = x[by_window], long[by_window]
-            last = np.flatnonzero(np.concatenate([(np.diff(xs) != 0) | (np.diff(ls) != 0), [True]]))
-            start = np.searchsorted(xs, xs[last], side="left")
-            rivals = np.empty(len(x), dtype=np.int64)
-            rivals[by_window] = np.repeat(last - start + 1, np.diff(np.concatenate([[-1], last])))
-            tells = np.minimum.reduceat(rivals, first) <= SHARED
-            by_doc: dict[int, list[tuple[int, int, int, int]]] = {}
-            for k in np.flatnonzero(tells | equal).tolist():
+            least = _least_length(_passages(x, held.same[i], first))
+            by_doc: dict[int, list[tuple[int, int, int, int, int]]] = {}
+            for k in np.flatnonzero((length >= least) | equal).tolist():
                 f = first[k]
-                by_doc.setdefault(int(docs.text[d[f]]), []).append((int(length[k]), int(x[f]), int(y[f]), int(held.text[i[f]])))
+                by_doc.setdefault(int(docs.text[d[f]]), []).append((int(length[k]), int(x[f]), int(y[f]), int(held.text[i[f]]), int(least[k])))
             for doc, stretches in by_doc.items():
                 for item, n in self.covered(docs, doc, stretches):
                     if n >= LEAST:
                         yield doc, self.ids[item], n
 
-    def covered(self, docs: _Windows, doc: int, stretches: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    def covered(self, docs: _Windows, doc: int, stretches: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int]]:
         """(item, words of it that the document restates).
 
-        Stretches are cut where slots stop to map consistently, over all stretches of an item.  Words of
-        the document belong to the item that has most of them in one piece: what is copied from one item,
-        verbatim or not, is no restatement of another that has only part of the same phrases.
+        Stretches are cut at their verbatim parts and where slots stop to map consistently, over all stretches
+        of an item.  Words of the document belong to the items that have most of them in one piece, and to all
+        others that have the same passage, word for word: what is copied from one item, verbatim or not, is no
+        restatement of another that has part of the same phrases with values of its own.  The rest of a piece
+        that belongs to others for the most part counts by itself.
         """
         slots: dict[int, _Slots] = {}
-        pieces: list[tuple[int, int, int, int, bool]] = []
-        for n, x, y, item in sorted(stretches, reverse=True):
-            a, b = self.windows.words(item, y, n), docs.words(doc, x, n)
-            values = slots.setdefault(item, _Slots())
-            start, equal = 0, 0
-            for k in range(n + 1):
-                equal = equal + 1 if k < n and a[k] == b[k] else 0
-                if equal == self.size:  # a verbatim part; its values tell nothing of those of a restated one
-                    pieces.append((n, x, y, item, False))
-                    values.close(False)
-                    break
-                if k < n and values.take(a[k], b[k]):
-                    continue
-                kept = k - start >= self.size
-                if kept:
-                    pieces.append((k - start, x + start, y + start, item, a[start:k] != b[start:k]))
-                values.close(kept)
-                start = k + 1
         claimed = np.zeros(len(docs.lists[doc]), dtype=np.int64)
         base = int(docs.starts[doc])
+        given: dict[tuple[int, bytes], tuple[int, np.ndarray]] = {}
         places: dict[int, set[int]] = {}
-        for n, x, y, item, moved in sorted(pieces, reverse=True):
+        # the longest first: words in one piece, whether verbatim parts may be in it, places, item, words, words needed
+        waiting = [(-n, True, x, y, item, n, least) for n, x, y, item, least in stretches]
+        heapq.heapify(waiting)
+        while waiting:
+            one, uncut, x, y, item, n, least = heapq.heappop(waiting)
+            one = -one
             held = claimed[x - base : x - base + n]
-            if np.count_nonzero(held > n + CHANCE) * 2 > n:
+            own = held <= one + CHANCE
+            words = self.windows.word[y : y + n]
+            for at, others in () if own.all() else given.values():  # what has the words of a longer piece is the same passage
+                lo, hi = max(x, at), min(x + n, at + len(others))
+                for start, end in _runs(words[lo - x : hi - x] == others[lo - at : hi - at], self.size) if hi - lo >= self.size else ():
+                    own[lo - x + start : lo - x + end] = True
+            if not own.any():
                 continue
-            held[held == 0] = n
-            if moved:
-                places.setdefault(item, set()).update(range(y, y + n))
+            a, b = self.windows.words(item, y, n), docs.words(doc, x, n)
+            equal = _runs(words == docs.word[x : x + n], self.size) if uncut else []
+            equal = [k for k in equal if a[k[0] : k[1]] == b[k[0] : k[1]]]
+            if equal:  # a verbatim part; its values tell nothing of those of a restated one
+                cuts = list(zip([0, *(e for _, e in equal)], [*(s for s, _ in equal), n], strict=True)) if n >= least else []
+            else:
+                values = slots.setdefault(item, _Slots())
+                cuts = values.consistent(a, b, self.size)
+            if equal or cuts != [(0, n)]:
+                for start, end in cuts:
+                    k = one if equal or one > n else end - start  # beside a verbatim part the stretch stays one piece
+                    if end - start >= self.size and k >= least:
+                        heapq.heappush(waiting, (-k, False, x + start, y + start, item, end - start, least))
+                if not equal:
+                    continue
+            for start, end in [(0, n)] if np.count_nonzero(own) * 2 >= n else _runs(own, self.size):
+                part = held[start:end]
+                part[part == 0] = one
+                given[x + start, words[start:end].tobytes()] = x + start, words[start:end]
+                if not equal:
+                    places.setdefault(item, set()).update(range(y + start, y + end))
+                    values.keep(a[start:end], b[start:end])
         for item, at in places.items():
             yield item, len(at)
 
 
+def _runs(flags: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of at least ``size`` true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).tolist()
+    return [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= size]
+
+
+def _passages(x: np.ndarray, same: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each stretch, how many different passages of the items are as long or longer, at its window where fewest are.
+
+    ``x`` and ``same`` are the document's place and the hash of the item's words by hit, ``first`` the first hit of each stretch.
+    """
+    many = np.diff(np.concatenate([first, [len(x)]]))
+    within = np.arange(len(x)) - np.repeat(first, many)
+    start, words = x[first], np.add.reduceat(same * (2 * within + 1).astype(np.uint64), first)
+    order = np.lexsort((words, many, start))
+    start, long, words = start[order], many[order], words[order]
+    passage = np.empty(len(first), dtype=np.int64)
+    passage[order] = np.cumsum(np.concatenate([[True], (start[1:] != start[:-1]) | (long[1:] != long[:-1]) | (words[1:] != words[:-1])]))
+    long, passage = np.repeat(many, many), np.repeat(passage, many)
+    by_window = np.lexsort((passage, -long, x))
+    xs, ls, ps = x[by_window], long[by_window], passage[by_window]
+    nth = np.cumsum(np.concatenate([[True], (xs[1:] != xs[:-1]) | (ps[1:] != ps[:-1])]))
+    last = np.flatnonzero(np.concatenate([(xs[1:] != xs[:-1]) | (ls[1:] != ls[:-1]), [True]]))
+    upto = nth[last] - nth[np.searchsorted(xs, xs[last], side="left")] + 1
+    rivals = np.empty(len(x), dtype=np.int64)
+    rivals[by_window] = np.repeat(upto, np.diff(np.concatenate([[-1], last])))
+    return np.minimum.reduceat(rivals, first)
+
+
+def _least_length(passages: np.ndarray) -> np.ndarray:
+    """Words that a restated stretch must have which stands for so many passages."""
+    return np.where(passages > SHARED, np.ceil(LEAST + CHANCE * np.log2(np.maximum(passages, SHARED) / SHARED)), 0).astype(np.int64)
+
+
+@lru_cache(KEPT)
+def _one_to_one(word: str) -> bool:
+    return not (_NUMBER.match(word) or word in NUMBER_WORDS or word in UNITS)
+
+
 class _Slots:
     """Values of an item's slots in a document: names map one to one, numbers and units to one value each."""
 
@@ -299,7 +348,7 @@ class _Slots:
         """Whether the value goes with those taken before; it is then taken too."""
         if self.there.get(a, b) != b:
             return False
-        one_to_one = not (_NUMBER.match(a) or a in NUMBER_WORDS or a in UNITS)
+        one_to_one = _one_to_one(a)
         if one_to_one and self.back.get(b, a) != a:
             return False
         for values, key, value in ((self.there, a, b), (self.back, b, a)):
@@ -315,6 +364,34 @@ class _Slots:
                 del values[key]
         self.new = []
 
+    def keep(self, a: list[str], b: list[str]) -> None:
+        for p, q in zip(a, b, strict=True):
+            self.take(p, q)
+        self.close(True)
+
+    def consistent(self, a: list[str], b: list[str], size: int) -> list[tuple[int, int]]:
+        """(start, end) of the longest parts of at least ``size`` words whose values go with one another and with those kept; they may overlap."""
+        out, start = [], 0
+        there: dict[str, tuple[str, int]] = {}
+        back: dict[str, tuple[str, int]] = {}
+        for k, (p, q) in enumerate(zip(a, b, strict=True)):
+            one_to_one = _one_to_one(p)
+            if self.there.get(p, q) != q or (one_to_one and self.back.get(q, p) != p):
+                begin = k + 1
+            else:  # behind the last word that word k does not go with
+                value, at = there.get(p, (q, k))
+                begin = at + 1 if value != q else 0
+                if one_to_one:
+                    value, at = back.get(q, (p, k))
+                    begin = max(begin, at + 1) if value != p else begin
+                    back[q] = p, k
+                there[p] = q, k
+            if begin > start:
+                if k - start >= size:
+                    out.append((start, k))
+                start = begin
+        return [*out, (start, len(a))] if len(a) - start >= size else out
+
 
 def _indexes(items: DataFrame, size: int, words: int) -> list[Index]:
     """Items in blocks of some ``words``, an item's rows in one block."""

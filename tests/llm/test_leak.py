@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from kilnspark.llm import leak
 
 
@@ -101,6 +103,72 @@ def test_restated_recall_and_precision(spark):
     assert not any(x["verbatim"] for x in found)
 
 
+def plain(r, n):
+    """Words of their own, every fifth a name."""
+    return " ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=7)) + ("_" + r.choice("abc") if k % 5 == 3 else "") for k in range(n))
+
+
+def test_restated_passage_of_many_items_or_of_part_of_one(spark):
+    r = random.Random(3)
+    many, part, twice, one, common, two, lone = (plain(r, n) for n in (60, 60, 29, 35, 31, 29, 40))
+    own = lambda t: changed(r, t)
+    items = [(k, plain(r, 20) + " " + many) for k in range(6)]  # the same passage
+    items += [(k, own(many) + " " + plain(r, 20)) for k in range(10, 30)]  # with values of their own
+    items += [(30, plain(r, 20) + " " + " ".join(many.split()[:40]) + " " + plain(r, 20))]  # a shorter part of it, word for word
+    items += [(40, lone)] * 2 + [(k, lone) for k in range(41, 46)]  # copies
+    items += [(50, part), (60, "first_a " + " ".join(twice.split()[:8]) + " first_a " + " ".join(twice.split()[8:]))]
+    items += [(70, one + " " + common), (71, own(common) + " " + two)]
+    docs = [
+        (1, own(many)),
+        (2, own(lone)),
+        (3, " ".join(part.split()[:20]) + " " + own(" ".join(part.split()[20:]))),
+        (4, "other_a " + " ".join(own(twice).split()[:8]) + " another_a " + own(" ".join(twice.split()[8:]))),
+        (5, own(one + " " + common) + " " + own(two)),
+    ]
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, prompt string")  # noqa: E741
+    got = leak.restated(D, I).collect()
+    want = {(1, k) for k in [*range(6), *range(10, 31)]} | {(2, k) for k in range(40, 46)} | {(3, 50), (4, 60), (5, 70), (5, 71)}
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want)
+    assert {(x["doc_id"], x["item_id"]) for x in got if x["verbatim"]} == {(3, 50)}
+    n = {(x["doc_id"], x["item_id"]): x["n_words"] for x in got}
+    assert n[1, 0] == n[1, 10] == 60 and n[1, 30] == 40 and n[2, 45] == 40 and n[3, 50] == 37 and n[4, 60] == 30 and n[5, 70] == 66 and n[5, 71] == 29
+
+
+def test_passages_by_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        stretches = [(int(r.integers(8)), int(r.integers(1, 6)), int(r.integers(3))) for _ in range(int(r.integers(1, 25)))]
+        x = np.array([s + k for s, n, _ in stretches for k in range(n)])
+        same = np.array([v * 100 + k for _, n, v in stretches for k in range(n)], dtype=np.uint64)
+        first = np.cumsum([0] + [n for _, n, _ in stretches[:-1]])
+        want = [min(len({o for o in stretches if o[0] <= at < o[0] + o[1] and o[1] >= n}) for at in range(s, s + n)) for s, n, _ in stretches]
+        assert leak._passages(x, same, first).tolist() == want
+    need = leak._least_length(np.array([1, 3, 4, 6, 48]))
+    assert need.tolist() == [0, 0, 22, 24, 36]
+
+
+def test_consistent_parts():
+    s = leak._Slots()
+    s.keep(["z_1"], ["y_1"])
+    a, b = ["a_1", "is", "b_1", "a_1", "or", "z_1", "of", "it", "all"], ["c_1", "is", "d_1", "e_1", "or", "x_1", "of", "it", "all"]
+    assert s.consistent(a, b, 3) == [(0, 3), (1, 5), (6, 9)]
+    assert s.there == {"z_1": "y_1"}
+    r = random.Random(7)
+    words = ["a_1", "b_1", "c_1", "7", "8", "ns", "of", "the"]
+    for _ in range(200):
+        other = {w: r.choice(words) for w in words}
+        a = [r.choice(words) for _ in range(r.randrange(20))]
+        b = [other[w] if r.random() < 0.9 else r.choice(words) for w in a]
+
+        def goes(at):
+            t = leak._Slots()
+            return all(t.take(a[k], b[k]) for k in at)
+
+        spans = [range(i, j) for i in range(len(a)) for j in range(i + 3, len(a) + 1) if goes(range(i, j))]
+        want = [(p.start, p.stop) for p in spans if not any(p != q and q.start <= p.start and p.stop <= q.stop for q in spans)]
+        assert leak._Slots().consistent(a, b, 3) == want
+
+
 def test_slots():
     s = leak._Slots()
     assert all(s.take(a, b) for a, b in [("a_1", "b_2"), ("7", "9"), ("a_1", "b_2"), ("8", "9")])
